@@ -182,9 +182,8 @@ def tags_per_row(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFra
 def pipe_tags(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
     """Notebook explode on '|' only (E16-E18): quote stripped on one side, trimmed, lowered."""
     base = in_country(trending, country).filter(X.has_usable_tags("video_tags"))
-    pieces = base.select("video_id", DATE, F.explode(F.split("video_tags", r"\|", -1)).alias("piece"))
-    return pieces.select("video_id", DATE, X.notebook_tag("piece").alias("tag")).filter(
-        F.col("tag") != "")
+    tags = F.filter(F.transform(F.split("video_tags", r"\|", -1), X.notebook_tag), lambda t: t != "")
+    return base.select("video_id", DATE, F.explode(tags).alias("tag"))
 
 
 def _tag_board(events: DataFrame, n: int) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from trendscope.functions import exprs as X
 from trendscope.operators.marts import COUNTRY, DATE, available_dates, country_dates, in_country
 from trendscope.operators.tags import latest_month_value
-from trendscope.schema import DEFAULT_COUNTRY
+from trendscope.schema import DEFAULT_COUNTRY, FACT_PARTITION
 
 
 # --- helpers --------------------------------------------------------------------------------
@@ -87,7 +87,12 @@ def latest_month(monthly: DataFrame, month=None) -> DataFrame:
 
 
 def _day(trending: DataFrame, date, country: str) -> DataFrame:
-    return in_country(trending, country).filter(F.col(DATE) == day_value(trending, date, country))
+    dv = day_value(trending, date, country)
+    out = in_country(trending, country).filter(F.col(DATE) == dv)
+    if FACT_PARTITION in trending.columns:
+        # Stored fact: the same day also names its month folder, so only it is listed and read.
+        out = out.filter(F.col(FACT_PARTITION) == F.trunc(dv, "MM"))
+    return out
 
 
 def _ts_text(col: str) -> Column:
@@ -396,9 +401,12 @@ def tag_videos_all(events: DataFrame, trending: DataFrame, dim: DataFrame, tag:
     key = X.lookup_tag(F.lit(tag))
     m = month_value(monthly if monthly is not None else events, month)
     vids = events.filter((F.col("month") == m) & (F.col("tag") == key)).select("video_id")
-    # The month as a date range (prunable), not trunc(date) = month.
-    rows = (in_country(trending, country)
-            .filter((F.col(DATE) >= m) & (F.col(DATE) < F.add_months(m, 1)))
+    # The month as a date range (pushed to the scan), not trunc(date) = month; on the stored
+    # fact also as the partition value, so only that month's folder is read.
+    fact = in_country(trending, country)
+    if FACT_PARTITION in trending.columns:
+        fact = fact.filter(F.col(FACT_PARTITION) == m)
+    rows = (fact.filter((F.col(DATE) >= m) & (F.col(DATE) < F.add_months(m, 1)))
             .select("video_id", DATE, "video_view_count", "video_like_count", "video_comment_count")
             .join(vids, "video_id", "left_semi")
             .join(dim.select("video_id", "video_title", "channel_id", "channel_title",

@@ -43,12 +43,12 @@ def tag_events_clean(trending: DataFrame, country: str = DEFAULT_COUNTRY,
         F.col(DATE).isNotNull() & F.col("video_tags").isNotNull())
     if strict:
         base = base.filter(X.has_usable_tags("video_tags"))
-    pieces = base.select(
-        "video_id", DATE, X.month_of(DATE).alias("month"),
-        F.explode(X.split_tags("video_tags", pipe_too=strict)).alias("tag_raw"))
-    tag = X.lookup_tag("tag_raw") if strict else X.clean_tag("tag_raw")
-    return (pieces.select("video_id", DATE, "month", tag.alias("tag"))
-            .filter(X.clean_tag_keep("tag"))
+    norm = X.lookup_tag if strict else X.clean_tag
+    # Normalise and filter inside the array, then explode: each piece's regex chain is
+    # evaluated once (a filter over an exploded alias would inline the chain into every
+    # reference of the tag).
+    tags = F.filter(F.transform(X.split_tags("video_tags", pipe_too=strict), norm), X.clean_tag_keep)
+    return (base.select("video_id", DATE, X.month_of(DATE).alias("month"), F.explode(tags).alias("tag"))
             .distinct())
 
 
@@ -118,11 +118,9 @@ def tag_events_legacy(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> Da
     trim, one quote char stripped, no DISTINCT and no junk or length filter."""
     base = in_country(trending, country).filter(
         F.col(DATE).isNotNull() & X.has_usable_tags("video_tags"))
-    pieces = (base.select("video_id", DATE, X.month_of(DATE).alias("month"),
-                          F.explode(X.split_tags("video_tags", pipe_too=True)).alias("piece"))
-              .filter(X.trim_zs("piece") != ""))
-    return (pieces.select("video_id", DATE, "month", X.legacy_tag("piece").alias("tag"))
-            .filter(F.col("tag") != ""))
+    pieces = F.filter(X.split_tags("video_tags", pipe_too=True), lambda p: X.trim_zs(p) != "")
+    tags = F.filter(F.transform(pieces, X.legacy_tag), lambda t: t != "")
+    return base.select("video_id", DATE, X.month_of(DATE).alias("month"), F.explode(tags).alias("tag"))
 
 
 def tag_events_clustered(events: DataFrame) -> DataFrame:

@@ -80,3 +80,6 @@ TRENDING_COLUMNS = list(TRENDING_TYPES)
 
 # Default country; the reference hard-codes it.
 DEFAULT_COUNTRY = "United States"
+
+# Partition column added to the stored fact (first day of the trending month).
+FACT_PARTITION = "trending_month"
