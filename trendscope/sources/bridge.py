@@ -8,9 +8,10 @@ tag strings, quoted tags, NULL channels) that exercise every cleaning rule.
 
 Join order for scale: ``orders`` is joined to ``customer`` (and the 25-row ``nation``)
 first, so the widest input, ``lineitem``, is shuffled once for ``orders`` and once for
-``part``. Only the columns the rules read are selected, so the Parquet scans prune. A
-country predicate written downstream reaches the ``nation`` scan through Catalyst's
-predicate pushdown, because the country column only reads nation columns.
+``part``; both of those joins hash the unique-key side. Only the columns the rules read
+are selected, so the Parquet scans prune. A country predicate written downstream reaches
+the ``nation`` scan through Catalyst's predicate pushdown, because the country column only
+reads nation columns.
 """
 
 from __future__ import annotations
@@ -41,7 +42,11 @@ def trending_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cust = c.join(n, c.c_nationkey == n.n_nationkey)
     ords = o.join(cust, o.o_custkey == cust.c_custkey)
-    rows = l.join(ords, l.l_orderkey == ords.o_orderkey).join(p, l.l_partkey == p.p_partkey)
+    # Shuffled hash joins with the unique-key side (orders, part) as the build side: no sort
+    # of the line items, and each build partition holds unique keys only, so its hash table
+    # is bounded by the (AQE-sized) partition even when the probe side is skewed.
+    rows = (l.join(ords.hint("shuffle_hash"), l.l_orderkey == ords.o_orderkey)
+            .join(p.hint("shuffle_hash"), l.l_partkey == p.p_partkey))
 
     okey, pkey, line = F.col("l_orderkey"), F.col("p_partkey"), F.col("l_linenumber")
     ship = _s(F.col("l_shipdate").cast("date"))
