@@ -49,6 +49,11 @@ def latest_date(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFram
     return in_country(trending, country).agg(F.max(DATE).alias("latest_date"))
 
 
+def latest_in(dates: DataFrame, col: str = "date") -> DataFrame:
+    """The newest day of a stored date list (V5), as a one-row DataFrame for ``date=``."""
+    return dates.agg(F.max(col).alias("date"))
+
+
 def busiest_date(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
     """The day with the most rows for a country, latest day on ties (one row)."""
     per_day = in_country(trending, country).groupBy(F.col(DATE).alias("date")).agg(

@@ -4,7 +4,7 @@
    (a multi-line CSV is one task per file; every later pass reads the Parquet copy);
 2. quality reports (C7, C8) from that copy;
 3. ``trending`` (C6) -> Parquet partitioned by ``trending_month``;
-4. video and channel marts (V2-V4, H1-H3) from the stored fact;
+4. video and channel marts (V2-V5, H1-H3) from the stored fact;
 5. clean tag events (T1, partitioned by month) and the monthly mart (T2);
 6. optionally the legacy tag tables (T6 clustered as in S6, T7, T8, T9).
 
@@ -37,7 +37,7 @@ PARTITIONS = {
 }
 
 CORE_TABLES = ["trending_raw", "trending", "video_dim", "video_reach", "video_us_stickiness",
-               "channel_dim", "channel_us_daily", "channel_us_alltime", "us_tag_events_clean",
+               "us_dates", "channel_dim", "channel_us_daily", "channel_us_alltime", "us_tag_events_clean",
                "us_tag_monthly_clean"]
 LEGACY_TABLES = ["us_tag_events", "us_month_totals", "us_tag_monthly", "us_tag_movers_monthly"]
 
@@ -94,6 +94,9 @@ def build_all(spark: SparkSession, raw: DataFrame, out_dir: str, country: str =
     write("video_dim", M.video_dim(fact))
     write("video_reach", M.video_reach(fact))
     write("video_us_stickiness", M.video_stickiness(fact, country))
+    # V5 stored: the country's distinct dates (a few thousand rows), so "latest day" is
+    # resolved from it instead of scanning the fact on every request.
+    write("us_dates", M.country_dates(fact, country))
     write("channel_dim", M.channel_dim(fact))
     write("channel_us_daily", M.channel_daily(fact, country))
     write("channel_us_alltime", M.channel_alltime(fact, country))

@@ -27,6 +27,8 @@ def read_raw(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFr
             .option("multiLine", True)
             .option("quote", '"')
             .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
             .option("mode", mode)
             .option("enforceSchema", False)
             .csv(path))
