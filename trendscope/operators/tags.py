@@ -126,7 +126,7 @@ def tag_events_legacy(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> Da
 def tag_events_clustered(events: DataFrame) -> DataFrame:
     """Events range-partitioned by (month, tag) and sorted by (month, tag, video) inside
     each partition, so written files carry tight min/max statistics for pruning."""
-    return (events.repartitionByRange("month", "tag")
+    return (events.repartitionByRange("month", "tag", "video_id")
             .sortWithinPartitions("month", "tag", "video_id"))
 
 

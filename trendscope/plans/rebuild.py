@@ -87,10 +87,11 @@ def build_all(spark: SparkSession, raw: DataFrame, out_dir: str, country: str =
     timings["build_quality"] = round(time.time() - t0, 3)
 
     # Range-partition before the partitioned write: each task covers a contiguous slice of
-    # (month, video), so it writes into few month folders (no tasks x months small files),
-    # a busy month is still split across tasks, and files are clustered by video id.
+    # (month, video, day, country), so it writes into few month folders (no tasks x months
+    # small files), files are clustered by video id, and a busy month or even one video
+    # holding a third of all rows is still split across tasks (the key is near-unique).
     fact = write("trending", I.clean(raw_p).withColumn(FACT_PARTITION, X.month_of("video_trending_date")),
-                 range_by=[FACT_PARTITION, "video_id"])
+                 range_by=[FACT_PARTITION, "video_id", "video_trending_date", "video_trending_country"])
     write("video_dim", M.video_dim(fact))
     write("video_reach", M.video_reach(fact))
     write("video_us_stickiness", M.video_stickiness(fact, country))
@@ -100,11 +101,12 @@ def build_all(spark: SparkSession, raw: DataFrame, out_dir: str, country: str =
     write("channel_dim", M.channel_dim(fact))
     write("channel_us_daily", M.channel_daily(fact, country))
     write("channel_us_alltime", M.channel_alltime(fact, country))
-    events = write("us_tag_events_clean", T.tag_events_clean(fact, country), range_by=["month", "tag"])
+    events = write("us_tag_events_clean", T.tag_events_clean(fact, country),
+                   range_by=["month", "tag", "video_id"])
     write("us_tag_monthly_clean", T.tag_monthly_clean(events, fact, country))
     if legacy:
         lev = write("us_tag_events", T.tag_events_legacy(fact, country),
-                    range_by=["month", "tag"], sort_by=["month", "tag", "video_id"])
+                    range_by=["month", "tag", "video_id"], sort_by=["month", "tag", "video_id"])
         totals = write("us_month_totals", T.month_totals_legacy(lev))
         monthly = write("us_tag_monthly", T.tag_monthly_legacy(lev, totals))
         write("us_tag_movers_monthly", T.tag_movers(monthly))
