@@ -64,7 +64,8 @@ def test_rebuild_matches_direct_plans(spark, tables_small, built):
     cols = [c for c in t.trending.columns]
     assert m["trending"].select(cols).exceptAll(t.trending).count() == 0
     assert m["trending"].count() == t.trending.count()
-    for name, direct in [("video_dim", t.video_dim), ("channel_us_alltime", t.channel_alltime),
+    for name, direct in [("video_dim", t.video_dim), ("video_reach", t.video_reach),
+                         ("video_us_stickiness", t.video_stick), ("channel_us_alltime", t.channel_alltime),
                          ("us_tag_events_clean", t.events), ("us_tag_monthly_clean", t.monthly),
                          ("us_tag_monthly", t.monthly_legacy)]:
         stored = m[name].select(direct.columns)

@@ -60,6 +60,37 @@ def video_stickiness(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> Dat
     )
 
 
+def video_profile(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
+    """V2 + V3 + V4 in one aggregation: one scan and one shuffle of the fact instead of three.
+
+    The country-restricted figures use conditional aggregates, so a video without rows in
+    ``country`` has ``country_rows = 0`` and NULL stickiness; ``video_stickiness_of`` drops
+    those rows, which gives exactly V4's set."""
+    here = F.col(COUNTRY) == F.lit(country)
+    day_here = F.when(here, F.col(DATE))
+    return trending.groupBy("video_id").agg(
+        *[latest_non_null(c).alias(c) for c in VIDEO_DIM_ATTRS],
+        F.count_distinct(COUNTRY).alias("countries_count"),
+        F.count_distinct(day_here).alias("days_trended_us"),
+        F.min(day_here).alias("first_trending_us"),
+        F.max(day_here).alias("last_trending_us"),
+        F.count(day_here).alias("country_rows"),
+    )
+
+
+def video_dim_of(profile: DataFrame) -> DataFrame:
+    return profile.select("video_id", *VIDEO_DIM_ATTRS)
+
+
+def video_reach_of(profile: DataFrame) -> DataFrame:
+    return profile.select("video_id", "countries_count")
+
+
+def video_stickiness_of(profile: DataFrame) -> DataFrame:
+    return profile.filter(F.col("country_rows") > 0).select(
+        "video_id", "days_trended_us", "first_trending_us", "last_trending_us")
+
+
 def country_dates(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
     """V5: distinct dates of a country, newest first."""
     return (in_country(trending, country).select(F.col(DATE).alias("date")).distinct()

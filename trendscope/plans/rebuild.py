@@ -36,7 +36,7 @@ PARTITIONS = {
     "us_tag_monthly_clean": ["month"],
 }
 
-CORE_TABLES = ["trending_raw", "trending", "video_dim", "video_reach", "video_us_stickiness",
+CORE_TABLES = ["trending_raw", "trending", "video_profile", "video_dim", "video_reach", "video_us_stickiness",
                "us_dates", "channel_dim", "channel_us_daily", "channel_us_alltime", "us_tag_events_clean",
                "us_tag_monthly_clean"]
 LEGACY_TABLES = ["us_tag_events", "us_month_totals", "us_tag_monthly", "us_tag_movers_monthly"]
@@ -92,9 +92,12 @@ def build_all(spark: SparkSession, raw: DataFrame, out_dir: str, country: str =
     # holding a third of all rows is still split across tasks (the key is near-unique).
     fact = write("trending", I.clean(raw_p).withColumn(FACT_PARTITION, X.month_of("video_trending_date")),
                  range_by=[FACT_PARTITION, "video_id", "video_trending_date", "video_trending_country"])
-    write("video_dim", M.video_dim(fact))
-    write("video_reach", M.video_reach(fact))
-    write("video_us_stickiness", M.video_stickiness(fact, country))
+    # The three per-video marts come from one aggregation of the fact (stored once), then
+    # are projected from that small per-video table.
+    profile = write("video_profile", M.video_profile(fact, country))
+    write("video_dim", M.video_dim_of(profile))
+    write("video_reach", M.video_reach_of(profile))
+    write("video_us_stickiness", M.video_stickiness_of(profile))
     # V5 stored: the country's distinct dates (a few thousand rows), so "latest day" is
     # resolved from it instead of scanning the fact on every request.
     write("us_dates", M.country_dates(fact, country))
