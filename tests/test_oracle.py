@@ -28,3 +28,15 @@ def test_entry_smoke(spark):
                           "video_view_count", "video_like_count", "video_comment_count",
                           "video_trending_date"]
     assert 0 < len(rows) <= 20
+
+
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+          "date": "DATE", "timestamp": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_types_match_oracle(spark, duck_small, name):
+    spark_types = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in QUERIES[name](spark, SF_SMALL).schema.fields}
+    oracle_types = {r[0]: r[1] for r in duck_small.execute(f"DESCRIBE {ORACLE[name]}").fetchall()}
+    assert spark_types == oracle_types

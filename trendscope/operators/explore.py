@@ -168,14 +168,14 @@ def tag_format(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame
         _pct(tags.contains("|"), 2).alias("pct_contains_pipe"),
         _pct(tags.contains("#"), 2).alias("pct_contains_hashtag"),
         F.round(F.avg(F.length(tags)), 1).alias("avg_len"),
-        F.max(F.length(tags)).alias("max_len"))
+        F.max(F.length(tags)).cast("bigint").alias("max_len"))
 
 
 def tags_per_row(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
     """Pieces per usable tag string when split on '|' only: quantiles and max."""
     tags = F.col("video_tags")
     counts = in_country(trending, country).select(
-        F.when(X.has_usable_tags(tags), F.size(F.split(tags, r"\|", -1))).alias("tag_count"))
+        F.when(X.has_usable_tags(tags), F.size(F.split(tags, r"\|", -1)).cast("bigint")).alias("tag_count"))
     return discrete_quantiles(counts, "tag_count", _P, "max_tags")
 
 
