@@ -20,7 +20,6 @@ import argparse
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trendscope.functions import exprs as X
 from trendscope.operators import ingest as I

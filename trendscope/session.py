@@ -31,6 +31,29 @@ SCALE_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, advisory_mb: int = 256) -> dict[str, str]:
+    """Settings for a cluster run sized from the input volume (e.g. 100 TB of raw data).
+
+    Scan splits and post-shuffle partitions target ``advisory_mb``; the initial shuffle
+    partition count is generous (input / advisory, clamped) and AQE coalesces what turns
+    out small, so no task holds more than a few hundred MB of a shuffle. Output files are
+    capped by rows so a busy month is written as many files, not one huge file.
+    """
+    advisory = advisory_mb * 1024 * 1024
+    partitions = max(200, min(200_000, input_bytes // advisory))
+    return {
+        **SCALE_CONF,
+        **SEMANTIC_CONF,
+        "spark.sql.files.maxPartitionBytes": f"{advisory_mb}m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{advisory_mb}m",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{advisory_mb * 4}m",
+        "spark.sql.files.maxRecordsPerFile": "5000000",
+        "spark.sql.sources.partitionOverwriteMode": "static",
+    }
+
+
 def ensure_conf(spark: SparkSession) -> SparkSession:
     """Pin the session time zone to UTC (the reference stores TIMESTAMPTZ rendered as UTC)."""
     for key, value in SEMANTIC_CONF.items():
