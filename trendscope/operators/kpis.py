@@ -38,11 +38,10 @@ def kpi_dashboard(trending: DataFrame, dim: DataFrame, reach: DataFrame, stickin
     """K1: the day, its row count (capped at 200 like the list), top views, top likes,
     max US stickiness and max reach among the day's videos."""
     dv = R.day_value(trending, date, country)
-    day = (in_country(trending, country).filter(F.col(DATE) == dv)
-           .select("video_id", "video_view_count", "video_like_count")
-           .join(dim.select("video_id"), "video_id", "inner")
-           .join(stickiness.select("video_id", "days_trended_us"), "video_id", "left")
-           .join(reach, "video_id", "left"))
+    rows, keys = R._day_rows(trending, dv, country)
+    day = rows.join(dim.select("video_id"), "video_id", "inner")
+    day = R.left_lookup(day, stickiness.select("video_id", "days_trended_us"), keys=keys)
+    day = R.left_lookup(day, reach, keys=keys)
     return day.agg(
         F.least(F.count(F.lit(1)), F.lit(cap)).alias("trending_rows"),
         F.max("video_view_count").alias("top_views"),
@@ -62,7 +61,8 @@ def kpi_channels(daily: DataFrame, alltime: DataFrame, cdim: DataFrame, date, sh
         dv = date
     else:
         dv = F.lit(R._parse_day(date))
-    d = daily.filter(F.col("date") == dv).join(titles, "channel_id", "left")
+    d = daily.filter(F.col("date") == dv)
+    d = R.left_lookup(d, titles, "channel_id", keys=d.select("channel_id") if R.small_enough(d) else None)
     a = alltime.join(titles, "channel_id", "left")
     name = F.coalesce(F.col("channel_title"), F.col("channel_id"))
     d_key = [*desc_key("distinct_videos"), *desc_key("sum_views"), *asc_key("channel_id")]

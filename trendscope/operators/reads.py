@@ -37,6 +37,40 @@ def top_k(df: DataFrame, keys: list[Column], limit: int | None) -> DataFrame:
     return out.limit(limit) if limit is not None else out
 
 
+# Most rows broadcast after a size check: a day of one country, one date's channels, the
+# title hits of a search, a tag's videos in a month. 200k short rows are a few MB.
+SMALL_ROWS = 200_000
+
+
+def small_enough(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
+    """Size check before a broadcast: a bounded job that reads at most ``max_rows + 1`` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+    """``(broadcast(df), True)`` when ``df`` passes the size check, else ``(df, False)``:
+    beyond the bound the join stays a shuffle join planned by Spark/AQE."""
+    if small_enough(df, max_rows):
+        return F.broadcast(df), True
+    return df, False
+
+
+def left_lookup(rows: DataFrame, side: DataFrame, key: str = "video_id",
+                keys: DataFrame | None = None) -> DataFrame:
+    """``rows LEFT JOIN side USING (key)`` where ``side`` is a mart with one row per key.
+
+    Spark can only build the right side of a left outer join, and AQE turns a shuffle join
+    into a broadcast only after both shuffles are written, so joining a few hundred rows to
+    a per-video mart would shuffle the whole mart. With ``keys`` (a size-checked superset of
+    the rows' keys) the mart is first reduced by a broadcast left-semi join, a map-side
+    filter; the reduced mart has at most one row per checked key, so it is broadcast to the
+    outer join. Without ``keys`` the plain join is left to the planner."""
+    if keys is None:
+        return rows.join(side, key, "left")
+    reduced = side.join(F.broadcast(keys), key, "left_semi")
+    return rows.join(F.broadcast(reduced), key, "left")
+
+
 def _parse_day(text: str) -> _dt.date:
     try:
         return _dt.date.fromisoformat(str(text).strip()[:10])
@@ -141,21 +175,29 @@ DAY_COLS = ["video_id", "video_title", "channel_title", "video_default_thumbnail
 _METRICS = {"views": "video_view_count", "likes": "video_like_count"}
 
 
-def _day_with_dim(trending: DataFrame, dim: DataFrame, date, country: str) -> DataFrame:
-    # Filter the day first, then join the dimension: the probe side is one day of one
-    # country; AQE turns the join into a broadcast from the runtime size when it is small.
+def _day_rows(trending: DataFrame, date, country: str) -> tuple[DataFrame, DataFrame | None]:
+    """The day's fact rows, broadcast when they pass the size check, and then their keys."""
     day = _day(trending, date, country).select(
         "video_id", "video_view_count", "video_like_count", "video_comment_count", DATE)
-    return day.join(dim.select("video_id", "video_title", "channel_title", "video_default_thumbnail"),
+    day_b, small = checked_broadcast(day)
+    return day_b, (day.select("video_id") if small else None)
+
+
+def _day_with_dim(trending: DataFrame, dim: DataFrame, date, country: str):
+    """Filter the day first, then join the dimension with the day as the broadcast side, so
+    the per-video mart is streamed, never shuffled. Returns (rows, checked keys or None)."""
+    day, keys = _day_rows(trending, date, country)
+    rows = day.join(dim.select("video_id", "video_title", "channel_title", "video_default_thumbnail"),
                     "video_id", "inner")
+    return rows, keys
 
 
 def day_trending(trending: DataFrame, dim: DataFrame, date=None, limit=None,
                  country: str = DEFAULT_COUNTRY) -> DataFrame:
     """The day's rows with dimension attributes, views desc (default 200, cap 200)."""
     n = X.clamp_limit(limit, 200, 200)
-    rows = _day_with_dim(trending, dim, date, country).select(*DAY_COLS)
-    return top_k(rows, [F.col("video_view_count").desc_nulls_last()], n)
+    rows, _ = _day_with_dim(trending, dim, date, country)
+    return top_k(rows.select(*DAY_COLS), [F.col("video_view_count").desc_nulls_last()], n)
 
 
 def top(trending: DataFrame, dim: DataFrame, metric: str = "views", date=None, limit=None,
@@ -164,8 +206,8 @@ def top(trending: DataFrame, dim: DataFrame, metric: str = "views", date=None, l
     if metric not in _METRICS:
         raise ValueError("metric must be views or likes")
     n = X.clamp_limit(limit, 20, 50)
-    rows = _day_with_dim(trending, dim, date, country).select(*DAY_COLS)
-    return top_k(rows, [F.col(_METRICS[metric]).desc_nulls_last()], n)
+    rows, _ = _day_with_dim(trending, dim, date, country)
+    return top_k(rows.select(*DAY_COLS), [F.col(_METRICS[metric]).desc_nulls_last()], n)
 
 
 def top_advanced(trending: DataFrame, dim: DataFrame, side: DataFrame, metric: str = "stickiness",
@@ -177,8 +219,8 @@ def top_advanced(trending: DataFrame, dim: DataFrame, side: DataFrame, metric: s
         raise ValueError("metric must be stickiness or reach")
     n = X.clamp_limit(limit, 20, 50)
     col = extra[metric]
-    rows = _day_with_dim(trending, dim, date, country).join(
-        side.select("video_id", col), "video_id", "left")
+    joined, keys = _day_with_dim(trending, dim, date, country)
+    rows = left_lookup(joined, side.select("video_id", col), keys=keys)
     rows = rows.select("video_id", "video_title", "channel_title", "video_default_thumbnail", col,
                        "video_view_count", "video_like_count", "video_comment_count", DATE)
     return top_k(rows, [F.col(col).desc_nulls_last(), F.col("video_view_count").desc_nulls_last()], n)
@@ -233,9 +275,10 @@ def channels_daily(daily: DataFrame, cdim: DataFrame, date, limit=None) -> DataF
         dv = daily.agg(F.max("date")).scalar()
     else:
         dv = F.lit(_parse_day(date))
-    rows = (daily.filter(F.col("date") == dv)
-            .join(cdim.select("channel_id", "channel_title"), "channel_id", "left")
-            .select(*CHANNEL_DAILY_COLS))
+    day = daily.filter(F.col("date") == dv)
+    keys = day.select("channel_id") if small_enough(day) else None
+    rows = left_lookup(day, cdim.select("channel_id", "channel_title"), "channel_id", keys=keys
+                       ).select(*CHANNEL_DAILY_COLS)
     return top_k(rows, [F.col("distinct_videos").desc_nulls_last(),
                         F.col("sum_views").desc_nulls_last()], n)
 
@@ -281,9 +324,10 @@ def channel_videos_all(trending: DataFrame, dim: DataFrame, reach: DataFrame, ch
                 F.max("video_like_count").alias("video_like_count"),
                 F.max("video_comment_count").alias("video_comment_count")))
     # Only the channel's videos are needed from the dimension and reach marts.
-    return (vids.join(dim.select("video_id", "video_title", "video_default_thumbnail"), "video_id", "inner")
-            .join(reach, "video_id", "left")
-            .select(*CHANNEL_VIDEO_COLS))
+    # ``vids`` is already hash-partitioned by video (its aggregation), so the planner only
+    # exchanges the marts' side; counting it first would double the scan of the fact.
+    with_dim = vids.join(dim.select("video_id", "video_title", "video_default_thumbnail"), "video_id", "inner")
+    return left_lookup(with_dim, reach).select(*CHANNEL_VIDEO_COLS)
 
 
 def channel_videos(trending: DataFrame, dim: DataFrame, reach: DataFrame, channel_id: str,
@@ -317,15 +361,15 @@ def search_videos(trending: DataFrame, dim: DataFrame, stickiness: DataFrame, re
     text = X.clean_query_text(q)
     n = X.clamp_limit(limit, 20, 50)
     if _scope(scope) == "day":
-        day = _day(trending, date, country).select(
-            "video_id", "video_view_count", "video_like_count", "video_comment_count", DATE)
+        day, _ = _day_rows(trending, date, country)
         hits = dim.filter(X.contains_ci("video_title", text)).select(
             "video_id", "video_title", "channel_id", "channel_title", "video_default_thumbnail")
         rows = day.join(hits, "video_id", "inner").select(*SEARCH_DAY_COLS)
         return top_k(rows, [F.col("video_view_count").desc_nulls_last()], n)
     hits = dim.filter(X.contains_ci("video_title", text))
-    rows = (hits.join(stickiness, "video_id", "inner").join(reach, "video_id", "left")
-            .select(*SEARCH_ALL_COLS))
+    hits_b, small = checked_broadcast(hits)
+    keys = hits.select("video_id") if small else None
+    rows = left_lookup(hits_b.join(stickiness, "video_id", "inner"), reach, keys=keys).select(*SEARCH_ALL_COLS)
     return top_k(rows, [F.col("days_trended_us").desc_nulls_last(),
                         F.col("last_trending_us").desc_nulls_last()], n)
 
@@ -339,8 +383,7 @@ def search_channels(trending: DataFrame, dim: DataFrame, stickiness: DataFrame,
     match = X.contains_ci("channel_title", text) | X.contains_ci("channel_id", text)
     hits = dim.filter(match).select("video_id", "channel_id", "channel_title")
     if _scope(scope) == "day":
-        day = _day(trending, date, country).select(
-            "video_id", "video_view_count", "video_like_count", "video_comment_count")
+        day, _ = _day_rows(trending, date, country)
         rows = day.join(hits, "video_id", "inner").groupBy("channel_id").agg(
             F.max("channel_title").alias("channel_title"),
             F.count_distinct("video_id").alias("distinct_videos"),
@@ -349,7 +392,8 @@ def search_channels(trending: DataFrame, dim: DataFrame, stickiness: DataFrame,
             F.sum("video_comment_count").alias("sum_comments"))
         return top_k(rows, [F.col("distinct_videos").desc_nulls_last(),
                             F.col("sum_views").desc_nulls_last()], n)
-    rows = hits.join(stickiness, "video_id", "inner").groupBy("channel_id").agg(
+    hits_b, _ = checked_broadcast(hits)
+    rows = hits_b.join(stickiness, "video_id", "inner").groupBy("channel_id").agg(
         F.max("channel_title").alias("channel_title"),
         F.count(F.lit(1)).alias("distinct_videos_alltime"),
         F.sum("days_trended_us").alias("total_days_trended_us"),
@@ -405,7 +449,8 @@ def tag_videos_all(events: DataFrame, trending: DataFrame, dim: DataFrame, tag:
         raise ValueError("Missing required query param: tag")
     key = X.lookup_tag(F.lit(tag))
     m = month_value(monthly if monthly is not None else events, month)
-    vids = events.filter((F.col("month") == m) & (F.col("tag") == key)).select("video_id")
+    vids = events.filter((F.col("month") == m) & (F.col("tag") == key)).select("video_id").distinct()
+    vids_b, small = checked_broadcast(vids)
     # The month as a date range (pushed to the scan), not trunc(date) = month; on the stored
     # fact also as the partition value, so only that month's folder is read.
     fact = in_country(trending, country)
@@ -413,9 +458,12 @@ def tag_videos_all(events: DataFrame, trending: DataFrame, dim: DataFrame, tag:
         fact = fact.filter(F.col(FACT_PARTITION) == m)
     rows = (fact.filter((F.col(DATE) >= m) & (F.col(DATE) < F.add_months(m, 1)))
             .select("video_id", DATE, "video_view_count", "video_like_count", "video_comment_count")
-            .join(vids, "video_id", "left_semi")
-            .join(dim.select("video_id", "video_title", "channel_id", "channel_title",
-                             "video_default_thumbnail"), "video_id", "inner"))
+            .join(vids_b, "video_id", "left_semi"))
+    dim_cols = dim.select("video_id", "video_title", "channel_id", "channel_title", "video_default_thumbnail")
+    if small:
+        # one dimension row per checked video: reduce the mart map-side, then broadcast it
+        dim_cols = F.broadcast(dim_cols.join(vids_b, "video_id", "left_semi"))
+    rows = rows.join(dim_cols, "video_id", "inner")
     return rows.groupBy("video_id", "video_title", "channel_id", "channel_title",
                         "video_default_thumbnail").agg(
         F.max("video_view_count").alias("max_views"),
