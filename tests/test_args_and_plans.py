@@ -46,7 +46,8 @@ def test_unknown_ids_give_empty_results(tables_small):
 
 
 def test_country_filter_reaches_nation_scan(tables_small):
-    plan = _plan(R.latest_date(tables_small.trending))
+    from trendscope.operators import ingest as I
+    plan = _plan(R.latest_date(I.clean(tables_small.raw)))
     nation_scan = [line for line in plan.splitlines() if "nation" in line and "FileScan" in line]
     assert nation_scan, plan
     # the raw video-id and date rules are pushed below the joins, into the lineitem side
