@@ -25,7 +25,7 @@ from trendscope.functions import exprs as X
 from trendscope.operators import ingest as I
 from trendscope.operators import marts as M
 from trendscope.operators import tags as T
-from trendscope.schema import DEFAULT_COUNTRY, FACT_PARTITION
+from trendscope.schema import DEFAULT_COUNTRY, FACT_CLUSTER, FACT_PARTITION
 from trendscope.sources import files
 
 # Stored table name -> partition columns (tables absent here are small and unpartitioned).
@@ -85,12 +85,12 @@ def build_all(spark: SparkSession, raw: DataFrame, out_dir: str, country: str =
     }
     timings["build_quality"] = round(time.time() - t0, 3)
 
-    # Range-partition before the partitioned write: each task covers a contiguous slice of
-    # (month, video, day, country), so it writes into few month folders (no tasks x months
-    # small files), files are clustered by video id, and a busy month or even one video
-    # holding a third of all rows is still split across tasks (the key is near-unique).
+    # Range-partition and sort before the partitioned write: each task covers a contiguous
+    # slice of FACT_CLUSTER, so it writes into few month folders (no tasks x months small
+    # files), row groups are ordered by day within a month, and a busy month, day or video
+    # is still split across tasks (the key is near-unique).
     fact = write("trending", I.clean(raw_p).withColumn(FACT_PARTITION, X.month_of("video_trending_date")),
-                 range_by=[FACT_PARTITION, "video_id", "video_trending_date", "video_trending_country"])
+                 range_by=FACT_CLUSTER, sort_by=FACT_CLUSTER)
     # The three per-video marts come from one aggregation of the fact (stored once), then
     # are projected from that small per-video table.
     profile = write("video_profile", M.video_profile(fact, country))
