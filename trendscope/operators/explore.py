@@ -17,6 +17,17 @@ from trendscope.operators.reads import top_k
 from trendscope.schema import DEFAULT_COUNTRY
 
 
+# Fixed values ---------------------------------------------------------------------------
+TOP_N = 20            # rows of the country / video lists
+TAG_TOP_N = 50        # rows of the tag boards and the monthly tag list
+RISING_TOP_N = 30     # rows of the rising-with-floor list
+RISING_FLOOR = 0.002  # minimum current share of a rising tag
+EDA_SHARE_DIGITS = 6  # share rounding of the monthly tag list
+PROFILE_TOP_N = 15    # worst columns in the missing-value profile
+LONG_TAG = 40         # a tag this long or longer counts as long
+# ----------------------------------------------------------------------------------------
+
+
 def _pct(cond: Column, digits: int) -> Column:
     """round(100 * share of rows where ``cond``, digits) as DOUBLE."""
     return F.round(F.lit(100.0) * F.avg(F.when(cond, 1).otherwise(0)), digits)
@@ -52,14 +63,14 @@ def overview(trending: DataFrame) -> DataFrame:
         F.max(DATE).alias("max_date"))
 
 
-def country_volume(trending: DataFrame, n: int = 20) -> DataFrame:
+def country_volume(trending: DataFrame, n: int = TOP_N) -> DataFrame:
     """Top countries by rows."""
     per = trending.filter(F.col(DATE).isNotNull()).groupBy(COUNTRY).agg(
         F.count(F.lit(1)).alias("rows"))
     return top_k(per, [F.col("rows").desc_nulls_last()], n)
 
 
-def country_coverage(trending: DataFrame, n: int = 20) -> DataFrame:
+def country_coverage(trending: DataFrame, n: int = TOP_N) -> DataFrame:
     """Coverage view ordered by rows."""
     return top_k(available_dates(trending), [F.col("rows").desc_nulls_last()], n)
 
@@ -91,7 +102,7 @@ def null_dates_by_country(trending: DataFrame) -> DataFrame:
     return top_k(per, [F.col("rows").desc_nulls_last()], None)
 
 
-def daily_volume(trending: DataFrame, n: int = 20) -> DataFrame:
+def daily_volume(trending: DataFrame, n: int = TOP_N) -> DataFrame:
     """Busiest (country, day) pairs."""
     per = trending.groupBy(COUNTRY, DATE).agg(F.count(F.lit(1)).alias("rows_that_day"))
     return top_k(per, [F.col("rows_that_day").desc_nulls_last()], n)
@@ -109,7 +120,7 @@ def reach_dist(trending: DataFrame) -> DataFrame:
     return discrete_quantiles(per, "countries", _P, "max_countries")
 
 
-def most_global(trending: DataFrame, n: int = 20) -> DataFrame:
+def most_global(trending: DataFrame, n: int = TOP_N) -> DataFrame:
     """Videos trending in the most countries."""
     per = trending.groupBy("video_id").agg(
         F.max("video_title").alias("video_title"),
@@ -118,7 +129,7 @@ def most_global(trending: DataFrame, n: int = 20) -> DataFrame:
     return top_k(per, [F.col("countries").desc_nulls_last()], n)
 
 
-def stickiest_by_country(trending: DataFrame, n: int = 20) -> DataFrame:
+def stickiest_by_country(trending: DataFrame, n: int = TOP_N) -> DataFrame:
     """Longest-trending (country, video) pairs with titles. The reference re-joins
     the aggregate to the fact for the titles; one aggregation gives the same rows."""
     per = trending.groupBy(COUNTRY, "video_id").agg(
@@ -195,7 +206,7 @@ def _tag_board(events: DataFrame, n: int) -> DataFrame:
 
 
 def top_tags(trending: DataFrame, country: str = DEFAULT_COUNTRY, sep: str = "both",
-             n: int = 50) -> DataFrame:
+             n: int = TAG_TOP_N) -> DataFrame:
     """E16 (``sep='pipe'``) / E21a (``sep='both'``): top tags by distinct videos."""
     from trendscope.operators.tags import tag_events_legacy
     if sep not in ("pipe", "both"):
@@ -214,7 +225,7 @@ def tag_spam(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
     """Long tags, tags with 'http', tags with '@' ('|' split)."""
     t = F.col("tag")
     return pipe_tags(trending, country).agg(
-        F.sum(F.when(F.length(t) >= 40, 1).otherwise(0)).alias("tags_len_ge_40"),
+        F.sum(F.when(F.length(t) >= LONG_TAG, 1).otherwise(0)).alias("tags_len_ge_40"),
         F.sum(F.when(t.contains("http"), 1).otherwise(0)).alias("tags_with_http"),
         F.sum(F.when(t.contains("@"), 1).otherwise(0)).alias("tags_with_at"))
 
@@ -233,7 +244,7 @@ def tag_quality(events: DataFrame) -> DataFrame:
     return events.agg(
         F.count(F.lit(1)).alias("total_tags"),
         F.count_distinct("tag").alias("unique_tags"),
-        _pct(F.length(t) >= 40, 2).alias("pct_len_ge_40"),
+        _pct(F.length(t) >= LONG_TAG, 2).alias("pct_len_ge_40"),
         _pct(t.contains("http"), 4).alias("pct_has_http"),
         _pct(t.contains("@"), 4).alias("pct_has_at"),
         _pct(F.instr(t, " ") > 0, 2).alias("pct_has_spaces"))
@@ -247,7 +258,7 @@ def tag_view_stats(events: DataFrame, view_name: str | None = None) -> DataFrame
     return events.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("tag").alias("unique_tags"))
 
 
-def tag_monthly_eda(events: DataFrame, digits: int = 6, n: int = 50) -> DataFrame:
+def tag_monthly_eda(events: DataFrame, digits: int = EDA_SHARE_DIGITS, n: int = TAG_TOP_N) -> DataFrame:
     """E21d: monthly tag counts with share rounded to ``digits``, newest month first."""
     from trendscope.operators.tags import tag_monthly_legacy
     monthly = tag_monthly_legacy(events, digits=digits)
@@ -255,7 +266,7 @@ def tag_monthly_eda(events: DataFrame, digits: int = 6, n: int = 50) -> DataFram
                            F.col("distinct_videos").desc_nulls_last()], n)
 
 
-def rising_floor(events: DataFrame, floor: float = 0.002, n: int = 30) -> DataFrame:
+def rising_floor(events: DataFrame, floor: float = RISING_FLOOR, n: int = RISING_TOP_N) -> DataFrame:
     """Over all months, tags whose unrounded share rose against the calendar-previous
     month, with a noise floor on the current share."""
     from trendscope.operators.tags import lift_col, month_totals_legacy, with_previous_month
@@ -273,7 +284,7 @@ def rising_floor(events: DataFrame, floor: float = 0.002, n: int = 30) -> DataFr
 
 # --- S11: profile ---------------------------------------------------------------------------------------
 
-def profile_missing(df: DataFrame, n: int = 15) -> DataFrame:
+def profile_missing(df: DataFrame, n: int = PROFILE_TOP_N) -> DataFrame:
     """S11 (re-aimed): % missing per column over all rows in one pass, worst ``n``."""
     rates = df.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in df.columns])
     pairs = ", ".join(f"'{c}', `{c}`" for c in df.columns)

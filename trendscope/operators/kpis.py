@@ -34,7 +34,7 @@ def first_by(value: str, *key: Column) -> Column:
 
 
 def kpi_dashboard(trending: DataFrame, dim: DataFrame, reach: DataFrame, stickiness: DataFrame,
-                  date=None, country: str = DEFAULT_COUNTRY, cap: int = 200) -> DataFrame:
+                  date=None, country: str = DEFAULT_COUNTRY, cap: int = R.PAGE["day_trending"][0]) -> DataFrame:
     """K1: the day, its row count (capped at 200 like the list), top views, top likes,
     max US stickiness and max reach among the day's videos."""
     dv = R.day_value(trending, date, country)
@@ -51,7 +51,7 @@ def kpi_dashboard(trending: DataFrame, dim: DataFrame, reach: DataFrame, stickin
     ).select(dv.alias("date"), "trending_rows", "top_views", "top_likes", "max_stickiness", "max_reach")
 
 
-def kpi_channels(daily: DataFrame, alltime: DataFrame, cdim: DataFrame, date, shown: int = 20) -> DataFrame:
+def kpi_channels(daily: DataFrame, alltime: DataFrame, cdim: DataFrame, date, shown: int = R.PAGE["channels_daily"][0]) -> DataFrame:
     """K2: one row per board ('daily', 'alltime'): channels shown, the leading channel
     (title, else id), its distinct videos and (all-time) days active."""
     titles = cdim.select("channel_id", "channel_title")
@@ -83,7 +83,7 @@ def kpi_channels(daily: DataFrame, alltime: DataFrame, cdim: DataFrame, date, sh
 
 
 def kpi_channel_videos(trending: DataFrame, dim: DataFrame, reach: DataFrame, channel_id: str,
-                       country: str = DEFAULT_COUNTRY, shown: int = 200) -> DataFrame:
+                       country: str = DEFAULT_COUNTRY, shown: int = R.PAGE["channel_videos"][0]) -> DataFrame:
     """K3: videos shown, and the first video's US days and max views."""
     rows = R.channel_videos_all(trending, dim, reach, channel_id, country)
     key = [*desc_key("days_trended_us"), *desc_key("video_view_count"), *asc_key("video_id")]
@@ -105,7 +105,7 @@ def kpi_video_history(trending: DataFrame, video_id: str, country: str = DEFAULT
         .alias("latest_views"))
 
 
-def kpi_video_spread(trending: DataFrame, video_id: str, shown: int = 20) -> DataFrame:
+def kpi_video_spread(trending: DataFrame, video_id: str, shown: int = R.SPREAD_TOP) -> DataFrame:
     """K5: countries shown, the top country and its days."""
     per = R.video_spread(trending, video_id, n=None)
     key = [*desc_key("days"), *asc_key("country")]
@@ -149,7 +149,7 @@ def kpi_tag_series(monthly: DataFrame, tag: str) -> DataFrame:
 
 def kpi_tag_videos(events: DataFrame, trending: DataFrame, dim: DataFrame, tag: str, month=None,
                    metric: str = "views", monthly: DataFrame | None = None,
-                   country: str = DEFAULT_COUNTRY, shown: int = 20) -> DataFrame:
+                   country: str = DEFAULT_COUNTRY, shown: int = R.PAGE["tag_videos"][0]) -> DataFrame:
     """K8: videos shown, and the first video's days in the month and its ranked metric."""
     order = {"views": "max_views", "likes": "max_likes"}
     if metric not in order:

@@ -27,6 +27,27 @@ from trendscope.operators.tags import latest_month_value
 from trendscope.schema import DEFAULT_COUNTRY, FACT_PARTITION
 
 
+# Fixed values ---------------------------------------------------------------------------
+# Page-size contract of the read queries: ``limit`` -> (default, cap), clamped to [1, cap].
+PAGE = {
+    "country_trending": (50, 200),
+    "day_trending": (200, 200),
+    "top": (20, 50),
+    "top_advanced": (20, 50),
+    "channels_daily": (20, 100),
+    "channels_alltime": (20, 100),
+    "channel_videos": (200, 500),
+    "search": (20, 50),
+    "tags_top": (50, 200),
+    "tags_rising": (50, 200),
+    "tags_falling": (50, 200),
+    "tag_videos": (20, 200),
+}
+DATES_LIMIT = 4000   # date list length
+SPREAD_TOP = 20      # countries in a video's spread
+# ----------------------------------------------------------------------------------------
+
+
 # --- helpers --------------------------------------------------------------------------------
 
 def top_k(df: DataFrame, keys: list[Column], limit: int | None) -> DataFrame:
@@ -156,7 +177,7 @@ def country_trending(trending: DataFrame, country: str, date=None, limit=None) -
     """A4: one country's day straight from the fact, views desc (default 50, cap 200)."""
     if not country:
         raise ValueError("Missing required query param: country")
-    n = X.clamp_limit(limit, 50, 200)
+    n = X.clamp_limit(limit, *PAGE["country_trending"])
     day = _day(trending, date, country).select(
         "video_id", "video_title", "channel_title", "video_default_thumbnail", "video_category_id",
         _ts_text("video_published_at").alias("video_published_at"), DATE,
@@ -164,7 +185,7 @@ def country_trending(trending: DataFrame, country: str, date=None, limit=None) -
     return top_k(day, [F.col("video_view_count").desc_nulls_last()], n)
 
 
-def dates(trending: DataFrame, country: str = DEFAULT_COUNTRY, limit: int = 4000) -> DataFrame:
+def dates(trending: DataFrame, country: str = DEFAULT_COUNTRY, limit: int = DATES_LIMIT) -> DataFrame:
     """A5: the country's dates, newest first, at most 4000."""
     return country_dates(trending, country).limit(limit)
 
@@ -195,7 +216,7 @@ def _day_with_dim(trending: DataFrame, dim: DataFrame, date, country: str):
 def day_trending(trending: DataFrame, dim: DataFrame, date=None, limit=None,
                  country: str = DEFAULT_COUNTRY) -> DataFrame:
     """The day's rows with dimension attributes, views desc (default 200, cap 200)."""
-    n = X.clamp_limit(limit, 200, 200)
+    n = X.clamp_limit(limit, *PAGE["day_trending"])
     rows, _ = _day_with_dim(trending, dim, date, country)
     return top_k(rows.select(*DAY_COLS), [F.col("video_view_count").desc_nulls_last()], n)
 
@@ -205,7 +226,7 @@ def top(trending: DataFrame, dim: DataFrame, metric: str = "views", date=None, l
     """The day's top videos by views or likes (default 20, cap 50)."""
     if metric not in _METRICS:
         raise ValueError("metric must be views or likes")
-    n = X.clamp_limit(limit, 20, 50)
+    n = X.clamp_limit(limit, *PAGE["top"])
     rows, _ = _day_with_dim(trending, dim, date, country)
     return top_k(rows.select(*DAY_COLS), [F.col(_METRICS[metric]).desc_nulls_last()], n)
 
@@ -217,7 +238,7 @@ def top_advanced(trending: DataFrame, dim: DataFrame, side: DataFrame, metric: s
     extra = {"stickiness": "days_trended_us", "reach": "countries_count"}
     if metric not in extra:
         raise ValueError("metric must be stickiness or reach")
-    n = X.clamp_limit(limit, 20, 50)
+    n = X.clamp_limit(limit, *PAGE["top_advanced"])
     col = extra[metric]
     joined, keys = _day_with_dim(trending, dim, date, country)
     rows = left_lookup(joined, side.select("video_id", col), keys=keys)
@@ -247,7 +268,7 @@ def video_history(trending: DataFrame, video_id: str, country: str = DEFAULT_COU
     return top_k(rows, [F.col("date").asc_nulls_last()], None)
 
 
-def video_spread(trending: DataFrame, video_id: str, n: int = 20) -> DataFrame:
+def video_spread(trending: DataFrame, video_id: str, n: int = SPREAD_TOP) -> DataFrame:
     """Distinct trending days per country for one video, top ``n``."""
     per = (trending.filter(F.col("video_id") == F.lit(video_id))
            .groupBy(F.col(COUNTRY).alias("country"))
@@ -266,7 +287,7 @@ def channels_daily(daily: DataFrame, cdim: DataFrame, date, limit=None) -> DataF
 
     ``date`` is a literal, a Column or a one-row DataFrame (resolve the latest day with
     ``latest_date(trending)``: the reference reads it from the fact)."""
-    n = X.clamp_limit(limit, 20, 100)
+    n = X.clamp_limit(limit, *PAGE["channels_daily"])
     if isinstance(date, DataFrame):
         dv = date.scalar()
     elif isinstance(date, Column):
@@ -290,7 +311,7 @@ CHANNEL_ALLTIME_COLS = ["channel_id", "channel_title", "distinct_videos_alltime"
 
 def channels_alltime(alltime: DataFrame, cdim: DataFrame, limit=None) -> DataFrame:
     """All-time channel board (H3 + H1) (default 20, cap 100)."""
-    n = X.clamp_limit(limit, 20, 100)
+    n = X.clamp_limit(limit, *PAGE["channels_alltime"])
     rows = (alltime.join(cdim.select("channel_id", "channel_title"), "channel_id", "left")
             .select(*CHANNEL_ALLTIME_COLS))
     return top_k(rows, [F.col("distinct_videos_alltime").desc_nulls_last(),
@@ -333,7 +354,7 @@ def channel_videos_all(trending: DataFrame, dim: DataFrame, reach: DataFrame, ch
 def channel_videos(trending: DataFrame, dim: DataFrame, reach: DataFrame, channel_id: str,
                    limit=None, country: str = DEFAULT_COUNTRY) -> DataFrame:
     """The channel's videos by US days then max views (default 200, cap 500)."""
-    n = X.clamp_limit(limit, 200, 500)
+    n = X.clamp_limit(limit, *PAGE["channel_videos"])
     rows = channel_videos_all(trending, dim, reach, channel_id, country)
     return top_k(rows, [F.col("days_trended_us").desc_nulls_last(),
                         F.col("video_view_count").desc_nulls_last()], n)
@@ -359,7 +380,7 @@ def search_videos(trending: DataFrame, dim: DataFrame, stickiness: DataFrame, re
                   country: str = DEFAULT_COUNTRY) -> DataFrame:
     """A14a/b: title search, in one day (views desc) or over all US days (days desc)."""
     text = X.clean_query_text(q)
-    n = X.clamp_limit(limit, 20, 50)
+    n = X.clamp_limit(limit, *PAGE["search"])
     if _scope(scope) == "day":
         day, _ = _day_rows(trending, date, country)
         hits = dim.filter(X.contains_ci("video_title", text)).select(
@@ -379,7 +400,7 @@ def search_channels(trending: DataFrame, dim: DataFrame, stickiness: DataFrame,
                     country: str = DEFAULT_COUNTRY) -> DataFrame:
     """A14c/d: channel search on title OR id, per channel, in one day or over all days."""
     text = X.clean_query_text(q)
-    n = X.clamp_limit(limit, 20, 50)
+    n = X.clamp_limit(limit, *PAGE["search"])
     match = X.contains_ci("channel_title", text) | X.contains_ci("channel_id", text)
     hits = dim.filter(match).select("video_id", "channel_id", "channel_title")
     if _scope(scope) == "day":
@@ -425,13 +446,13 @@ def tag_pairs(monthly: DataFrame, month=None) -> DataFrame:
 
 def tags_rising(monthly: DataFrame, month=None, limit=None) -> DataFrame:
     """Tags by share gain over the previous month, new tags included (default 50, cap 200)."""
-    n = X.clamp_limit(limit, 50, 200)
+    n = X.clamp_limit(limit, *PAGE["tags_rising"])
     return top_k(tag_pairs(monthly, month), [F.col("delta").desc_nulls_last()], n)
 
 
 def tags_falling(monthly: DataFrame, month=None, limit=None) -> DataFrame:
     """Tags present in both months by share loss (default 50, cap 200)."""
-    n = X.clamp_limit(limit, 50, 200)
+    n = X.clamp_limit(limit, *PAGE["tags_falling"])
     rows = tag_pairs(monthly, month).filter(F.col("share_prev").isNotNull())
     return top_k(rows, [F.col("delta").asc_nulls_last()], n)
 
@@ -481,7 +502,7 @@ def tag_videos(events: DataFrame, trending: DataFrame, dim: DataFrame, tag: str,
     order = {"views": "max_views", "likes": "max_likes"}
     if metric not in order:
         raise ValueError("metric must be views or likes")
-    n = X.clamp_limit(limit, 20, 200)
+    n = X.clamp_limit(limit, *PAGE["tag_videos"])
     rows = tag_videos_all(events, trending, dim, tag, month, monthly, country)
     return top_k(rows.select(*TAG_VIDEO_COLS), [F.col(order[metric]).desc_nulls_last()], n)
 
@@ -508,7 +529,7 @@ def tag_series(tag: str, monthly_clean: DataFrame | None = None,
 
 def tags_top(monthly: DataFrame, month=None, limit=None) -> DataFrame:
     """Top tags of a month by share (default 50, cap 200)."""
-    n = X.clamp_limit(limit, 50, 200)
+    n = X.clamp_limit(limit, *PAGE["tags_top"])
     rows = monthly.filter(F.col("month") == month_value(monthly, month)).select(
         "tag", "distinct_videos", F.col("total_videos_tagged").alias("total_videos"), "video_share")
     return top_k(rows, [F.col("video_share").desc_nulls_last()], n)

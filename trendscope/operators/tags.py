@@ -25,6 +25,13 @@ from trendscope.operators.marts import DATE, in_country
 from trendscope.schema import DEFAULT_COUNTRY
 
 
+# Fixed values ---------------------------------------------------------------------------
+LATEST_TOP_N = 10        # rows of the latest-month tag lists
+LATEST_SHARE_DIGITS = 6  # share rounding of the clean latest-month list
+MART_SHARE_DIGITS = 8    # share rounding of the legacy monthly mart
+# ----------------------------------------------------------------------------------------
+
+
 # --- T1-T5: clean pipeline ------------------------------------------------------------------
 
 def tag_events_clean(trending: DataFrame, country: str = DEFAULT_COUNTRY,
@@ -101,12 +108,12 @@ def latest_month_value(monthly: DataFrame) -> Column:
     return monthly.agg(F.max("month")).scalar()
 
 
-def top_tags_latest(monthly: DataFrame, n: int = 10) -> DataFrame:
+def top_tags_latest(monthly: DataFrame, n: int = LATEST_TOP_N) -> DataFrame:
     """T5: top ``n`` tags of the latest month by share, share rounded to 6 places."""
     latest = monthly.filter(F.col("month") == latest_month_value(monthly))
     out = latest.select(
         "tag", "distinct_videos", "total_videos_tagged",
-        F.round("video_share", 6).alias("share"), "video_share")
+        F.round("video_share", LATEST_SHARE_DIGITS).alias("share"), "video_share")
     return (out.orderBy(F.col("video_share").desc_nulls_last(), F.col("tag").asc_nulls_last())
             .limit(n).drop("video_share"))
 
@@ -136,7 +143,7 @@ def month_totals_legacy(events: DataFrame) -> DataFrame:
 
 
 def tag_monthly_legacy(events: DataFrame, totals: DataFrame | None = None,
-                       digits: int = 8) -> DataFrame:
+                       digits: int = MART_SHARE_DIGITS) -> DataFrame:
     """Per (month, tag): distinct videos, raw appearances, month total and the share
     rounded to ``digits`` places (8 in the mart, 6 in the notebook)."""
     totals = totals if totals is not None else month_totals_legacy(events)
@@ -186,7 +193,7 @@ def tag_legacy_stats(events: DataFrame) -> DataFrame:
     )
 
 
-def top_tags_latest_legacy(monthly: DataFrame, n: int = 10) -> DataFrame:
+def top_tags_latest_legacy(monthly: DataFrame, n: int = LATEST_TOP_N) -> DataFrame:
     """Top ``n`` tags of the latest month by distinct videos."""
     latest = monthly.filter(F.col("month") == latest_month_value(monthly))
     return (latest.select("tag", "distinct_videos", "total_videos", "video_share")

@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from trendscope.schema import RAW_SCHEMA
 
 
-def read_raw(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+def read_raw(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
     """Raw CSV with header; every column read as text (types come from ``clean``).
 
-    ``mode='PERMISSIVE'`` keeps malformed lines as NULL-padded rows so that the cleaning
-    rules count and drop them, as the reference's loader does; ``'FAILFAST'`` stops instead.
+    ``mode='FAILFAST'`` stops on a structurally malformed line, as the reference's loader
+    does (bad values are not malformed: they are text and the cleaning rules count and drop
+    them); ``'PERMISSIVE'`` keeps such lines as NULL-padded rows instead.
     """
     return (spark.read.schema(RAW_SCHEMA)
             .option("header", True)
