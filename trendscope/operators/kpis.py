@@ -83,9 +83,10 @@ def kpi_channels(daily: DataFrame, alltime: DataFrame, cdim: DataFrame, date, sh
 
 
 def kpi_channel_videos(trending: DataFrame, dim: DataFrame, reach: DataFrame, channel_id: str,
-                       country: str = DEFAULT_COUNTRY, shown: int = R.PAGE["channel_videos"][0]) -> DataFrame:
+                       country: str = DEFAULT_COUNTRY, shown: int = R.PAGE["channel_videos"][0],
+                       stats: DataFrame | None = None) -> DataFrame:
     """K3: videos shown, and the first video's US days and max views."""
-    rows = R.channel_videos_all(trending, dim, reach, channel_id, country)
+    rows = R.channel_videos_all(trending, dim, reach, channel_id, country, stats)
     key = [*desc_key("days_trended_us"), *desc_key("video_view_count"), *asc_key("video_id")]
     return rows.agg(
         F.least(F.count(F.lit(1)), F.lit(shown)).alias("videos_shown"),
@@ -149,12 +150,13 @@ def kpi_tag_series(monthly: DataFrame, tag: str) -> DataFrame:
 
 def kpi_tag_videos(events: DataFrame, trending: DataFrame, dim: DataFrame, tag: str, month=None,
                    metric: str = "views", monthly: DataFrame | None = None,
-                   country: str = DEFAULT_COUNTRY, shown: int = R.PAGE["tag_videos"][0]) -> DataFrame:
+                   country: str = DEFAULT_COUNTRY, shown: int = R.PAGE["tag_videos"][0],
+                   stats: DataFrame | None = None) -> DataFrame:
     """K8: videos shown, and the first video's days in the month and its ranked metric."""
     order = {"views": "max_views", "likes": "max_likes"}
     if metric not in order:
         raise ValueError("metric must be views or likes")
-    rows = R.tag_videos_all(events, trending, dim, tag, month, monthly, country)
+    rows = R.tag_videos_all(events, trending, dim, tag, month, monthly, country, stats)
     key = [*desc_key(order[metric]), *asc_key("video_id")]
     return rows.agg(
         F.least(F.count(F.lit(1)), F.lit(shown)).alias("videos_shown"),

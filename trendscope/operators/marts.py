@@ -128,3 +128,32 @@ def channel_alltime(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> Data
         F.sum("video_view_count").alias("sum_views_alltime"),
         F.sum("video_like_count").alias("sum_likes_alltime"),
     )
+
+
+def channel_video_stats(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
+    """Per (channel, video) in one country: distinct days, first/last day and the largest
+    counters -- the per-video figures of the channel page (A13b), pre-aggregated. Stored
+    clustered by channel, so a channel page reads its own rows instead of the fact."""
+    return in_country(trending, country).groupBy("channel_id", "video_id").agg(
+        F.count_distinct(DATE).alias("days_trended_us"),
+        F.min(DATE).alias("first_trending_us"),
+        F.max(DATE).alias("last_trending_us"),
+        F.max("video_view_count").alias("video_view_count"),
+        F.max("video_like_count").alias("video_like_count"),
+        F.max("video_comment_count").alias("video_comment_count"),
+    )
+
+
+def video_month_stats(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
+    """Per (month, video) in one country: largest counters, distinct days, first/last day --
+    the per-video figures of a tag's videos in a month (A17), pre-aggregated. Stored
+    partitioned by month, so the tag page reads one month of per-video rows."""
+    from trendscope.functions.exprs import month_of
+    return in_country(trending, country).groupBy(month_of(DATE).alias("month"), "video_id").agg(
+        F.max("video_view_count").alias("max_views"),
+        F.max("video_like_count").alias("max_likes"),
+        F.max("video_comment_count").alias("max_comments"),
+        F.count_distinct(DATE).alias("days_trended_in_month"),
+        F.min(DATE).alias("first_date"),
+        F.max(DATE).alias("last_date"),
+    )

@@ -334,28 +334,38 @@ CHANNEL_VIDEO_COLS = ["video_id", "video_title", "video_default_thumbnail", "day
 
 
 def channel_videos_all(trending: DataFrame, dim: DataFrame, reach: DataFrame, channel_id: str,
-                       country: str = DEFAULT_COUNTRY) -> DataFrame:
-    """A13b without the limit: per video of the channel in the country."""
-    vids = (in_country(trending, country).filter(F.col("channel_id") == F.lit(channel_id))
-            .groupBy("video_id").agg(
-                F.count_distinct(DATE).alias("days_trended_us"),
-                F.min(DATE).alias("first_trending_us"),
-                F.max(DATE).alias("last_trending_us"),
-                F.max("video_view_count").alias("video_view_count"),
-                F.max("video_like_count").alias("video_like_count"),
-                F.max("video_comment_count").alias("video_comment_count")))
-    # Only the channel's videos are needed from the dimension and reach marts.
-    # ``vids`` is already hash-partitioned by video (its aggregation), so the planner only
-    # exchanges the marts' side; counting it first would double the scan of the fact.
+                       country: str = DEFAULT_COUNTRY, stats: DataFrame | None = None) -> DataFrame:
+    """A13b without the limit: per video of the channel in the country.
+
+    ``stats`` (``marts.channel_video_stats``, stored by the rebuild) replaces the per-request
+    aggregation of the fact; then the channel's rows are size-checked and the marts are
+    reduced to them and broadcast."""
+    cid = F.lit(channel_id)
+    if stats is not None:
+        vids = stats.filter(F.col("channel_id") == cid).drop("channel_id")
+        vids, small = checked_broadcast(vids)
+        keys = vids.select("video_id") if small else None
+    else:
+        # ``vids`` is hash-partitioned by video by its aggregation, so the planner only
+        # exchanges the marts' side; counting it first would double the scan of the fact.
+        vids = (in_country(trending, country).filter(F.col("channel_id") == cid)
+                .groupBy("video_id").agg(
+                    F.count_distinct(DATE).alias("days_trended_us"),
+                    F.min(DATE).alias("first_trending_us"),
+                    F.max(DATE).alias("last_trending_us"),
+                    F.max("video_view_count").alias("video_view_count"),
+                    F.max("video_like_count").alias("video_like_count"),
+                    F.max("video_comment_count").alias("video_comment_count")))
+        keys = None
     with_dim = vids.join(dim.select("video_id", "video_title", "video_default_thumbnail"), "video_id", "inner")
-    return left_lookup(with_dim, reach).select(*CHANNEL_VIDEO_COLS)
+    return left_lookup(with_dim, reach, keys=keys).select(*CHANNEL_VIDEO_COLS)
 
 
 def channel_videos(trending: DataFrame, dim: DataFrame, reach: DataFrame, channel_id: str,
-                   limit=None, country: str = DEFAULT_COUNTRY) -> DataFrame:
+                   limit=None, country: str = DEFAULT_COUNTRY, stats: DataFrame | None = None) -> DataFrame:
     """The channel's videos by US days then max views (default 200, cap 500)."""
     n = X.clamp_limit(limit, *PAGE["channel_videos"])
-    rows = channel_videos_all(trending, dim, reach, channel_id, country)
+    rows = channel_videos_all(trending, dim, reach, channel_id, country, stats)
     return top_k(rows, [F.col("days_trended_us").desc_nulls_last(),
                         F.col("video_view_count").desc_nulls_last()], n)
 
@@ -463,48 +473,55 @@ TAG_VIDEO_COLS = ["video_id", "video_title", "channel_id", "channel_title", "vid
 
 
 def tag_videos_all(events: DataFrame, trending: DataFrame, dim: DataFrame, tag: str, month=None,
-                   monthly: DataFrame | None = None, country: str = DEFAULT_COUNTRY) -> DataFrame:
+                   monthly: DataFrame | None = None, country: str = DEFAULT_COUNTRY,
+                   stats: DataFrame | None = None) -> DataFrame:
     """A17 without order/limit: the videos carrying ``tag`` in ``month``, their rows in that
-    month aggregated. The tag is normalised with the lookup rules (T13)."""
+    month aggregated. The tag is normalised with the lookup rules (T13).
+
+    ``stats`` (``marts.video_month_stats``, stored by the rebuild) replaces the aggregation
+    of the month's fact rows with a read of one month of per-video rows."""
     if not tag:
         raise ValueError("Missing required query param: tag")
     key = X.lookup_tag(F.lit(tag))
     m = month_value(monthly if monthly is not None else events, month)
     vids = events.filter((F.col("month") == m) & (F.col("tag") == key)).select("video_id").distinct()
     vids_b, small = checked_broadcast(vids)
-    # The month as a date range (pushed to the scan), not trunc(date) = month; on the stored
-    # fact also as the partition value, so only that month's folder is read.
-    fact = in_country(trending, country)
-    if FACT_PARTITION in trending.columns:
-        fact = fact.filter(F.col(FACT_PARTITION) == m)
-    rows = (fact.filter((F.col(DATE) >= m) & (F.col(DATE) < F.add_months(m, 1)))
-            .select("video_id", DATE, "video_view_count", "video_like_count", "video_comment_count")
-            .join(vids_b, "video_id", "left_semi"))
+    if stats is not None:
+        per_video = (stats.filter(F.col("month") == m).drop("month")
+                     .join(vids_b, "video_id", "left_semi"))
+    else:
+        # The month as a date range (pushed to the scan), not trunc(date) = month; on the
+        # stored fact also as the partition value, so only that month's folder is read.
+        fact = in_country(trending, country)
+        if FACT_PARTITION in trending.columns:
+            fact = fact.filter(F.col(FACT_PARTITION) == m)
+        rows = (fact.filter((F.col(DATE) >= m) & (F.col(DATE) < F.add_months(m, 1)))
+                .select("video_id", DATE, "video_view_count", "video_like_count", "video_comment_count")
+                .join(vids_b, "video_id", "left_semi"))
+        per_video = rows.groupBy("video_id").agg(
+            F.max("video_view_count").alias("max_views"),
+            F.max("video_like_count").alias("max_likes"),
+            F.max("video_comment_count").alias("max_comments"),
+            F.count_distinct(DATE).alias("days_trended_in_month"),
+            F.min(DATE).alias("first_date"),
+            F.max(DATE).alias("last_date"))
     dim_cols = dim.select("video_id", "video_title", "channel_id", "channel_title", "video_default_thumbnail")
     if small:
         # one dimension row per checked video: reduce the mart map-side, then broadcast it
         dim_cols = F.broadcast(dim_cols.join(vids_b, "video_id", "left_semi"))
-    rows = rows.join(dim_cols, "video_id", "inner")
-    return rows.groupBy("video_id", "video_title", "channel_id", "channel_title",
-                        "video_default_thumbnail").agg(
-        F.max("video_view_count").alias("max_views"),
-        F.max("video_like_count").alias("max_likes"),
-        F.max("video_comment_count").alias("max_comments"),
-        F.count_distinct(DATE).alias("days_trended_in_month"),
-        F.min(DATE).alias("first_date"),
-        F.max(DATE).alias("last_date"))
+    return per_video.join(dim_cols, "video_id", "inner").select(*TAG_VIDEO_COLS)
 
 
 def tag_videos(events: DataFrame, trending: DataFrame, dim: DataFrame, tag: str, month=None,
                metric: str = "views", limit=None, monthly: DataFrame | None = None,
-               country: str = DEFAULT_COUNTRY) -> DataFrame:
+               country: str = DEFAULT_COUNTRY, stats: DataFrame | None = None) -> DataFrame:
     """Videos of a tag in a month ordered by max views or max likes (default 20, cap 200)."""
     order = {"views": "max_views", "likes": "max_likes"}
     if metric not in order:
         raise ValueError("metric must be views or likes")
     n = X.clamp_limit(limit, *PAGE["tag_videos"])
-    rows = tag_videos_all(events, trending, dim, tag, month, monthly, country)
-    return top_k(rows.select(*TAG_VIDEO_COLS), [F.col(order[metric]).desc_nulls_last()], n)
+    rows = tag_videos_all(events, trending, dim, tag, month, monthly, country, stats)
+    return top_k(rows, [F.col(order[metric]).desc_nulls_last()], n)
 
 
 def tag_series(tag: str, monthly_clean: DataFrame | None = None,

@@ -33,10 +33,12 @@ PARTITIONS = {
     "trending": [FACT_PARTITION],
     "us_tag_events_clean": ["month"],
     "us_tag_monthly_clean": ["month"],
+    "video_month_us": ["month"],
 }
 
 CORE_TABLES = ["trending_raw", "trending", "video_profile", "video_dim", "video_reach", "video_us_stickiness",
-               "us_dates", "channel_dim", "channel_us_daily", "channel_us_alltime", "us_tag_events_clean",
+               "us_dates", "channel_dim", "channel_us_daily", "channel_us_alltime", "channel_video_us",
+               "video_month_us", "us_tag_events_clean",
                "us_tag_monthly_clean"]
 LEGACY_TABLES = ["us_tag_events", "us_month_totals", "us_tag_monthly", "us_tag_movers_monthly"]
 
@@ -103,6 +105,11 @@ def build_all(spark: SparkSession, raw: DataFrame, out_dir: str, country: str =
     write("channel_dim", M.channel_dim(fact))
     write("channel_us_daily", M.channel_daily(fact, country))
     write("channel_us_alltime", M.channel_alltime(fact, country))
+    # Per-video figures of the channel and tag pages, pre-aggregated so those requests read
+    # a channel's or a month's per-video rows instead of scanning the fact.
+    write("channel_video_us", M.channel_video_stats(fact, country),
+          range_by=["channel_id", "video_id"], sort_by=["channel_id", "video_id"])
+    write("video_month_us", M.video_month_stats(fact, country))
     events = write("us_tag_events_clean", T.tag_events_clean(fact, country),
                    range_by=["month", "tag", "video_id"])
     write("us_tag_monthly_clean", T.tag_monthly_clean(events, fact, country))
