@@ -87,12 +87,11 @@ def build_all(spark: SparkSession, raw: DataFrame, out_dir: str, country: str =
     }
     timings["build_quality"] = round(time.time() - t0, 3)
 
-    # Range-partition and sort before the partitioned write: each task covers a contiguous
-    # slice of FACT_CLUSTER, so it writes into few month folders (no tasks x months small
-    # files), row groups are ordered by day within a month, and a busy month, day or video
-    # is still split across tasks (the key is near-unique).
+    # Rebalance by month, then sort by FACT_CLUSTER inside each task: a task writes one month
+    # folder (no tasks x months small files), AQE splits a busy month across tasks, and row
+    # groups are ordered by day within the month so day predicates skip the rest.
     fact = write("trending", I.clean(raw_p).withColumn(FACT_PARTITION, X.month_of("video_trending_date")),
-                 range_by=FACT_CLUSTER, sort_by=FACT_CLUSTER)
+                 rebalance_by=[FACT_PARTITION], sort_by=FACT_CLUSTER)
     # The three per-video marts come from one aggregation of the fact (stored once), then
     # are projected from that small per-video table.
     profile = write("video_profile", M.video_profile(fact, country))
@@ -111,7 +110,7 @@ def build_all(spark: SparkSession, raw: DataFrame, out_dir: str, country: str =
           range_by=["channel_id", "video_id"], sort_by=["channel_id", "video_id"])
     write("video_month_us", M.video_month_stats(fact, country))
     events = write("us_tag_events_clean", T.tag_events_clean(fact, country),
-                   range_by=["month", "tag", "video_id"])
+                   rebalance_by=["month"], sort_by=["month", "tag", "video_id"])
     write("us_tag_monthly_clean", T.tag_monthly_clean(events, fact, country))
     if legacy:
         lev = write("us_tag_events", T.tag_events_legacy(fact, country),

@@ -84,8 +84,7 @@ DEFAULT_COUNTRY = "United States"
 # Partition column added to the stored fact (first day of the trending month).
 FACT_PARTITION = "trending_month"
 
-# Clustering of the stored fact inside each month partition (range-partition + sort order):
-# day first, so a day predicate skips row groups by their min/max; country next, so one
-# country's rows of a day are contiguous; the video id last makes the key near-unique, so a
-# hot month, day or video is still split across tasks.
+# Sort order of the stored fact inside each month partition: day first, so a day predicate
+# skips row groups by their min/max; country next, so one country's rows of a day are
+# contiguous; then the video id.
 FACT_CLUSTER = [FACT_PARTITION, "video_trending_date", "video_trending_country", "video_id"]

@@ -36,13 +36,19 @@ def read_raw(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFram
 
 
 def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                sort_by: list[str] | None = None, range_by: list[str] | None = None) -> None:
+                sort_by: list[str] | None = None, range_by: list[str] | None = None,
+                rebalance_by: list[str] | None = None) -> None:
     """S3 (+S6): write ``df`` as Parquet at ``path``, replacing the previous content.
 
-    ``range_by`` + ``sort_by`` cluster the rows (range partitioning, then a sort inside each
-    task) so that Parquet row groups carry narrow min/max statistics on those columns.
+    ``rebalance_by`` (for partitioned writes) hash-distributes rows by the partition
+    columns with Spark's REBALANCE: each task writes one folder, and AQE splits an
+    oversized partition (a busy month, even a single hot key) and merges small ones, with no
+    sampling pass. ``range_by`` + ``sort_by`` cluster the rows (range partitioning, then a
+    sort inside each task) so Parquet row groups carry narrow min/max statistics.
     """
     out = df
+    if rebalance_by:
+        out = out.hint("rebalance", *rebalance_by)
     if range_by:
         out = out.repartitionByRange(*range_by)
     if sort_by:
