@@ -73,3 +73,15 @@ def test_literal_date_is_pushed_to_scan(spark, tmp_path, tables_small):
     fact = spark.read.parquet(path)
     plan = _plan(R.country_trending(fact, "United States", date="1998-12-01"))
     assert "PushedFilters" in plan and "video_trending_date" in plan.split("PushedFilters")[1][:400]
+
+
+def test_cluster_conf_sizes_from_input():
+    from trendscope.session import cluster_conf
+    big = cluster_conf(100 * 1024 ** 4)            # 100 TB
+    assert big["spark.sql.shuffle.partitions"] == "200000"
+    assert big["spark.sql.adaptive.enabled"] == "true"
+    assert big["spark.sql.session.timeZone"] == "UTC"
+    small = cluster_conf(10 * 1024 ** 3)           # 10 GB
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    mid = cluster_conf(10 * 1024 ** 4)             # 10 TB -> 40960 partitions of 256 MB
+    assert mid["spark.sql.shuffle.partitions"] == "40960"
