@@ -106,6 +106,23 @@ def test_page_marts_give_the_same_answers(spark, tables_small, built):
                                     stats=m["video_month_us"]).collect())
 
 
+def test_video_page_from_video_major_projection(spark, tables_small, built):
+    """A10b/A10c/K4/K5 read the stored video-major projection and give the fact's answers."""
+    from trendscope.operators import kpis as K
+    from trendscope.plans.catalog import VIDEO
+    out, _ = built
+    m = load_marts(spark, out)
+    vd, f = m["video_days"], m["trending"]
+    for vid in ["vid00000001", "vid00000150", VIDEO, "nope"]:
+        assert R.video_history(vd, vid).collect() == R.video_history(f, vid).collect()
+        assert R.video_spread(vd, vid).collect() == R.video_spread(f, vid).collect()
+        assert K.kpi_video_history(vd, vid).collect() == K.kpi_video_history(f, vid).collect()
+        assert K.kpi_video_spread(vd, vid).collect() == K.kpi_video_spread(f, vid).collect()
+    df = R.video_history(vd, VIDEO)
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert "EqualTo(video_id," in plan.split("PushedFilters")[1].split("\n")[0]
+
+
 def test_rebuild_switches_only_after_success(spark, tables_small, built):
     out, report = built
     with pytest.raises(Exception):

@@ -157,3 +157,15 @@ def video_month_stats(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> Da
         F.min(DATE).alias("first_date"),
         F.max(DATE).alias("last_date"),
     )
+
+
+VIDEO_DAY_COLS = ["video_id", "video_trending_country", "video_trending_date",
+                  "video_view_count", "video_like_count", "video_comment_count"]
+
+
+def video_days(trending: DataFrame) -> DataFrame:
+    """A narrow, video-major projection of the fact (the columns of the video page: A10b,
+    A10c, K4, K5). Stored range-partitioned and sorted by video, so a one-video lookup reads
+    the few row groups whose min/max cover that id instead of scanning the day-ordered fact.
+    The read functions accept it in place of the fact."""
+    return trending.select(*VIDEO_DAY_COLS)

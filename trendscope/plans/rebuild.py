@@ -38,7 +38,7 @@ PARTITIONS = {
 
 CORE_TABLES = ["trending_raw", "trending", "video_profile", "video_dim", "video_reach", "video_us_stickiness",
                "us_dates", "channel_dim", "channel_us_daily", "channel_us_alltime", "channel_video_us",
-               "video_month_us", "us_tag_events_clean",
+               "video_month_us", "video_days", "us_tag_events_clean",
                "us_tag_monthly_clean"]
 LEGACY_TABLES = ["us_tag_events", "us_month_totals", "us_tag_monthly", "us_tag_movers_monthly"]
 
@@ -109,9 +109,13 @@ def build_all(spark: SparkSession, raw: DataFrame, out_dir: str, country: str =
     write("channel_video_us", M.channel_video_stats(fact, country),
           range_by=["channel_id", "video_id"], sort_by=["channel_id", "video_id"])
     write("video_month_us", M.video_month_stats(fact, country))
+    write("video_days", M.video_days(fact),
+          range_by=["video_id"], sort_by=["video_id", "video_trending_country", "video_trending_date"])
     events = write("us_tag_events_clean", T.tag_events_clean(fact, country),
                    rebalance_by=["month"], sort_by=["month", "tag", "video_id"])
-    write("us_tag_monthly_clean", T.tag_monthly_clean(events, fact, country))
+    # sorted by tag inside each month, so a tag's series reads one row group per month
+    write("us_tag_monthly_clean", T.tag_monthly_clean(events, fact, country),
+          rebalance_by=["month"], sort_by=["month", "tag"])
     if legacy:
         lev = write("us_tag_events", T.tag_events_legacy(fact, country),
                     range_by=["month", "tag", "video_id"], sort_by=["month", "tag", "video_id"])
