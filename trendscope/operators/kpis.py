@@ -51,17 +51,12 @@ def kpi_dashboard(trending: DataFrame, dim: DataFrame, reach: DataFrame, stickin
     ).select(dv.alias("date"), "trending_rows", "top_views", "top_likes", "max_stickiness", "max_reach")
 
 
-def kpi_channels(daily: DataFrame, alltime: DataFrame, cdim: DataFrame, date, shown: int = R.PAGE["channels_daily"][0]) -> DataFrame:
+def kpi_channels(daily: DataFrame, alltime: DataFrame, cdim: DataFrame, date=None,
+                 shown: int = R.PAGE["channels_daily"][0]) -> DataFrame:
     """K2: one row per board ('daily', 'alltime'): channels shown, the leading channel
     (title, else id), its distinct videos and (all-time) days active."""
     titles = cdim.select("channel_id", "channel_title")
-    if isinstance(date, DataFrame):
-        dv = date.scalar()
-    elif isinstance(date, Column):
-        dv = date
-    else:
-        dv = F.lit(R._parse_day(date))
-    d = daily.filter(F.col("date") == dv)
+    d = daily.filter(F.col("date") == R.daily_date(daily, date))
     d = R.left_lookup(d, titles, "channel_id", keys=d.select("channel_id") if R.small_enough(d) else None)
     a = alltime.join(titles, "channel_id", "left")
     name = F.coalesce(F.col("channel_title"), F.col("channel_id"))

@@ -92,7 +92,7 @@ def left_lookup(rows: DataFrame, side: DataFrame, key: str = "video_id",
     return rows.join(F.broadcast(reduced), key, "left")
 
 
-def _parse_day(text: str) -> _dt.date:
+def parse_day(text: str) -> _dt.date:
     try:
         return _dt.date.fromisoformat(str(text).strip()[:10])
     except ValueError as exc:
@@ -124,7 +124,7 @@ def day_value(trending: DataFrame, date, country: str = DEFAULT_COUNTRY) -> Colu
         return date.scalar()
     if isinstance(date, Column):
         return date
-    return F.lit(_parse_day(date))
+    return F.lit(parse_day(date))
 
 
 def month_value(monthly: DataFrame, month) -> Column:
@@ -136,7 +136,7 @@ def month_value(monthly: DataFrame, month) -> Column:
         return month.scalar()
     if isinstance(month, Column):
         return month
-    return F.lit(_parse_day(month))
+    return F.lit(parse_day(month))
 
 
 def latest_month(monthly: DataFrame, month=None) -> DataFrame:
@@ -278,6 +278,18 @@ def video_spread(trending: DataFrame, video_id: str, n: int = SPREAD_TOP) -> Dat
 
 # --- A11-A13: channels ------------------------------------------------------------------------------
 
+def daily_date(daily: DataFrame, date) -> Column:
+    """Resolve the day of a channel board: literal, Column, one-row DataFrame, or (None)
+    the newest day of the daily mart, which covers every row of its country."""
+    if date is None:
+        return daily.agg(F.max("date")).scalar()
+    if isinstance(date, DataFrame):
+        return date.scalar()
+    if isinstance(date, Column):
+        return date
+    return F.lit(parse_day(date))
+
+
 CHANNEL_DAILY_COLS = ["channel_id", "channel_title", "distinct_videos", "appearances", "sum_views",
                       "sum_likes", "sum_comments", "date"]
 
@@ -288,15 +300,7 @@ def channels_daily(daily: DataFrame, cdim: DataFrame, date, limit=None) -> DataF
     ``date`` is a literal, a Column or a one-row DataFrame (resolve the latest day with
     ``latest_date(trending)``: the reference reads it from the fact)."""
     n = X.clamp_limit(limit, *PAGE["channels_daily"])
-    if isinstance(date, DataFrame):
-        dv = date.scalar()
-    elif isinstance(date, Column):
-        dv = date
-    elif date is None:
-        dv = daily.agg(F.max("date")).scalar()
-    else:
-        dv = F.lit(_parse_day(date))
-    day = daily.filter(F.col("date") == dv)
+    day = daily.filter(F.col("date") == daily_date(daily, date))
     keys = day.select("channel_id") if small_enough(day) else None
     rows = left_lookup(day, cdim.select("channel_id", "channel_title"), "channel_id", keys=keys
                        ).select(*CHANNEL_DAILY_COLS)
