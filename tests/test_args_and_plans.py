@@ -85,3 +85,19 @@ def test_cluster_conf_sizes_from_input():
     assert small["spark.sql.shuffle.partitions"] == "200"
     mid = cluster_conf(10 * 1024 ** 4)             # 10 TB -> 40960 partitions of 256 MB
     assert mid["spark.sql.shuffle.partitions"] == "40960"
+
+
+
+def test_signature_conveniences(tables_small):
+    from trendscope.operators import explore as E
+    t = tables_small.trending
+    assert E.overview(t, "United States").collect() == E.country_overview(t).collect()
+    assert E.null_dates(t, by="country").count() == 0
+    with pytest.raises(ValueError):
+        E.null_dates(t, by="channel")
+    with pytest.raises(ValueError):
+        E.tags_per_row(t, sep="tab")
+    both = E.tags_per_row(t, sep="both").first()
+    pipe = E.tags_per_row(t, sep="pipe").first()
+    assert both.max_tags > pipe.max_tags      # commas also separate
+    assert E.tag_diversity(t, sep="both").first().exploded_rows == tables_small.events_legacy.count()

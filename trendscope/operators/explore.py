@@ -51,8 +51,11 @@ _P = {"p50": 0.50, "p90": 0.90, "p99": 0.99}
 
 # --- E1-E11: fact overview -------------------------------------------------------------------------
 
-def overview(trending: DataFrame) -> DataFrame:
-    """Rows, distinct videos / channels / countries and the date range."""
+def overview(trending: DataFrame, country: str | None = None) -> DataFrame:
+    """Rows, distinct videos / channels / countries and the date range; with a
+    ``country``, E11's one-country overview."""
+    if country is not None:
+        return country_overview(trending, country)
     t = trending.filter(F.col(DATE).isNotNull())
     return t.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -90,8 +93,13 @@ def missingness(trending: DataFrame, cols: dict[str, str] | None = None) -> Data
     return trending.agg(*[_pct(F.col(c).isNull(), 2).alias(name) for name, c in cols.items()])
 
 
-def null_dates(trending: DataFrame) -> DataFrame:
-    """E5: rows and NULL-date rows (expected 0 after cleaning)."""
+def null_dates(trending: DataFrame, by: str | None = None) -> DataFrame:
+    """E5: rows and NULL-date rows (expected 0 after cleaning); ``by="country"`` lists the
+    countries having NULL dates instead."""
+    if by is not None:
+        if by != "country":
+            raise ValueError("by must be None or 'country'")
+        return null_dates_by_country(trending)
     return trending.agg(F.count(F.lit(1)).alias("rows"),
                         F.sum(F.col(DATE).isNull().cast("int")).alias("null_trending_date_rows"))
 
@@ -182,11 +190,19 @@ def tag_format(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame
         F.max(F.length(tags)).cast("bigint").alias("max_len"))
 
 
-def tags_per_row(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
-    """Pieces per usable tag string when split on '|' only: quantiles and max."""
+def _check_sep(sep: str) -> None:
+    if sep not in ("pipe", "both"):
+        raise ValueError("sep must be pipe or both")
+
+
+def tags_per_row(trending: DataFrame, country: str = DEFAULT_COUNTRY, sep: str = "pipe") -> DataFrame:
+    """Pieces per usable tag string when split on '|' (``sep="pipe"``, the notebook's
+    cell) or on ',' and '|' (``sep="both"``): quantiles and max."""
+    _check_sep(sep)
     tags = F.col("video_tags")
+    pieces = F.split(tags, r"\|", -1) if sep == "pipe" else X.split_tags(tags, pipe_too=True)
     counts = in_country(trending, country).select(
-        F.when(X.has_usable_tags(tags), F.size(F.split(tags, r"\|", -1)).cast("bigint")).alias("tag_count"))
+        F.when(X.has_usable_tags(tags), F.size(pieces).cast("bigint")).alias("tag_count"))
     return discrete_quantiles(counts, "tag_count", _P, "max_tags")
 
 
@@ -205,26 +221,29 @@ def _tag_board(events: DataFrame, n: int) -> DataFrame:
     return top_k(per, [F.col("distinct_videos").desc_nulls_last()], n)
 
 
+def _events(trending: DataFrame, country: str, sep: str) -> DataFrame:
+    """Notebook tag events: '|' split with its own chain, or the legacy comma+pipe events."""
+    from trendscope.operators.tags import tag_events_legacy
+    _check_sep(sep)
+    return pipe_tags(trending, country) if sep == "pipe" else tag_events_legacy(trending, country)
+
+
 def top_tags(trending: DataFrame, country: str = DEFAULT_COUNTRY, sep: str = "both",
              n: int = TAG_TOP_N) -> DataFrame:
     """E16 (``sep='pipe'``) / E21a (``sep='both'``): top tags by distinct videos."""
-    from trendscope.operators.tags import tag_events_legacy
-    if sep not in ("pipe", "both"):
-        raise ValueError("sep must be pipe or both")
-    events = pipe_tags(trending, country) if sep == "pipe" else tag_events_legacy(trending, country)
-    return _tag_board(events, n)
+    return _tag_board(_events(trending, country, sep), n)
 
 
-def tag_diversity(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
-    """Exploded rows and unique tags ('|' split)."""
-    return pipe_tags(trending, country).agg(F.count(F.lit(1)).alias("exploded_rows"),
-                                            F.count_distinct("tag").alias("unique_tags"))
+def tag_diversity(trending: DataFrame, country: str = DEFAULT_COUNTRY, sep: str = "pipe") -> DataFrame:
+    """Exploded rows and unique tags ('|' split by default)."""
+    return _events(trending, country, sep).agg(F.count(F.lit(1)).alias("exploded_rows"),
+                                               F.count_distinct("tag").alias("unique_tags"))
 
 
-def tag_spam(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
-    """Long tags, tags with 'http', tags with '@' ('|' split)."""
+def tag_spam(trending: DataFrame, country: str = DEFAULT_COUNTRY, sep: str = "pipe") -> DataFrame:
+    """Long tags, tags with 'http', tags with '@' ('|' split by default)."""
     t = F.col("tag")
-    return pipe_tags(trending, country).agg(
+    return _events(trending, country, sep).agg(
         F.sum(F.when(F.length(t) >= LONG_TAG, 1).otherwise(0)).alias("tags_len_ge_40"),
         F.sum(F.when(t.contains("http"), 1).otherwise(0)).alias("tags_with_http"),
         F.sum(F.when(t.contains("@"), 1).otherwise(0)).alias("tags_with_at"))

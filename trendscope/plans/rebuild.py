@@ -64,11 +64,14 @@ def load_marts(spark: SparkSession, out_dir: str, run: str | None = None) -> dic
     return out
 
 
-def build_all(spark: SparkSession, raw: DataFrame, out_dir: str, country: str = DEFAULT_COUNTRY,
+def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country: str = DEFAULT_COUNTRY,
               legacy: bool = False, timings: dict | None = None) -> dict:
-    """Rebuild every table from ``raw`` (all-text raw rows) under ``out_dir``.
+    """Rebuild every table from ``raw`` (all-text raw rows, or the path of the raw CSV)
+    under ``out_dir``.
 
     Returns the quality reports (one row each) and the run folder name."""
+    if isinstance(raw, str):
+        raw = files.read_raw(spark, raw)
     timings = timings if timings is not None else {}
     run = time.strftime("run-%Y%m%d-%H%M%S") + f"-{int(time.time() * 1000) % 1000:03d}"
     base = f"{out_dir.rstrip('/')}/{run}"
