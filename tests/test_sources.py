@@ -123,6 +123,22 @@ def test_video_page_from_video_major_projection(spark, tables_small, built):
     assert "EqualTo(video_id," in plan.split("PushedFilters")[1].split("\n")[0]
 
 
+def test_registered_marts_answer_sql(spark, tables_small, built):
+    """Stored tables and the derived views are queryable by name with spark.sql."""
+    from trendscope.plans.rebuild import register_marts
+    out, _ = built
+    names = register_marts(spark, load_marts(spark, out))
+    assert {"trending", "video_dim", "v_available_dates", "v_us_dates", "v_us_tag_months_clean"} <= set(names)
+    got = spark.sql("SELECT video_trending_date FROM v_us_dates ORDER BY video_trending_date DESC LIMIT 1").first()[0]
+    assert got == R.latest_date(tables_small.trending).first()[0]
+    assert spark.sql("SELECT count(*) FROM v_available_dates").first()[0] == \
+        tables_small.trending.select("video_trending_country").distinct().count()
+    assert spark.sql("SELECT count(*) FROM v_us_tag_months_clean").first()[0] == \
+        tables_small.monthly.select("month").distinct().count()
+    assert "trending_month" not in spark.table("trending").columns
+    assert files.monthly_source(spark).count() == tables_small.monthly.count()
+
+
 def test_rebuild_switches_only_after_success(spark, tables_small, built):
     out, report = built
     with pytest.raises(Exception):

@@ -20,6 +20,7 @@ import argparse
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trendscope.functions import exprs as X
 from trendscope.operators import ingest as I
@@ -64,6 +65,23 @@ def load_marts(spark: SparkSession, out_dir: str, run: str | None = None) -> dic
     return out
 
 
+def register_marts(spark: SparkSession, marts: dict[str, DataFrame],
+                   country: str = DEFAULT_COUNTRY) -> list[str]:
+    """Expose every stored table as a session view under its table name, plus the
+    three derived views (coverage per country, the country's dates, the tag months), so SQL
+    written against those names runs with ``spark.sql`` and S8 finds the tag marts in the
+    catalogue. The views carry no ORDER BY: order at query time. Returns the view names."""
+    views = dict(marts)
+    fact = marts["trending"].drop(FACT_PARTITION)
+    views["trending"] = fact
+    views["v_available_dates"] = M.available_dates(fact)
+    views["v_us_dates"] = marts["us_dates"].select(F.col("date").alias("video_trending_date"))
+    views["v_us_tag_months_clean"] = marts["us_tag_monthly_clean"].select(
+        F.date_format("month", "yyyy-MM-dd").alias("month")).distinct()
+    files.register_views(views)
+    return sorted(views)
+
+
 def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country: str = DEFAULT_COUNTRY,
               legacy: bool = False, timings: dict | None = None) -> dict:
     """Rebuild every table from ``raw`` (all-text raw rows, or the path of the raw CSV)
