@@ -101,3 +101,14 @@ def test_signature_conveniences(tables_small):
     pipe = E.tags_per_row(t, sep="pipe").first()
     assert both.max_tags > pipe.max_tags      # commas also separate
     assert E.tag_diversity(t, sep="both").first().exploded_rows == tables_small.events_legacy.count()
+
+
+
+def test_profile_of_raw(tables_small):
+    from trendscope.operators import explore as E
+    from trendscope.schema import RAW_COLUMNS
+    prof = E.profile(tables_small.raw)
+    assert [c for c, _ in prof["columns"]] == RAW_COLUMNS
+    assert prof["head"].count() == 5
+    worst = prof["missing"].collect()
+    assert len(worst) == 15 and worst[0].pct_missing >= worst[-1].pct_missing

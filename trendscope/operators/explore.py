@@ -315,3 +315,13 @@ def profile_missing(df: DataFrame, n: int = PROFILE_TOP_N) -> DataFrame:
 def schema_listing(df: DataFrame) -> list[tuple[str, str]]:
     """S11 (notebook form): column names and types of a table; plan metadata only."""
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+
+
+def profile(df: DataFrame, head: int = 5, worst: int = PROFILE_TOP_N) -> dict:
+    """Columns and types (plan metadata), a ``head`` sample (LIMIT is the feature) and
+    the ``worst`` missing-value rates over all rows, each missing rate from one pass."""
+    return {
+        "columns": schema_listing(df),
+        "head": sample_rows(df, head),
+        "missing": profile_missing(df, worst),
+    }
