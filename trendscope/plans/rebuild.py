@@ -8,6 +8,8 @@
 5. clean tag events (T1, partitioned by month) and the monthly mart (T2);
 6. optionally the legacy tag tables (T6 clustered as in S6, T7, T8, T9).
 
+Steps 4-6 only read the stored fact and are submitted as concurrent Spark jobs.
+
 Each stage reads what the previous one wrote, so lineage is cut at every table: a lost
 executor recomputes one stage's tasks, never the chain from the raw file. Everything is
 written under a fresh ``run-<time>`` folder and only then is ``_current`` switched to it,
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import argparse
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +86,7 @@ def register_marts(spark: SparkSession, marts: dict[str, DataFrame],
 
 
 def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country: str = DEFAULT_COUNTRY,
-              legacy: bool = False, timings: dict | None = None) -> dict:
+              legacy: bool = False, timings: dict | None = None, parallel_jobs: int = 4) -> dict:
     """Rebuild every table from ``raw`` (all-text raw rows, or the path of the raw CSV)
     under ``out_dir``.
 
@@ -113,37 +116,55 @@ def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country:
     # groups are ordered by day within the month so day predicates skip the rest.
     fact = write("trending", I.clean(raw_p).withColumn(FACT_PARTITION, X.month_of("video_trending_date")),
                  rebalance_by=[FACT_PARTITION], sort_by=FACT_CLUSTER)
-    # The three per-video marts come from one aggregation of the fact (stored once), then
-    # are projected from that small per-video table.
-    profile = write("video_profile", M.video_profile(fact, country))
-    write("video_dim", M.video_dim_of(profile))
-    write("video_reach", M.video_reach_of(profile))
-    write("video_us_stickiness", M.video_stickiness_of(profile))
-    # V5 stored: the country's distinct dates (a few thousand rows), so "latest day" is
-    # resolved from it instead of scanning the fact on every request.
-    write("us_dates", M.country_dates(fact, country))
-    write("channel_dim", M.channel_dim(fact))
-    write("channel_us_daily", M.channel_daily(fact, country))
-    write("channel_us_alltime", M.channel_alltime(fact, country))
-    # Per-video figures of the channel and tag pages, pre-aggregated so those requests read
-    # a channel's or a month's per-video rows instead of scanning the fact.
-    write("channel_video_us", M.channel_video_stats(fact, country),
-          range_by=["channel_id", "video_id"], sort_by=["channel_id", "video_id"])
-    write("video_month_us", M.video_month_stats(fact, country))
-    write("video_days", M.video_days(fact),
-          range_by=["video_id"], sort_by=["video_id", "video_trending_country", "video_trending_date"])
-    events = write("us_tag_events_clean", T.tag_events_clean(fact, country),
-                   rebalance_by=["month"], sort_by=["month", "tag", "video_id"])
-    # sorted by tag inside each month, so a tag's series reads one row group per month
-    write("us_tag_monthly_clean", T.tag_monthly_clean(events, fact, country),
-          rebalance_by=["month"], sort_by=["month", "tag"])
-    if legacy:
+    def video_marts() -> None:
+        # The three per-video marts come from one aggregation of the fact (stored once),
+        # then are projected from that small per-video table.
+        profile = write("video_profile", M.video_profile(fact, country))
+        write("video_dim", M.video_dim_of(profile))
+        write("video_reach", M.video_reach_of(profile))
+        write("video_us_stickiness", M.video_stickiness_of(profile))
+
+    def channel_marts() -> None:
+        write("channel_dim", M.channel_dim(fact))
+        write("channel_us_daily", M.channel_daily(fact, country))
+        write("channel_us_alltime", M.channel_alltime(fact, country))
+
+    def page_marts() -> None:
+        # V5 stored: the country's distinct dates (a few thousand rows), so "latest day" is
+        # resolved from it instead of scanning the fact on every request.
+        write("us_dates", M.country_dates(fact, country))
+        # Per-video figures of the channel and tag pages, pre-aggregated so those requests
+        # read a channel's or a month's per-video rows instead of scanning the fact.
+        write("channel_video_us", M.channel_video_stats(fact, country),
+              range_by=["channel_id", "video_id"], sort_by=["channel_id", "video_id"])
+        write("video_month_us", M.video_month_stats(fact, country))
+        write("video_days", M.video_days(fact),
+              range_by=["video_id"], sort_by=["video_id", "video_trending_country", "video_trending_date"])
+
+    def tag_marts() -> None:
+        events = write("us_tag_events_clean", T.tag_events_clean(fact, country),
+                       rebalance_by=["month"], sort_by=["month", "tag", "video_id"])
+        # sorted by tag inside each month, so a tag's series reads one row group per month
+        write("us_tag_monthly_clean", T.tag_monthly_clean(events, fact, country),
+              rebalance_by=["month"], sort_by=["month", "tag"])
+
+    def legacy_marts() -> None:
         lev = write("us_tag_events", T.tag_events_legacy(fact, country),
                     range_by=["month", "tag", "video_id"], sort_by=["month", "tag", "video_id"])
         totals = write("us_month_totals", T.month_totals_legacy(lev))
         monthly = write("us_tag_monthly", T.tag_monthly_legacy(lev, totals))
         write("us_tag_movers_monthly", T.tag_movers(monthly))
 
+    # The groups only read the stored fact, so they are submitted as concurrent Spark jobs:
+    # small mart jobs would otherwise leave executors idle one after the other. Any failure
+    # is raised here, before the switch below.
+    groups = [video_marts, channel_marts, page_marts, tag_marts] + ([legacy_marts] if legacy else [])
+    t0 = time.time()
+    with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
+        for future in [pool.submit(g) for g in groups]:
+            future.result()
+    timings["build_marts_wall"] = round(time.time() - t0, 3)
+
     # Switch readers to the new run only after every table is written.
     (spark.createDataFrame([(run,)], "run string").coalesce(1)
      .write.mode("overwrite").text(_pointer(out_dir)))
