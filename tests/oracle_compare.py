@@ -1,6 +1,7 @@
 """Spark-vs-DuckDB comparison, the same shape as the driver's correctness gate.
 
 Run as a script:  python tests/oracle_compare.py [sf_dir] [name ...]
+Plans instead:    python tests/oracle_compare.py --explain [sf_dir] name ...
 """
 
 from __future__ import annotations
@@ -91,8 +92,18 @@ def compare(spark, con, name: str, fn, oracle: str | None, sf_dir: str) -> dict:
 
 
 def main(argv):
+    explain = "--explain" in argv
+    argv = [a for a in argv if a != "--explain"]
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
+    if explain:
+        import __spark_entry__ as entry
+        from trendscope.session import get_session
+        spark = get_session()
+        for name in names:
+            print(f"== {name}")
+            entry.queries()[name](spark, sf_dir).explain("formatted")
+        return 0
     import __spark_entry__ as entry
     from trendscope.session import get_session
     spark = get_session()
