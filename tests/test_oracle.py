@@ -6,9 +6,10 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SF_SMALL
 from tests.oracle_compare import compare
+from trendscope.plans.catalog import oracle_queries, spark_queries
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = spark_queries()
+ORACLE = oracle_queries()
 
 
 def test_every_query_has_an_oracle():
