@@ -11,13 +11,15 @@ fewer); documents link when 100 * intersection >= percent * union.
    gives the same links; this one keeps common passages out of prefixes.
 3. Linked sets share a shingle among the first size - ceil(percent * size) + 1. Classes with
    equal prefixes and sizes are one group, and groups are joined on prefix shingles.
-4. Of each shingle's groups first every member is compared with one pivot (the smallest), so
-   a large group of copies costs one pair per member. Pairs are filtered by size and by the
-   place of the shared shingle. Groups are expanded to their members, pairs verified on
-   whole sets, and components formed. ``ROUNDS`` such rounds take new pivots among what is in
-   other components than the pivot.
-5. Every pair in a shingle's list that is still in different components, and passes the
-   filters, is verified. Pairs inside a component can't change it. So no link between
+4. In each shingle's list every group is compared with one pivot (the smallest), and every
+   member of a group with its leader, so a large group of copies costs one pair per member.
+   Pairs are filtered by size and by parity maps (each shingle flips one bit of its set's map,
+   so two sets differ in at least as many shingles as their maps in bits), verified on whole
+   sets, and components are formed. Then groups
+   are expanded to their members, and lists that lie in one component are done. ``ROUNDS``
+   further rounds compare a list's other members with one of its last component.
+5. Every pair in a list that is still in different components, and passes the size and
+   place filters, is verified. Pairs inside a component can't change it. So no link between
    components is lost, and no pair of copies is needed.
 
 A text without words (or null) has the empty set and links with nothing: its component is its
@@ -42,9 +44,11 @@ from trendscope.llm.text import Texts, Words, lists, mix, shingle_sets
 N = 4
 PERCENT = 85
 FREQUENT = 500_000   # shingles with a frequency: at most 8 MB, broadcast
-CHUNK = 1 << 21      # shingles that a task counts at once
+CHUNK = 1 << 22      # shingles that a task counts at once
 CHUNK_LEAST = 3
-ROUNDS = 2
+BITS = 1 << 23       # of the filter for wanted documents: 2 MB, broadcast
+ROUNDS = 1
+PARITY_BITS = 1024   # of a set's parity map
 
 
 def _sets(texts: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +88,16 @@ def prefix_size(sizes: np.ndarray, percent: int) -> np.ndarray:
     return sizes - -(-percent * sizes // 100) + 1
 
 
+def _parity(off: np.ndarray, h: np.ndarray) -> pa.ListArray:
+    """The parity map of each text's set, as 64-bit words."""
+    rows = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    bit = (mix(h ^ np.uint64(0x452821E638D01377)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    odd = np.bincount(rows * PARITY_BITS + bit, minlength=(len(off) - 1) * PARITY_BITS) & 1
+    words = np.packbits(odd.astype(bool)).view(np.int64)
+    width = PARITY_BITS // 64
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(off), dtype=np.int32) * width), pa.array(words))
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, common: np.ndarray,
               counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """id, text -> id, size and the prefix in the global order."""
@@ -101,9 +115,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, common: n
             prefix, of = h[order][keep], rows[keep]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(at, texts.n), pa.array(size, pa.int64()), *_fingerprint(off, h),
-                 *_fingerprint(np.searchsorted(of, np.arange(texts.n + 1)), prefix),
+                 *_fingerprint(np.searchsorted(of, np.arange(texts.n + 1)), prefix), _parity(off, h),
                  lists(prefix.view(np.int64), of, texts.n, pa.int64())],
-                ["id", "n", "f1", "f2", "c1", "c2", "prefix"])
+                ["id", "n", "f1", "f2", "c1", "c2", "parity", "prefix"])
 
 
 def _set_lists(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -127,15 +141,31 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(links)) for c in batch.columns[:2]], ["a", "b"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified pairs (a, b) of those whose sizes allow a link."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("set").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("set").alias("y"))
-    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    sized = (pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-             .join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").filter(sizes).select("a", "b"))
-    joined = sized.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return joined.mapInArrow(lambda b: _verify(b, percent), "a long, b long")
+def _likely(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose sizes and parity maps allow a link."""
+    def side(name: str, *columns: str) -> DataFrame:
+        return members.select(F.col("rep").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").filter(
+        100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    differ = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")),
+                         F.lit(0).cast("long"), lambda n, x: n + x)
+    both = F.col("n_a") + F.col("n_b")
+    return (sized.join(side("a", "parity"), "a").join(side("b", "parity"), "b")
+            .filter(100 * (both - differ) >= percent * (both + differ)).select("a", "b"))
+
+
+def _links(pairs: DataFrame, rows: DataFrame, members: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Verified pairs (a, b), from the whole sets of the documents that are in likely pairs."""
+    likely = scratch.table(_likely(pairs.distinct(), members, percent))
+    ends = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
+    sets = scratch.table(_sets_of(rows, members.select("rep", "n", "f1", "f2").join(ends, "rep"), n))
+    left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    joined = likely.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    links = scratch.table(joined.mapInArrow(lambda b: _verify(b, percent), "a long, b long"))
+    scratch.drop(sets)
+    return links
 
 
 def _places_allow(percent: int, n1: Column, n2: Column, p1: Column, p2: Column) -> Column:
@@ -165,74 +195,105 @@ def _frequent(rows: DataFrame, scratch: Scratch, n: int) -> tuple[np.ndarray, np
     return t[order], table["c"].to_numpy()[order]
 
 
+def _bits_of(ids: DataFrame) -> np.ndarray:
+    """A bit array of BITS bits with the hashed ids: at most BITS / 64 sums reach the driver."""
+    at = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    words = (ids.select(F.floor(at / 32).cast("int").alias("word"), (at % 32).alias("bit"))
+             .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("mask")).toArrow())
+    out = np.zeros(BITS // 32, dtype=np.uint64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy().astype(np.uint64)
+    return out
+
+
+def _wanted_sets(batches: Iterator[pa.RecordBatch], n: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """id, place of its bit, text -> the sets of the rows whose bit is set."""
+    for batch in batches:
+        at = batch.column(1).to_numpy()
+        hit = (bits[at // 32] >> (at % 32).astype(np.uint64)) & np.uint64(1)
+        yield from _set_lists([batch.filter(pa.array(hit.astype(bool))).select([0, 2])], n)
+
+
+def _sets_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(id, n, set) of the documents ``wanted`` (rep, n, f1, f2). A bit array of fixed size keeps
+    most other texts from being worked and shuffled; as it fills, more pass it. The join
+    behind it is exact."""
+    bits = rows.sparkSession.sparkContext.broadcast(_bits_of(wanted.select(F.col("rep").alias("id"))))  # BITS / 4 bytes
+    found = (rows.filter("id is not null and text is not null")
+             .select("id", F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("at"), "text")
+             .mapInArrow(lambda b: _wanted_sets(b, n, bits.value), "id long, f1 long, f2 long, set binary"))
+    return (found.join(wanted.withColumnRenamed("rep", "id"), ["id", "f1", "f2"])
+            .select("id", "n", "set").dropDuplicates(["id"]))
+
+
+def _labelled(lists: DataFrame, stars: DataFrame) -> DataFrame:
+    """``lists`` (t, rep, ...) with the component so far, of the shingles whose lists are in more
+    than one component."""
+    out = (lists.join(stars.select(F.col("node").alias("rep"), F.col("label").alias("l")), "rep", "left")
+           .withColumn("label", F.coalesce("l", "rep")).drop("l"))
+    apart = (out.groupBy("t").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+             .filter("least < most"))
+    return out.join(apart, "t")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N,
-                    percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+                    percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) per row of ``docs``."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     common = spark.sparkContext.broadcast(_frequent(rows, scratch, n))
     prefixes = scratch.table(rows.mapInArrow(
         lambda b: _prefixes(b, n, percent, *common.value),
-        "id long, n long, f1 long, f2 long, c1 long, c2 long, prefix array<long>"))
-    slim = scratch.table(prefixes.drop("prefix"))
+        "id long, n long, f1 long, f2 long, c1 long, c2 long, parity array<long>, prefix array<long>"))
     key = ["n", "f1", "f2"]
-    documents = (slim.filter("id is not null and n > 0").groupBy("id")
-                 .agg(F.max(F.struct("n", "f1", "f2", "c1", "c2")).alias("s")).select("id", "s.*"))
-    documents = scratch.table(documents)
+    slim = scratch.table(prefixes.drop("prefix", "parity"))
+    documents = scratch.table(slim.filter("id is not null and n > 0").groupBy("id")
+                              .agg(F.max(F.struct("n", "f1", "f2", "c1", "c2")).alias("s")).select("id", "s.*"))
     classes = documents.groupBy(*key, "c1", "c2").agg(F.min("id").alias("rep"))
     groups = classes.groupBy("n", "c1", "c2").agg(F.min("rep").alias("g"))
-    members = scratch.table(classes.join(groups, ["n", "c1", "c2"]).select("rep", "g", *key))
+    found = prefixes.filter("id is not null and n > 0")
+    members = classes.join(groups, ["n", "c1", "c2"]).select("rep", "g", *key)
+    members = scratch.table(members.join(found.select(F.col("id").alias("rep"), *key, "parity"), ["rep", *key])
+                            .dropDuplicates(["rep"]))
     leaders = members.filter("rep = g").select(F.col("g").alias("id"), *key)
-    kept = scratch.table(prefixes.filter("id is not null and n > 0").join(leaders, ["id", *key])
-                         .select(F.col("id").alias("g"), "n", "prefix"))
+    kept = scratch.table(found.join(leaders, ["id", *key]).select(F.col("id").alias("g"), "prefix"))
     scratch.drop(prefixes)
-    # posting lists of the shingles that two or more groups share
-    posted = kept.select("g", "n", F.posexplode("prefix").alias("p", "t"))
+    # lists of the shingles that two or more groups share
+    posted = kept.select("g", F.posexplode("prefix").alias("p", "t"))
     shared = scratch.table(posted.groupBy("t").agg(F.min("g").alias("pivot"), F.max("g").alias("last"))
                            .filter("pivot < last").select("t", "pivot"))
-    lists_ = scratch.table(posted.join(shared, "t").select("t", "g", "n", "p", "pivot").distinct())
-    scratch.drop(kept)
+    grouped = scratch.table(posted.join(shared, "t"))
+    scratch.drop(kept, shared)
     inside = members.filter("rep <> g").select(F.col("g").alias("a"), F.col("rep").alias("b"))
-    wanted = (lists_.select("g").distinct().join(members, "g").select("rep", "f1", "f2", "n")
-              .unionByName(inside.join(members, (F.col("a") == F.col("g"))).select("rep", "f1", "f2", "n"))).distinct()
-    needed = rows.join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    sets = needed.mapInArrow(lambda b: _set_lists(b, n), "id long, f1 long, f2 long, set binary")
-    sets = scratch.table(sets.join(wanted.withColumnRenamed("rep", "id"), ["id", "f1", "f2"])
-                         .select("id", "n", "set").dropDuplicates(["id"]))
-    stars = None
-    left = lists_
-    for turn in range(rounds):
-        pairs = left.filter("g <> pivot").select(F.col("pivot").alias("a"), F.col("g").alias("b"))
-        if turn == 0:
-            pairs = pairs.unionByName(inside)
-        stars = _grown(stars, _links(pairs.distinct(), sets, percent), scratch)
-        left = left.join(stars.select(F.col("node").alias("g"), F.col("label").alias("lg")), "g", "left").join(
-            stars.select(F.col("node").alias("pivot"), F.col("label").alias("lp")), "pivot", "left")
-        left = left.filter(F.coalesce("lg", "g") != F.coalesce("lp", "pivot")).select("t", "g", "n", "p")
-        pivots = left.groupBy("t").agg(F.min("g").alias("pivot"))
-        left = scratch.table(left.join(pivots, "t"))
-    # what is left in different components, each member against its whole list
-    listed = lists_.select("t", "g", "n", "p").join(members.select("g", "rep"), "g").select("t", "rep", "n", "p")
-    # a group's members share all of their prefix: one list of their own
+    # every group against its list's pivot, members against their leader
+    pairs = grouped.filter("g <> pivot").select(F.col("pivot").alias("a"), F.col("g").alias("b")).unionByName(inside)
+    stars = _grown(None, _links(pairs, rows, members, n, percent, scratch), scratch)
+    # what is still apart, by members; a group's members share their prefix, a list of their own
     own = members.join(inside.select(F.col("a").alias("g")).distinct(), "g").select(
-        F.xxhash64("g", "n").alias("t"), "rep", F.col("n"), F.lit(0).alias("p"))
-    listed = (listed.unionByName(own)
-              .join(stars.select(F.col("node").alias("rep"), "label"), "rep", "left")
-              .withColumn("label", F.coalesce("label", "rep")))
-    sizes = listed.groupBy("t", "label").agg(F.count("*").alias("size"))
-    largest = (sizes.groupBy("t").agg(F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("labels"))
-               .filter("labels > 1").select("t", F.col("m.label").alias("main")))
-    mixed = scratch.table(listed.join(largest, "t"))
+        F.xxhash64("g", "n").alias("t"), "rep", "n", F.lit(0).alias("p"))
+    lists = _labelled(grouped.join(members.select("g", "rep", "n"), "g").select("t", "rep", "n", "p").unionByName(own), stars)
+    lists = scratch.table(lists.distinct())
+    scratch.drop(grouped)
+    for _ in range(ROUNDS):  # each list's last component against one of its members
+        pivots = lists.filter("label = most").groupBy("t").agg(F.min("rep").alias("a"))
+        pairs = lists.filter("label <> most").select("t", F.col("rep").alias("b")).join(pivots, "t").select("a", "b")
+        stars = _grown(stars, _links(pairs, rows, members, n, percent, scratch), scratch)
+        after = scratch.table(_labelled(lists.select("t", "rep", "n", "p"), stars))
+        scratch.drop(lists)
+        lists = after
+    # each member outside its list's largest component against all of the list
+    sizes = lists.groupBy("t", "label").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("t").agg(F.max(F.struct("size", "label")).alias("m")).select("t", F.col("m.label").alias("main"))
+    mixed = scratch.table(lists.join(largest, "t").select("t", "rep", "n", "p", "label", "main"))
     one = mixed.select("t", *[F.col(c).alias(c + "1") for c in ("rep", "n", "p", "label", "main")]).filter("label1 <> main1")
     two = mixed.select("t", *[F.col(c).alias(c + "2") for c in ("rep", "n", "p", "label", "main")])
     once = (F.col("label2") == F.col("main2")) | (F.col("rep1") < F.col("rep2"))
     pairs = one.join(two, "t").filter((F.col("label1") != F.col("label2")) & once & _places_allow(
         percent, F.col("n1"), F.col("n2"), F.col("p1"), F.col("p2"))).select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
-    stars = _grown(stars, _links(pairs.distinct(), sets, percent), scratch)
+    stars = _grown(stars, _links(pairs, rows, members, n, percent, scratch), scratch)
     of = (documents.select("id", *key).join(members.select("rep", *key), key)
           .join(stars.select(F.col("node").alias("rep"), "label"), "rep", "left")
-          .select("id", F.coalesce("label", "rep").alias("component")))
-    of = scratch.table(of.filter("component <> id").select(F.col("id").alias("member"), "component"))
+          .select(F.col("id").alias("member"), F.coalesce("label", "rep").alias("component")))
+    of = scratch.table(of.filter("component <> member"))
     out = slim.select("id", "n").join(of, F.col("id") == F.col("member"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.coalesce("component", "id").alias("component_id"))
