@@ -175,14 +175,15 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
               .filter(F.col("first") < F.col("last")).select("anchor", "contested"))
     stretches = scratch.table(flat.join(scratch.table(shared), "anchor"))
     scratch.drop(seeds)
-    classes = stretches.groupBy("anchor", "whole").agg(F.min("id").alias("least"))
+    # written, so that both sides of the join are shuffled for it and a hot class is split
+    classes = scratch.table(stretches.groupBy("anchor", "whole").agg(F.min("id").alias("least")))
     judged = stretches.join(classes, ["anchor", "whole"])
     repeats = judged.filter(F.col("id") > F.col("least")).select("id", "key", "lo", "hi")
     wanted = (judged.filter((F.col("id") == F.col("least")) & F.col("contested"))
               .groupBy("id", "key").agg(F.collect_set("whole").alias("wanted")))
     windows = scratch.table(ordered.join(wanted, ["id", "key"]).select("id", "key", "text", "wanted").mapInArrow(
         lambda b: _contested(b, length, seed), f"id {kind}, key long, anchor long, window long, lo int"))
-    least = windows.groupBy("anchor", "window").agg(F.min("id").alias("least"))
+    least = scratch.table(windows.groupBy("anchor", "window").agg(F.min("id").alias("least")))
     single = (windows.join(least, ["anchor", "window"]).filter(F.col("id") > F.col("least"))
               .select("id", "key", "lo", F.col("lo").alias("hi")))
     # as many entries as a document has repeated stretches and windows: bounded by its length
