@@ -9,9 +9,10 @@ fewer); documents link when 100 * intersection >= percent * union.
    over all documents from counts of a task's chunks that reach ``CHUNK_LEAST``; sums from the
    least power of two on that leaves at most ``FREQUENT`` of them are used. Any common order
    gives the same links; this one keeps common passages out of prefixes.
-3. Linked sets share a shingle among the first size - ceil(percent * size) + 1. Classes with
-   equal prefixes and sizes are one group, and groups are joined on prefix shingles.
-4. In each shingle's list every group is compared with one pivot (the smallest), and every
+3. Linked sets share a shingle among the first size - ceil(percent * size) + 1, and the first
+   that they share is an early one of the smaller set. Classes with equal prefixes and sizes
+   are one group, and groups are joined on prefix shingles that are early in one of them.
+4. In each shingle's list every group is compared with one pivot (an early one), and every
    member of a group with its leader, so a large group of copies costs one pair per member.
    Pairs are filtered by size and by parity maps (each shingle flips one bit of its set's map,
    so two sets differ in at least as many shingles as their maps in bits), verified on whole
@@ -168,11 +169,16 @@ def _links(pairs: DataFrame, rows: DataFrame, members: DataFrame, n: int, percen
     return links
 
 
-def _places_allow(percent: int, n1: Column, n2: Column, p1: Column, p2: Column) -> Column:
-    """Size and place filters: with a shared shingle at places p1 and p2 (from 0) of the common
-    order, at most least(p1, p2) + 1 + least(n1 - p1, n2 - p2) - 1 can be shared."""
-    could = F.least(p1, p2) + F.least(n1 - p1, n2 - p2)
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (100 * could >= percent * (n1 + n2 - could))
+def _early(percent: int, n: Column, p: Column) -> Column:
+    """Whether a shingle at place p (from 0) can be the first that a set of n shares with a set
+    of its own size or larger: then at most n - p can be shared, of n + n at least."""
+    return (100 + percent) * (n - p) >= 2 * percent * n
+
+
+def _first_shared(percent: int, n1: Column, n2: Column, p1: Column, p2: Column) -> Column:
+    """Whether sets can link whose first shared shingle stands at places p1 and p2: at most
+    least(n1 - p1, n2 - p2) can be shared. Every linked pair passes in one of its lists."""
+    return (100 + percent) * F.least(n1 - p1, n2 - p2) >= percent * (n1 + n2)
 
 
 def _frequent(rows: DataFrame, scratch: Scratch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,13 +261,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = scratch.table(members.join(found.select(F.col("id").alias("rep"), *key, "parity"), ["rep", *key])
                             .dropDuplicates(["rep"]))
     leaders = members.filter("rep = g").select(F.col("g").alias("id"), *key)
-    kept = scratch.table(found.join(leaders, ["id", *key]).select(F.col("id").alias("g"), "prefix"))
+    kept = scratch.table(found.join(leaders, ["id", *key]).select(F.col("id").alias("g"), "n", "prefix"))
     scratch.drop(prefixes)
-    # lists of the shingles that two or more groups share
-    posted = kept.select("g", F.posexplode("prefix").alias("p", "t"))
-    shared = scratch.table(posted.groupBy("t").agg(F.min("g").alias("pivot"), F.max("g").alias("last"))
-                           .filter("pivot < last").select("t", "pivot"))
-    grouped = scratch.table(posted.join(shared, "t"))
+    # lists of the shingles that two or more groups share and that are early in one of them
+    posted = kept.select("g", "n", F.posexplode("prefix").alias("p", "t"))
+    early = _early(percent, F.col("n"), F.col("p"))
+    shared = scratch.table(posted.groupBy("t").agg(
+        F.min("g").alias("least"), F.max("g").alias("last"), F.min(F.when(early, F.col("g"))).alias("pivot"))
+        .filter("least < last and pivot is not null").select("t", "pivot"))
+    grouped = scratch.table(posted.drop("n").join(shared, "t"))
     scratch.drop(kept, shared)
     inside = members.filter("rep <> g").select(F.col("g").alias("a"), F.col("rep").alias("b"))
     # every group against its list's pivot, members against their leader
@@ -283,12 +291,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # each member outside its list's largest component against all of the list
     sizes = lists.groupBy("t", "label").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("t").agg(F.max(F.struct("size", "label")).alias("m")).select("t", F.col("m.label").alias("main"))
-    mixed = scratch.table(lists.join(largest, "t").select("t", "rep", "n", "p", "label", "main"))
-    one = mixed.select("t", *[F.col(c).alias(c + "1") for c in ("rep", "n", "p", "label", "main")]).filter("label1 <> main1")
-    two = mixed.select("t", *[F.col(c).alias(c + "2") for c in ("rep", "n", "p", "label", "main")])
-    once = (F.col("label2") == F.col("main2")) | (F.col("rep1") < F.col("rep2"))
-    pairs = one.join(two, "t").filter((F.col("label1") != F.col("label2")) & once & _places_allow(
-        percent, F.col("n1"), F.col("n2"), F.col("p1"), F.col("p2"))).select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
+    mixed = scratch.table(lists.join(largest, "t").select("t", "rep", "n", "p", "label", (F.col("label") == F.col("main")).alias("main")))
+
+    def side(k: int, keep: Column) -> DataFrame:
+        return mixed.filter(keep).select("t", *[F.col(c).alias(f"{c}{k}") for c in ("rep", "n", "p", "label")])
+
+    early = _early(percent, F.col("n"), F.col("p"))  # of the smaller set; equal sizes are met from both sides
+    allowed = (F.col("label1") != F.col("label2")) & (F.col("n1") <= F.col("n2")) & _first_shared(
+        percent, F.col("n1"), F.col("n2"), F.col("p1"), F.col("p2"))
+    pairs = (side(1, early & ~F.col("main")).join(side(2, F.lit(True)), "t").filter(allowed).unionByName(
+        side(1, early & F.col("main")).join(side(2, ~F.col("main")), "t").filter(allowed))
+        .select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")))
     stars = _grown(stars, _links(pairs, rows, members, n, percent, scratch), scratch)
     of = (documents.select("id", *key).join(members.select("rep", *key), key)
           .join(stars.select(F.col("node").alias("rep"), "label"), "rep", "left")
