@@ -114,6 +114,29 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles,
        least(doc_id, coalesce((SELECT min(q) FROM reach WHERE reach.p = sets.doc_id), doc_id)) AS component_id FROM sets
 """
 
+# the period is laid out slot by slot: among the released blocks, the earliest deadline
+_OP4 = f"""
+WITH RECURSIVE counted AS (SELECT source, count(*) AS k FROM documents GROUP BY source),
+weights AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS i,
+                   greatest(1, CAST(round_even(power(k, {mixing.SMOOTHING}) * 1000000, 0) AS HUGEINT)) AS w FROM counted),
+whole AS (SELECT count(*) AS s, greatest({mixing.UNITS}, 4 * count(*)) AS u, sum(w) AS total FROM weights),
+floors AS (SELECT source, i, u, 1 + (w * (u - s)) // total AS a, (w * (u - s)) % total AS rest FROM weights, whole),
+units AS (SELECT source, i, u, CAST(a + CAST(row_number() OVER (ORDER BY rest DESC, i) <= u - sum(a) OVER () AS INT) AS BIGINT) AS a
+          FROM floors),
+slots AS (
+  SELECT CAST(0 AS BIGINT) AS t, list(CAST(0 AS BIGINT) ORDER BY i) AS c, list(a ORDER BY i) AS a, any_value(u) AS u,
+         CAST(NULL AS BIGINT) AS p, CAST(NULL AS BIGINT) AS j FROM units
+  UNION ALL
+  SELECT t + 1, [c[k] + CAST(k = p AS INT) FOR k IN range(1, len(a) + 1)], a, u, p, c[p]
+  FROM (SELECT t, c, a, u, list_min([{{'d': ((c[k] + 1) * u + a[k] - 1) // a[k], 'k': k}} FOR k IN range(1, len(a) + 1)
+                                     IF c[k] < a[k] AND c[k] * u // a[k] <= t]).k AS p FROM slots WHERE t < u)),
+placed AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS seq FROM documents)
+SELECT doc_id, placed.source, units.a AS mix_units, seq AS mix_seq, seq // {mixing.BLOCK_DOCS} AS mix_block,
+       seq // {mixing.BLOCK_DOCS} // units.a * units.u + slots.t - 1 AS mix_slot
+FROM placed JOIN units ON placed.source IS NOT DISTINCT FROM units.source
+JOIN slots ON slots.p = units.i AND slots.j = seq // {mixing.BLOCK_DOCS} % units.a
+"""
+
 _OP5 = rf"""
 WITH {_ROWS},
 words AS (SELECT r, doc_id, source, text, regexp_extract_all(text, '{_WORD}') AS w FROM rows_),
@@ -185,5 +208,5 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {topk.K}
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_ngram_join": _OP2, "op5_quality_rules": _OP5, "op6_substring_dedup": _OP6,
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": _OP2, "op4_mixing": _OP4, "op5_quality_rules": _OP5, "op6_substring_dedup": _OP6,
                               "op7_line_dedup": _OP7, "op9_topk": _OP9}
