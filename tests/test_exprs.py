@@ -145,3 +145,29 @@ def test_clamp_limit_and_query_text():
     with pytest.raises(ValueError):
         X.clean_query_text(" a ")
     assert X.clean_query_text("  ab ") == "ab"
+
+
+DATES = ["2024-01-05", "2024-1-5", "2024/01/05", "2024.01.05", "2024.01.05 10:00:00", "2024.01.05T00:00:00Z", "24.01.05",
+         "2024", "2024-05", "2024-02-30", "2024-01-05 junk", " 2024-01-05 ", "2024 01 05", "2024\\01\\05", "2024-01/05",
+         "2024-01-05T", "2024-01-05 10", "2024-01-05 10:00", "2024-01-05 10:00:00.123", "2024-01-05 10:00:00+02",
+         "2024-01-05junk", "2024-01-05 10:00:00 junk", "2024-01-05 25:00:00", "4-01-05", "204-01-05", "+2024-01-05",
+         "2024-001-05", "2024-01-005", "2024-13-05", "2024-00-05", "2024-01-00", "20240105", "2024-01-05Z", "2024-01-05 UTC",
+         "2024-01-05\n", "\t2024-01-05", "2024- 01-05", "2024-01-05.", "2024-01-05-10", "99-01-05", "2024-Jan-05",
+         "2024-01-05T10:00:00.000Z", "2024--01-05", "", "  ", "12:30", "T10:00", "2019", "2019-05", None]
+NUMBERS = ["42", " 42 ", "3.7", "2.5", "-2.5", "0.5", "-0.5", "1e3", "1,000", "1_000", "1__000", "_1", "1_", "1_000.5",
+           "0.49999999999", "0.499999999999999999999999", "abc", "", "9223372036854775807", "9223372036854775808",
+           "-9223372036854775808", "9223372036854775807.4", "9223372036854775807.5", "+5", "+ 5", "--5", ".5", "5.", ".",
+           "1e-1", "1e0.5", "1E3", "5e18", "1e19", "1.5e1", "15e-1", "25e-1", "\t7\n", "1e", "1e+2", "1.2.3", "nan", "inf",
+           "2147483647.5", "12345678901234567.5", "0e4", "4.5e0", "49e-2", None]
+
+
+@pytest.mark.parametrize("values, build, text", [
+    (DATES, lambda: X.parse_trending_date("x").cast("string"), "CAST(TRY_CAST(replace(x, '.', '-') AS DATE) AS VARCHAR)"),
+    (NUMBERS, lambda: X.to_long("x"), "TRY_CAST(x AS BIGINT)"),
+    (NUMBERS, lambda: X.to_int("x"), "TRY_CAST(x AS INTEGER)"),
+    (DATES, lambda: F.unix_micros(X.to_ts("x")), "epoch_us(TRY_CAST(x AS TIMESTAMPTZ))"),
+], ids=["date", "long", "int", "timestamp"])
+def test_casts_match_reference_engine(spark, values, build, text):
+    got, want = _spark_eval(spark, values, build().alias("y")), _duck_eval(values, text)
+    bad = {values[i]: (got[i], want[i]) for i in got if got[i] != want[i]}
+    assert not bad, bad

@@ -7,8 +7,9 @@ differ from Spark's defaults (see SURVEY §1.5):
 * first-match-only ``regexp_replace`` (G1) -> anchored patterns,
 * ``$`` also matching before a final newline in Java (G2) -> ``\\z``,
 * ``trim`` stripping Unicode space separators (G3) -> ``\\p{Zs}``,
-* loose numeric casts that round ``'3.7'`` to 4 (G4) -> decimal route,
-* date casts that reject partial dates (G5) -> shape guard before ``try_cast``,
+* loose numeric casts that round ``'3.7'`` to 4 and accept ``'1_000'`` (G4) -> decimal route,
+* date and timestamp casts that reject partial dates and times without a date, and accept
+  four separators and short years (G5) -> shape patterns whose parts are put in ISO form,
 * ``ILIKE`` without an escape character (G10) -> explicit escape ``~``.
 """
 
@@ -20,8 +21,21 @@ from pyspark.sql import functions as F
 # Fixed values ---------------------------------------------------------------------------
 # Video id rule: 11 characters from letters, digits, '_' and '-'.
 VIDEO_ID_PATTERN = r"^[A-Za-z0-9_-]{11}\z"
-# Accepted trending-date shape after '.' -> '-' (year-month-day, optional outer spaces).
-DATE_SHAPE_PATTERN = r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*\z"
+# Accepted dates after '.' -> '-': year-month-day with one separator, then nothing or a time with
+# a zone or a space and anything behind it. Year up to six digits.
+DATE_PATTERN = (r"(?s)^[\t\n\x0B\f\r ]*(\d{1,6})([-/\\ ])(\d{1,2})\2(\d{1,2})"
+                r"(?:[\t\n\x0B\f\r ]*|[ \tT] *(?:(?:[01]?\d|2[0-3]):[0-5]?\d(?::(?:[0-5]?\d)?)?|24:00(?::00)?)"
+                r"(?:Z| (?:[^ ].*)?|[+-]\d\d(?::?\d\d(?::\d\d)?)?)?)\z")
+# Accepted timestamps: the same date, alone or with a time and a zone.
+TS_PATTERN = (r"^[\t\n\x0B\f\r ]*(\d{1,6})([-/\\ ])(\d{1,2})\2(\d{1,2})"
+              r"(?:[ T](\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?) ?(Z|UTC|[+-]\d{2}(?::\d{2})?)?)?\z")
+# Accepted numbers: single underscores between digits, a fraction, an exponent.
+NUMBER_PATTERN = (r"^[\t\n\x0B\f\r ]*[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)"
+                  r"(?:[eE][+-]?\d+(?:_\d+)*)?[\t\n\x0B\f\r ]*\z")
+# Leading '#' runs and quotes of tags.
+LEADING_HASHES = r"^#+"
+LEADING_QUOTES, TRAILING_QUOTES = r'^"+', r'"+\z'
+LEADING_QUOTE, TRAILING_QUOTE = r'^"', r'"\z'
 # Tag strings that mean "no tags" in the legacy pipeline and the notebook.
 NONE_LIKE_TAGS = ["[none]", "none", "nan", "null"]
 # Length bounds and junk markers of the clean tag pipeline.
@@ -38,10 +52,17 @@ def _c(col) -> Column:
 
 # --- C1..C4: safe parsing ----------------------------------------------------------------
 
+def _iso_date(s: Column, pattern: str) -> Column:
+    part = lambda i: F.regexp_extract(s, pattern, i)
+    year = part(1)
+    return F.concat(F.when(F.length(year) < 4, F.lpad(year, 4, "0")).otherwise(year), F.lit("-"), part(3), F.lit("-"), part(4))
+
+
 def parse_trending_date(col) -> Column:
-    """C1: '.' -> '-', then a safe DATE cast; NULL for anything that is not y-m-d."""
+    """C1: '.' -> '-', then a safe DATE cast; NULL for anything that doesn't start with a whole
+    date. The reference's words for special dates ('epoch', 'infinity', BC years) are NULL."""
     s = F.translate(_c(col), ".", "-")
-    return F.when(s.rlike(DATE_SHAPE_PATTERN), s.try_cast("date"))
+    return F.when(s.rlike(DATE_PATTERN), _iso_date(s, DATE_PATTERN).try_cast("date"))
 
 
 def valid_video_id(col) -> Column:
@@ -50,10 +71,12 @@ def valid_video_id(col) -> Column:
 
 
 def _rounding_integral(col, type_name: str) -> Column:
-    # The reference's text->integer cast accepts '3.7' (-> 4), '2.5' (-> 3) and '1e3'.
-    # Parsing through a wide decimal and rounding half away from zero reproduces that and
-    # does not depend on the session's ANSI flag.
-    return F.round(_c(col).try_cast("decimal(38,10)"), 0).try_cast(type_name)
+    # The reference's text->integer cast accepts '3.7' (-> 4), '2.5' (-> 3), '1e3' and '1_000'.
+    # A decimal with 18 places holds any bigint; digits behind the 18th can't change the
+    # rounding half away from zero, so they are cut before the parse would round them up.
+    s = _c(col)
+    plain = F.regexp_replace(F.translate(F.btrim(s, F.lit("\t\n\x0b\f\r ")), "_", ""), r"(\.\d{18})\d+\z", "$1")
+    return F.when(s.rlike(NUMBER_PATTERN), F.round(plain.try_cast("decimal(38,18)"), 0).try_cast(type_name))
 
 
 def to_long(col) -> Column:
@@ -67,8 +90,12 @@ def to_int(col) -> Column:
 
 
 def to_ts(col) -> Column:
-    """C4: safe timestamp cast (ISO text with zone; the session zone is UTC)."""
-    return _c(col).try_cast("timestamp")
+    """C4: safe timestamp cast; a whole date, alone or with a time and zone (UTC without one)."""
+    s = _c(col)
+    time, zone = F.regexp_extract(s, TS_PATTERN, 5), F.regexp_extract(s, TS_PATTERN, 6)
+    text = F.concat(_iso_date(s, TS_PATTERN), F.when(time == "", "").otherwise(F.concat(F.lit("T"), time)),
+                    F.when(zone == "UTC", "Z").when(F.length(zone) == 3, F.concat(zone, F.lit(":00"))).otherwise(zone))
+    return F.when(s.rlike(TS_PATTERN), text.try_cast("timestamp"))
 
 
 def to_bool(col) -> Column:
@@ -84,7 +111,7 @@ def trim_zs(col) -> Column:
 
 
 def strip_leading_hashes(col) -> Column:
-    return F.regexp_replace(_c(col), r"^#+", "")
+    return F.regexp_replace(_c(col), LEADING_HASHES, "")
 
 
 def collapse_first_ws_run(col) -> Column:
@@ -95,16 +122,16 @@ def collapse_first_ws_run(col) -> Column:
 def strip_quote_run_one_side(col) -> Column:
     """G1: remove the leading run of '"' if there is one, otherwise the trailing run."""
     c = _c(col)
-    return F.when(c.startswith('"'), F.regexp_replace(c, r'^"+', "")).otherwise(
-        F.regexp_replace(c, r'"+\z', "")
+    return F.when(c.startswith('"'), F.regexp_replace(c, LEADING_QUOTES, "")).otherwise(
+        F.regexp_replace(c, TRAILING_QUOTES, "")
     )
 
 
 def strip_one_quote_char(col) -> Column:
     """G1 (legacy form): remove one leading '"' if present, otherwise one trailing '"'."""
     c = _c(col)
-    return F.when(c.startswith('"'), F.regexp_replace(c, r'^"', "")).otherwise(
-        F.regexp_replace(c, r'"\z', "")
+    return F.when(c.startswith('"'), F.regexp_replace(c, LEADING_QUOTE, "")).otherwise(
+        F.regexp_replace(c, TRAILING_QUOTE, "")
     )
 
 
