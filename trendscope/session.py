@@ -1,7 +1,7 @@
 """Session helpers.
 
 Library functions never create a session; they take DataFrames. ``get_session`` is for
-tests, the bench and the command-line rebuild. ``ensure_conf`` applies the two settings
+tests and the bench, ``submitted_session`` for the command-line rebuild. ``ensure_conf`` applies the two settings
 the semantics depend on (UTC rendering of timestamps, a shared checkpoint folder) without
 overriding what a cluster already configured.
 """
@@ -35,12 +35,12 @@ def cluster_conf(input_bytes: int, advisory_mb: int = 256) -> dict[str, str]:
     """Settings for a cluster run sized from the input volume (e.g. 100 TB of raw data).
 
     Scan splits and post-shuffle partitions target ``advisory_mb``; the initial shuffle
-    partition count is generous (input / advisory, clamped) and AQE coalesces what turns
+    partition count is input / advisory (at least 200) and AQE coalesces what turns
     out small, so no task holds more than a few hundred MB of a shuffle. Output files are
     capped by rows so a busy month is written as many files, not one huge file.
     """
     advisory = advisory_mb * 1024 * 1024
-    partitions = max(200, min(200_000, input_bytes // advisory))
+    partitions = max(200, -(-input_bytes // advisory))
     return {
         **SCALE_CONF,
         **SEMANTIC_CONF,
@@ -54,6 +54,24 @@ def cluster_conf(input_bytes: int, advisory_mb: int = 256) -> dict[str, str]:
     }
 
 
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a file or folder in any store Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(at).getLength()
+
+
+def submitted_session(input_path: str | None = None, app_name: str = "trendscope") -> SparkSession:
+    """The session of a submitted job: master, memory and every setting come from
+    ``spark-submit``; SQL settings that it leaves open are sized from the input."""
+    spark = SparkSession.builder.appName(app_name).getOrCreate()
+    given = {key for key, _ in spark.sparkContext.getConf().getAll()}
+    for key, value in cluster_conf(path_bytes(spark, input_path) if input_path else 0).items():
+        if key not in given:
+            spark.conf.set(key, value)
+    return ensure_conf(spark)
+
+
 def ensure_conf(spark: SparkSession) -> SparkSession:
     """Pin the session time zone to UTC (the reference stores TIMESTAMPTZ rendered as UTC)."""
     for key, value in SEMANTIC_CONF.items():
@@ -63,26 +81,24 @@ def ensure_conf(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a scratch folder only when unset.
+    """The shared checkpoint folder named by the cluster.
 
-    On a cluster ``spark.checkpoint.dir`` must name shared storage. A local temporary
-    folder is only created for single-machine runs (tests, bench) where nothing is set.
+    On a cluster ``spark.checkpoint.dir`` must name shared storage; a local temporary
+    folder is only made for single-machine runs (tests, bench) where nothing is set.
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="trendscope-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
-    try:
-        spark.conf.set("spark.checkpoint.dir", path)
-    except Exception:  # some deployments reject setting core confs at runtime
-        pass
     return path
 
 
 def get_session(master: str | None = None, app_name: str = "trendscope",
                 shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session for tests, the bench and the rebuild CLI."""
+    """Build (or reuse) a single-machine session for tests and the bench."""
     master = master or os.environ.get("TRENDSCOPE_MASTER", "local[8]")
     builder = (
         SparkSession.builder.master(master)

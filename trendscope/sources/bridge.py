@@ -8,8 +8,8 @@ tag strings, quoted tags, NULL channels) that exercise every cleaning rule.
 
 Join order for scale: ``orders`` is joined to ``customer`` (and the 25-row ``nation``)
 first, so the widest input, ``lineitem``, is shuffled once for ``orders`` and once for
-``part``; both of those joins hash the unique-key side. Only the columns the rules read
-are selected, so the Parquet scans prune. A country predicate written downstream reaches
+``part``. Tables are read with their declared types, so building a query starts no job, and
+only the columns the rules read are in them, so the Parquet scans prune. A country predicate written downstream reaches
 the ``nation`` scan through Catalyst's predicate pushdown, because the country column only
 reads nation columns.
 """
@@ -22,8 +22,23 @@ from pyspark.sql import functions as F
 from trendscope.schema import DEFAULT_COUNTRY, RAW_COLUMNS
 
 
+# Columns that the bridge reads, with their types.
+SOURCE_TABLES = {
+    "lineitem": "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_returnflag string, l_shipdate timestamp",
+    "orders": "o_orderkey long, o_custkey long, o_orderpriority string",
+    "customer": "c_custkey long, c_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int",
+}
+
+
+def table_path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SOURCE_TABLES[name]).parquet(table_path(sf_dir, name))
 
 
 def _s(col) -> "F.Column":
@@ -32,21 +47,11 @@ def _s(col) -> "F.Column":
 
 def trending_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-text raw trending rows (the ``trending_raw`` table of the reference)."""
-    l = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        "l_returnflag", "l_shipdate")
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    l, o, c, n, p = [read_table(spark, sf_dir, name) for name in SOURCE_TABLES]
 
     cust = c.join(n, c.c_nationkey == n.n_nationkey)
     ords = o.join(cust, o.o_custkey == cust.c_custkey)
-    # Shuffled hash joins with the unique-key side (orders, part) as the build side: no sort
-    # of the line items, and each build partition holds unique keys only, so its hash table
-    # is bounded by the (AQE-sized) partition even when the probe side is skewed.
-    rows = (l.join(ords.hint("shuffle_hash"), l.l_orderkey == ords.o_orderkey)
-            .join(p.hint("shuffle_hash"), l.l_partkey == p.p_partkey))
+    rows = l.join(ords, l.l_orderkey == ords.o_orderkey).join(p, l.l_partkey == p.p_partkey)
 
     okey, pkey, line = F.col("l_orderkey"), F.col("p_partkey"), F.col("l_linenumber")
     ship = _s(F.col("l_shipdate").cast("date"))
@@ -56,16 +61,24 @@ def trending_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "video_id": F.when(okey % 109 == 0, F.lit(None).cast("string"))
         .when(okey % 101 == 0, F.concat(F.lit("bad id "), _s(pkey)))
         .otherwise(F.concat(F.lit("vid"), F.lpad(_s(pkey), 8, "0"))),
-        "video_published_at": F.concat(_s(1990 + pkey % 5), F.lit("-0"), _s(1 + pkey % 9),
-                                       F.lit("-15T08:30:00Z")),
+        # times without a date and partial dates are no timestamps; other separators are
+        "video_published_at": F.when(pkey % 50 == 0, "12:30").when(pkey % 50 == 1, "T10:00")
+        .when(pkey % 50 == 2, "2019").when(pkey % 50 == 3, "2019-05").when(pkey % 50 == 4, "2019-5-6")
+        .when(pkey % 50 == 5, "2019/05/06 07:08").when(pkey % 50 == 6, "2019-05-06 07:08:09.5+02")
+        .otherwise(F.concat(_s(1990 + pkey % 5), F.lit("-0"), _s(1 + pkey % 9), F.lit("-15T08:30:00Z"))),
         "video_trending__date": F.when(okey % 103 == 0, F.lit("not-a-date"))
         .when(okey % 103 == 1, F.substring(ship, 1, 4))
+        .when(okey % 103 == 2, F.translate(ship, "-", "/"))
+        .when(okey % 103 == 3, F.concat(F.translate(ship, "-", "."), F.lit(" 10:00:00")))
+        .when(okey % 103 == 4, F.concat(F.translate(ship, "-", "."), F.lit("T00:00:00Z")))
         .otherwise(F.translate(ship, "-", ".")),
         "video_trending_country": F.when(F.col("n_nationkey") < 5, F.lit(DEFAULT_COUNTRY))
         .otherwise(F.col("n_name")),
         "channel_id": F.when(brand == "Brand#7", F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("UC_"), brand)),
-        "video_title": F.col("p_name"),
+        # titles and channel names change from row to row and are sometimes missing
+        "video_title": F.when(okey % 11 == 0, F.lit(None).cast("string"))
+        .when(okey % 13 == 0, F.concat(F.col("p_name"), F.lit(" (new)"))).otherwise(F.col("p_name")),
         "video_description": F.when(pkey % 4 == 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("About "), F.col("p_name"))),
         "video_default_thumbnail": F.concat(F.lit("thumb/"), _s(pkey), F.lit(".jpg")),
@@ -88,13 +101,15 @@ def trending_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "video_definition": F.when(pkey % 3 == 0, F.lit("sd")).otherwise(F.lit("hd")),
         "video_licensed_content": F.when(pkey % 2 == 0, F.lit("True")).otherwise(F.lit("False")),
         "video_view_count": F.concat(
-            _s(F.floor(F.col("l_extendedprice")).cast("bigint")),
+            F.when(okey % 107 == 1, F.lit("1_000")).when(okey % 107 == 2, F.lit("0.49999999999"))
+            .otherwise(_s(F.floor(F.col("l_extendedprice")).cast("bigint"))),
             F.when(okey % 107 == 0, F.lit(".7")).otherwise(F.lit(""))),
         "video_like_count": F.when(line == 7, F.lit(None).cast("string"))
         .when((line == 4) & (okey % 50 == 0), F.lit("n/a"))
         .otherwise(_s(F.floor(F.col("l_quantity") * 10).cast("bigint"))),
         "video_comment_count": _s(F.col("l_partkey") % 500),
-        "channel_title": F.concat(F.lit("Channel "), brand),
+        "channel_title": F.when(okey % 17 == 0, F.lit(None).cast("string"))
+        .when(okey % 19 == 0, F.concat(F.lit("New Channel "), brand)).otherwise(F.concat(F.lit("Channel "), brand)),
         "channel_description": F.concat(F.lit("Desc "), brand),
         "channel_custom_url": F.concat(F.lit("@"), F.lower(brand)),
         "channel_published_at": F.lit("2010-01-01T00:00:00Z"),
@@ -116,14 +131,20 @@ SELECT
   CASE WHEN l.l_orderkey % 109 = 0 THEN NULL
        WHEN l.l_orderkey % 101 = 0 THEN concat('bad id ', CAST(p.p_partkey AS VARCHAR))
        ELSE concat('vid', lpad(CAST(p.p_partkey AS VARCHAR), 8, '0')) END AS video_id,
-  concat(CAST(1990 + p.p_partkey % 5 AS VARCHAR), '-0', CAST(1 + p.p_partkey % 9 AS VARCHAR),
-         '-15T08:30:00Z') AS video_published_at,
+  CASE p.p_partkey % 50 WHEN 0 THEN '12:30' WHEN 1 THEN 'T10:00' WHEN 2 THEN '2019' WHEN 3 THEN '2019-05'
+       WHEN 4 THEN '2019-5-6' WHEN 5 THEN '2019/05/06 07:08' WHEN 6 THEN '2019-05-06 07:08:09.5+02'
+       ELSE concat(CAST(1990 + p.p_partkey % 5 AS VARCHAR), '-0', CAST(1 + p.p_partkey % 9 AS VARCHAR),
+                   '-15T08:30:00Z') END AS video_published_at,
   CASE WHEN l.l_orderkey % 103 = 0 THEN 'not-a-date'
        WHEN l.l_orderkey % 103 = 1 THEN substr(CAST(CAST(l.l_shipdate AS DATE) AS VARCHAR), 1, 4)
+       WHEN l.l_orderkey % 103 = 2 THEN strftime(CAST(l.l_shipdate AS DATE), '%Y/%m/%d')
+       WHEN l.l_orderkey % 103 = 3 THEN strftime(CAST(l.l_shipdate AS DATE), '%Y.%m.%d 10:00:00')
+       WHEN l.l_orderkey % 103 = 4 THEN strftime(CAST(l.l_shipdate AS DATE), '%Y.%m.%dT00:00:00Z')
        ELSE replace(CAST(CAST(l.l_shipdate AS DATE) AS VARCHAR), '-', '.') END AS video_trending__date,
   CASE WHEN n.n_nationkey < 5 THEN 'United States' ELSE n.n_name END AS video_trending_country,
   CASE WHEN p.p_brand = 'Brand#7' THEN NULL ELSE concat('UC_', p.p_brand) END AS channel_id,
-  p.p_name AS video_title,
+  CASE WHEN l.l_orderkey % 11 = 0 THEN NULL WHEN l.l_orderkey % 13 = 0 THEN concat(p.p_name, ' (new)')
+       ELSE p.p_name END AS video_title,
   CASE WHEN p.p_partkey % 4 = 0 THEN NULL ELSE concat('About ', p.p_name) END AS video_description,
   concat('thumb/', CAST(p.p_partkey AS VARCHAR), '.jpg') AS video_default_thumbnail,
   CAST(p.p_size AS VARCHAR) AS video_category_id,
@@ -138,13 +159,15 @@ SELECT
   '2d' AS video_dimension,
   CASE WHEN p.p_partkey % 3 = 0 THEN 'sd' ELSE 'hd' END AS video_definition,
   CASE WHEN p.p_partkey % 2 = 0 THEN 'True' ELSE 'False' END AS video_licensed_content,
-  concat(CAST(CAST(floor(l.l_extendedprice) AS BIGINT) AS VARCHAR),
+  concat(CASE l.l_orderkey % 107 WHEN 1 THEN '1_000' WHEN 2 THEN '0.49999999999'
+              ELSE CAST(CAST(floor(l.l_extendedprice) AS BIGINT) AS VARCHAR) END,
          CASE WHEN l.l_orderkey % 107 = 0 THEN '.7' ELSE '' END) AS video_view_count,
   CASE WHEN l.l_linenumber = 7 THEN NULL
        WHEN l.l_linenumber = 4 AND l.l_orderkey % 50 = 0 THEN 'n/a'
        ELSE CAST(CAST(floor(l.l_quantity * 10) AS BIGINT) AS VARCHAR) END AS video_like_count,
   CAST(l.l_partkey % 500 AS VARCHAR) AS video_comment_count,
-  concat('Channel ', p.p_brand) AS channel_title,
+  CASE WHEN l.l_orderkey % 17 = 0 THEN NULL WHEN l.l_orderkey % 19 = 0 THEN concat('New Channel ', p.p_brand)
+       ELSE concat('Channel ', p.p_brand) END AS channel_title,
   concat('Desc ', p.p_brand) AS channel_description,
   concat('@', lower(p.p_brand)) AS channel_custom_url,
   '2010-01-01T00:00:00Z' AS channel_published_at,

@@ -1,8 +1,9 @@
 """File sources and sinks.
 
 * ``read_raw``: the raw CSV with a declared all-text schema (no inference pass; quoted
-  newlines and doubled quotes handled). A multi-line CSV file is not splittable, so it is
-  read once and converted to Parquet; nothing downstream scans the CSV again.
+  newlines and doubled quotes handled). A file that may hold quoted newlines is not
+  splittable and is one task, so large inputs must come as many files (or, known to hold none,
+  be read with ``multi_line=False``); it is read once and converted to Parquet.
 * ``materialize``: write a DataFrame as a Parquet table, optionally partitioned (the fact
   by month) and clustered (S6), replacing what was there.
 * ``register_views`` / ``load_marts``: expose stored tables to SQL and read them back.
@@ -16,23 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 from trendscope.schema import RAW_SCHEMA
 
 
-def read_raw(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+def raw_options(mode: str = "FAILFAST", multi_line: bool = True) -> dict[str, str]:
+    """CSV options of the raw input, the same for batch and stream."""
+    return {"header": "true", "multiLine": str(multi_line).lower(), "quote": '"', "escape": '"',
+            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "mode": mode,
+            "enforceSchema": "false"}
+
+
+def read_raw(spark: SparkSession, path: str, mode: str = "FAILFAST", multi_line: bool = True) -> DataFrame:
     """Raw CSV with header; every column read as text (types come from ``clean``).
 
     ``mode='FAILFAST'`` stops on a structurally malformed line, as the reference's loader
     does (bad values are not malformed: they are text and the cleaning rules count and drop
     them); ``'PERMISSIVE'`` keeps such lines as NULL-padded rows instead.
+    ``multi_line=False`` splits large files, for input known to hold no quoted newlines.
     """
-    return (spark.read.schema(RAW_SCHEMA)
-            .option("header", True)
-            .option("multiLine", True)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False)
-            .option("mode", mode)
-            .option("enforceSchema", False)
-            .csv(path))
+    return spark.read.schema(RAW_SCHEMA).options(**raw_options(mode, multi_line)).csv(path)
 
 
 def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None,
