@@ -1,18 +1,16 @@
 """Exploratory queries of the notebook (E1-E22) and the table profile.
 
-Quantiles (E7, E8, E15, E20) are computed exactly with the discrete rule of the reference's
-oracle (smallest value whose cumulative count reaches q * n) from a value histogram: the
-values are small integer counts (days, countries, tags per row), so the histogram has at
-most a few hundred rows however large the input is, and only that histogram is ordered.
+Quantiles (E7, E8, E15, E20) follow the discrete rule (smallest value whose cumulative count
+reaches q * n) with the built-in exact aggregate, whose state is a count per distinct value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendscope.functions import exprs as X
-from trendscope.operators.marts import COUNTRY, DATE, available_dates, in_country, latest_non_null
+from trendscope.operators.marts import COUNTRY, DATE, available_dates, in_country, latest_attributes
 from trendscope.operators.reads import top_k
 from trendscope.schema import DEFAULT_COUNTRY
 
@@ -36,14 +34,8 @@ def _pct(cond: Column, digits: int) -> Column:
 def discrete_quantiles(df: DataFrame, col: str, qs: dict[str, float], max_name: str) -> DataFrame:
     """One row: for each name -> q, the smallest value v with count(x <= v) >= q * n;
     plus max. NULL values are ignored, as by the quantile aggregates."""
-    hist = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(
-        F.count(F.lit(1)).alias("c"))
-    # The histogram is tiny (distinct small counts), so a global running sum is cheap.
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = hist.select("v", F.sum("c").over(w).alias("cum"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    aggs = [F.min(F.when(F.col("cum") >= F.lit(q) * F.col("n"), F.col("v"))).alias(name)
-            for name, q in qs.items()]
-    return cum.agg(*aggs, F.max("v").alias(max_name))
+    return df.agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{col}`)").cast(df.schema[col].dataType).alias(name)
+                    for name, q in qs.items()], F.max(col).alias(max_name))
 
 
 _P = {"p50": 0.50, "p90": 0.90, "p99": 0.99}
@@ -78,6 +70,7 @@ def country_coverage(trending: DataFrame, n: int = TOP_N) -> DataFrame:
     return top_k(available_dates(trending), [F.col("rows").desc_nulls_last()], n)
 
 
+# Output names of the missing-value percentages.
 MISSINGNESS_COLS = {
     "pct_video_tags_null": "video_tags",
     "pct_video_desc_null": "video_description",
@@ -130,7 +123,9 @@ def reach_dist(trending: DataFrame) -> DataFrame:
 
 def most_global(trending: DataFrame, n: int = TOP_N) -> DataFrame:
     """Videos trending in the most countries."""
-    per = trending.groupBy("video_id").agg(
+    # distinct (video, titles, country) first: a hash aggregate before the shuffle
+    seen = trending.select("video_id", "video_title", "channel_title", COUNTRY).distinct()
+    per = seen.groupBy("video_id").agg(
         F.max("video_title").alias("video_title"),
         F.max("channel_title").alias("channel_title"),
         F.count_distinct(COUNTRY).alias("countries"))
@@ -138,12 +133,13 @@ def most_global(trending: DataFrame, n: int = TOP_N) -> DataFrame:
 
 
 def stickiest_by_country(trending: DataFrame, n: int = TOP_N) -> DataFrame:
-    """Longest-trending (country, video) pairs with titles. The reference re-joins
-    the aggregate to the fact for the titles; one aggregation gives the same rows."""
-    per = trending.groupBy(COUNTRY, "video_id").agg(
-        latest_non_null("video_title").alias("video_title"),
-        latest_non_null("channel_title").alias("channel_title"),
-        F.count_distinct(DATE).alias("days_trended"))
+    """Longest-trending (country, video) pairs with their latest non-NULL titles. Rows
+    without a country have no pair."""
+    keys = [COUNTRY, "video_id"]
+    titles = latest_attributes(trending, keys, ["video_title", "channel_title"])
+    days = (trending.filter(F.col(COUNTRY).isNotNull()).select(*keys, DATE).distinct()
+            .groupBy(*keys).agg(F.count(DATE).alias("days_trended")))
+    per = titles.join(days, keys).select(*keys, "video_title", "channel_title", "days_trended")
     return top_k(per, [F.col("days_trended").desc_nulls_last()], n)
 
 
@@ -312,6 +308,37 @@ def profile_missing(df: DataFrame, n: int = PROFILE_TOP_N) -> DataFrame:
     return top_k(out, [F.col("pct_missing").desc_nulls_last()], n)
 
 
+# Shape of a column's text, the first that all its values have.
+TYPE_SHAPES = {
+    "bigint": r"^[+-]?[0-9]{1,18}$",
+    "double": r"^[+-]?[0-9]+[.][0-9]+$",
+    "boolean": r"^(true|false|True|False)$",
+    "date": r"^[0-9]{4}[-.][0-9]{2}[-.][0-9]{2}$",
+    "timestamp": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}Z?$",
+}
+
+
+def profile_types(df: DataFrame) -> DataFrame:
+    """For every text column the type that all its non-NULL values parse to ('double'
+    also where some are whole), else 'string'; 'void' without values. All rows, one pass."""
+    def fits(c: str, kind: str) -> Column:
+        shape = F.col(c).rlike(TYPE_SHAPES[kind])
+        return shape | F.col(c).rlike(TYPE_SHAPES["bigint"]) if kind == "double" else shape
+
+    named = {(c, k): f"_{i}_{k}" for i, c in enumerate(df.columns) for k in TYPE_SHAPES}
+    row = df.agg(*[F.count(c).alias(f"_{i}") for i, c in enumerate(df.columns)],
+                 *[F.bool_and(fits(c, k)).alias(name) for (c, k), name in named.items()])
+
+    def chosen(i: int, c: str) -> Column:
+        out = F.when(F.col(f"_{i}") == 0, F.lit("void"))
+        for k in TYPE_SHAPES:
+            out = out.when(F.col(named[c, k]), F.lit(k))
+        return F.struct(F.lit(c).alias("column_name"), out.otherwise(F.lit("string")).alias("column_type"),
+                        F.col(f"_{i}").alias("n_values"))
+
+    return row.select(F.explode(F.array(*[chosen(i, c) for i, c in enumerate(df.columns)])).alias("r")).select("r.*")
+
+
 def schema_listing(df: DataFrame) -> list[tuple[str, str]]:
     """S11 (notebook form): column names and types of a table; plan metadata only."""
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
@@ -324,4 +351,5 @@ def profile(df: DataFrame, head: int = 5, worst: int = PROFILE_TOP_N) -> dict:
         "columns": schema_listing(df),
         "head": sample_rows(df, head),
         "missing": profile_missing(df, worst),
+        "types": profile_types(df.select([F.col(c).cast("string").alias(c) for c in df.columns])),
     }

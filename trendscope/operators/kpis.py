@@ -4,7 +4,8 @@ row count of a ranked list; here as small aggregates over the same (unlimited) r
 "First row of the ranked list" is ``min_by(value, ordering key)`` where the key encodes the
 list's order (descending numbers negated, NULLs last via an is-null flag, the entity key
 last), so no ranked list has to be materialised or ordered globally. "Rows shown" is
-``least(count, page limit)``.
+``least(count, page limit)``, as the reference's pages show it; the exact count stands beside it
+as ``rows_total``.
 """
 
 from __future__ import annotations
@@ -38,17 +39,16 @@ def kpi_dashboard(trending: DataFrame, dim: DataFrame, reach: DataFrame, stickin
     """K1: the day, its row count (capped at 200 like the list), top views, top likes,
     max US stickiness and max reach among the day's videos."""
     dv = R.day_value(trending, date, country)
-    rows, keys = R._day_rows(trending, dv, country)
-    day = rows.join(dim.select("video_id"), "video_id", "inner")
-    day = R.left_lookup(day, stickiness.select("video_id", "days_trended_us"), keys=keys)
-    day = R.left_lookup(day, reach, keys=keys)
+    day = R._day_rows(trending, dv, country).join(dim.select("video_id"), "video_id", "inner")
+    day = day.join(stickiness.select("video_id", "days_trended_us"), "video_id", "left").join(reach, "video_id", "left")
     return day.agg(
         F.least(F.count(F.lit(1)), F.lit(cap)).alias("trending_rows"),
+        F.count(F.lit(1)).alias("rows_total"),
         F.max("video_view_count").alias("top_views"),
         F.max("video_like_count").alias("top_likes"),
         F.max("days_trended_us").alias("max_stickiness"),
         F.max("countries_count").alias("max_reach"),
-    ).select(dv.alias("date"), "trending_rows", "top_views", "top_likes", "max_stickiness", "max_reach")
+    ).select(dv.alias("date"), "trending_rows", "rows_total", "top_views", "top_likes", "max_stickiness", "max_reach")
 
 
 def kpi_channels(daily: DataFrame, alltime: DataFrame, cdim: DataFrame, date=None,
@@ -57,7 +57,7 @@ def kpi_channels(daily: DataFrame, alltime: DataFrame, cdim: DataFrame, date=Non
     (title, else id), its distinct videos and (all-time) days active."""
     titles = cdim.select("channel_id", "channel_title")
     d = daily.filter(F.col("date") == R.daily_date(daily, date))
-    d = R.left_lookup(d, titles, "channel_id", keys=d.select("channel_id") if R.small_enough(d) else None)
+    d = d.join(titles, "channel_id", "left")
     a = alltime.join(titles, "channel_id", "left")
     name = F.coalesce(F.col("channel_title"), F.col("channel_id"))
     d_key = [*desc_key("distinct_videos"), *desc_key("sum_views"), *asc_key("channel_id")]
@@ -65,12 +65,14 @@ def kpi_channels(daily: DataFrame, alltime: DataFrame, cdim: DataFrame, date=Non
     d_row = d.withColumn("_name", name).agg(
         F.lit("daily").alias("board"),
         F.least(F.count(F.lit(1)), F.lit(shown)).alias("channels_shown"),
+        F.count(F.lit(1)).alias("rows_total"),
         first_by("_name", *d_key).alias("top_channel"),
         first_by("distinct_videos", *d_key).alias("top_distinct_videos"),
         F.lit(None).cast("bigint").alias("top_days_active"))
     a_row = a.withColumn("_name", name).agg(
         F.lit("alltime").alias("board"),
         F.least(F.count(F.lit(1)), F.lit(shown)).alias("channels_shown"),
+        F.count(F.lit(1)).alias("rows_total"),
         first_by("_name", *a_key).alias("top_channel"),
         first_by("distinct_videos_alltime", *a_key).alias("top_distinct_videos"),
         first_by("days_active", *a_key).alias("top_days_active"))
@@ -85,6 +87,7 @@ def kpi_channel_videos(trending: DataFrame, dim: DataFrame, reach: DataFrame, ch
     key = [*desc_key("days_trended_us"), *desc_key("video_view_count"), *asc_key("video_id")]
     return rows.agg(
         F.least(F.count(F.lit(1)), F.lit(shown)).alias("videos_shown"),
+        F.count(F.lit(1)).alias("rows_total"),
         first_by("days_trended_us", *key).alias("top_days_trended_us"),
         first_by("video_view_count", *key).alias("top_max_views"))
 
@@ -107,30 +110,33 @@ def kpi_video_spread(trending: DataFrame, video_id: str, shown: int = R.SPREAD_T
     key = [*desc_key("days"), *asc_key("country")]
     return per.agg(
         F.least(F.count(F.lit(1)), F.lit(shown)).alias("countries_shown"),
+        F.count(F.lit(1)).alias("rows_total"),
         first_by("country", *key).alias("top_country"),
         first_by("days", *key).alias("top_country_days"))
 
 
 def kpi_tags(monthly: DataFrame, month=None) -> DataFrame:
-    """K6: one row per panel: leader by share ('top'), fastest rising, fastest falling."""
-    m = R.month_value(monthly, month)
-    top = monthly.filter(F.col("month") == m)
-    pairs = R.tag_pairs(monthly, month)
-    falling = pairs.filter(F.col("share_prev").isNotNull())
-    t_key = [*desc_key("video_share"), *asc_key("tag")]
-    r_key = [*desc_key("delta"), *asc_key("tag")]
-    f_key = [*asc_key("delta"), *asc_key("tag")]
-    t_row = top.agg(F.lit("top").alias("panel"), first_by("tag", *t_key).alias("tag"),
-                    first_by("video_share", *t_key).alias("value"),
-                    F.lit(None).cast("double").alias("lift"),
-                    first_by("distinct_videos", *t_key).alias("distinct_videos"))
-    r_row = pairs.agg(F.lit("rising").alias("panel"), first_by("tag", *r_key).alias("tag"),
-                      first_by("delta", *r_key).alias("value"), first_by("lift", *r_key).alias("lift"),
-                      F.lit(None).cast("bigint").alias("distinct_videos"))
-    f_row = falling.agg(F.lit("falling").alias("panel"), first_by("tag", *f_key).alias("tag"),
-                        first_by("delta", *f_key).alias("value"), first_by("lift", *f_key).alias("lift"),
-                        F.lit(None).cast("bigint").alias("distinct_videos"))
-    return t_row.unionByName(r_row).unionByName(f_row)
+    """K6: one row per panel: leader by share ('top'), fastest rising, fastest falling. All
+    three are picked in one aggregate over the month's pairs."""
+    fell = F.col("share_prev").isNotNull()
+
+    def leader(value: str, key: list[Column], keep: Column | None = None) -> Column:
+        row = F.struct("tag", F.col(value).alias("value"), "lift", "distinct_videos")
+        rank = F.struct(*key)
+        return F.min_by(row, rank if keep is None else F.when(keep, rank))
+
+    best = R.tag_pairs(monthly, month).agg(
+        leader("share_now", [*desc_key("share_now"), *asc_key("tag")]).alias("top"),
+        leader("delta", [*desc_key("delta"), *asc_key("tag")]).alias("rising"),
+        leader("delta", [*asc_key("delta"), *asc_key("tag")], fell).alias("falling"))
+
+    def panel(name: str) -> Column:
+        lift = F.lit(None).cast("double") if name == "top" else F.col(f"{name}.lift")
+        videos = F.col("top.distinct_videos") if name == "top" else F.lit(None).cast("bigint")
+        return F.struct(F.lit(name).alias("panel"), F.col(f"{name}.tag").alias("tag"), F.col(f"{name}.value").alias("value"),
+                        lift.alias("lift"), videos.alias("distinct_videos"))
+
+    return best.select(F.explode(F.array(*map(panel, ("top", "rising", "falling")))).alias("p")).select("p.*")
 
 
 def kpi_tag_series(monthly: DataFrame, tag: str) -> DataFrame:
@@ -150,10 +156,11 @@ def kpi_tag_videos(events: DataFrame, trending: DataFrame, dim: DataFrame, tag:
     """K8: videos shown, and the first video's days in the month and its ranked metric."""
     order = {"views": "max_views", "likes": "max_likes"}
     if metric not in order:
-        raise ValueError("metric must be views or likes")
+        raise ValueError(f"unknown metric {metric!r}: views or likes")
     rows = R.tag_videos_all(events, trending, dim, tag, month, monthly, country, stats)
     key = [*desc_key(order[metric]), *asc_key("video_id")]
     return rows.agg(
         F.least(F.count(F.lit(1)), F.lit(shown)).alias("videos_shown"),
+        F.count(F.lit(1)).alias("rows_total"),
         first_by("days_trended_in_month", *key).alias("top_days_trended_in_month"),
         first_by(order[metric], *key).alias("top_metric"))

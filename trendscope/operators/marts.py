@@ -41,9 +41,17 @@ VIDEO_DIM_ATTRS = ["video_title", "channel_id", "channel_title", "video_default_
                    "video_category_id", "video_duration", "video_definition"]
 
 
+def latest_attributes(trending: DataFrame, keys: list[str], attrs: list[str]) -> DataFrame:
+    """Per key, each attribute's latest non-NULL value. First the rows collapse to distinct
+    (key, attributes) with their latest date, a hash aggregate that a task does before the
+    shuffle; the picks then run over what is left, a few versions per key."""
+    versions = trending.groupBy(*keys, *attrs).agg(F.max(DATE).alias(DATE))
+    return versions.groupBy(*keys).agg(*[latest_non_null(c).alias(c) for c in attrs])
+
+
 def video_dim(trending: DataFrame) -> DataFrame:
     """V2: one row per video with 7 attributes."""
-    return trending.groupBy("video_id").agg(*[latest_non_null(c).alias(c) for c in VIDEO_DIM_ATTRS])
+    return latest_attributes(trending, ["video_id"], VIDEO_DIM_ATTRS)
 
 
 def video_reach(trending: DataFrame) -> DataFrame:
@@ -61,21 +69,23 @@ def video_stickiness(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> Dat
 
 
 def video_profile(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
-    """V2 + V3 + V4 in one aggregation: one scan and one shuffle of the fact instead of three.
+    """V2 + V3 + V4 in one table per video. The distinct figures come from distinct (video,
+    country, day) triples, counted per (video, country) and then per video: hash aggregates
+    over three short columns, with no expanded copies of the rows.
 
-    The country-restricted figures use conditional aggregates, so a video without rows in
-    ``country`` has ``country_rows = 0`` and NULL stickiness; ``video_stickiness_of`` drops
-    those rows, which gives exactly V4's set."""
+    A video without rows in ``country`` has ``country_rows = 0`` and NULL stickiness;
+    ``video_stickiness_of`` drops those rows, which gives exactly V4's set."""
     here = F.col(COUNTRY) == F.lit(country)
-    day_here = F.when(here, F.col(DATE))
-    return trending.groupBy("video_id").agg(
-        *[latest_non_null(c).alias(c) for c in VIDEO_DIM_ATTRS],
-        F.count_distinct(COUNTRY).alias("countries_count"),
-        F.count_distinct(day_here).alias("days_trended_us"),
-        F.min(day_here).alias("first_trending_us"),
-        F.max(day_here).alias("last_trending_us"),
-        F.count(day_here).alias("country_rows"),
-    )
+    places = (trending.groupBy("video_id", COUNTRY, DATE).agg(F.count(F.lit(1)).alias("rows"))
+              .groupBy("video_id", COUNTRY).agg(F.count(DATE).alias("days"), F.min(DATE).alias("first"),
+                                                F.max(DATE).alias("last"), F.sum("rows").alias("rows")))
+    figures = places.groupBy("video_id").agg(
+        F.count(COUNTRY).alias("countries_count"),
+        F.coalesce(F.sum(F.when(here, F.col("days"))), F.lit(0)).alias("days_trended_us"),
+        F.min(F.when(here, F.col("first"))).alias("first_trending_us"),
+        F.max(F.when(here, F.col("last"))).alias("last_trending_us"),
+        F.coalesce(F.sum(F.when(here, F.col("rows"))), F.lit(0)).alias("country_rows"))
+    return video_dim(trending).join(figures, "video_id")
 
 
 def video_dim_of(profile: DataFrame) -> DataFrame:
@@ -102,7 +112,7 @@ CHANNEL_DIM_ATTRS = ["channel_title", "channel_custom_url", "channel_country"]
 
 def channel_dim(trending: DataFrame) -> DataFrame:
     """H1: one row per channel; a NULL channel id forms its own group."""
-    return trending.groupBy("channel_id").agg(*[latest_non_null(c).alias(c) for c in CHANNEL_DIM_ATTRS])
+    return latest_attributes(trending, ["channel_id"], CHANNEL_DIM_ATTRS)
 
 
 def channel_daily(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
@@ -116,18 +126,28 @@ def channel_daily(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFr
     )
 
 
-def channel_alltime(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
+def channel_alltime(trending: DataFrame, country: str = DEFAULT_COUNTRY, daily: DataFrame | None = None,
+                    videos: DataFrame | None = None) -> DataFrame:
     """H3: per channel over all days. The sums add daily cumulative counters (as the
-    reference does), so they are not unique views."""
-    return in_country(trending, country).groupBy("channel_id").agg(
-        F.count_distinct("video_id").alias("distinct_videos_alltime"),
-        F.count_distinct(DATE).alias("days_active"),
-        F.count(F.lit(1)).alias("appearances_alltime"),
-        F.min(DATE).alias("first_date"),
-        F.max(DATE).alias("last_date"),
-        F.sum("video_view_count").alias("sum_views_alltime"),
-        F.sum("video_like_count").alias("sum_likes_alltime"),
-    )
+    reference does), so they are not unique views.
+
+    Derived from H2 (``daily``, one row per channel and day) and from the distinct (channel,
+    video) pairs (``videos``, e.g. the stored ``channel_video_stats``): each distinct figure is
+    a row count there. NULL channels join null-safely."""
+    daily = daily if daily is not None else channel_daily(trending, country)
+    videos = videos if videos is not None else in_country(trending, country).select("channel_id", "video_id").distinct()
+    seen = videos.groupBy(F.col("channel_id").alias("of_channel")).agg(
+        F.count("video_id").alias("distinct_videos_alltime"))
+    days = daily.groupBy("channel_id").agg(
+        F.count("date").alias("days_active"),
+        F.sum("appearances").alias("appearances_alltime"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        F.sum("sum_views").alias("sum_views_alltime"),
+        F.sum("sum_likes").alias("sum_likes_alltime"))
+    return days.join(seen, F.col("channel_id").eqNullSafe(F.col("of_channel"))).select(
+        "channel_id", "distinct_videos_alltime", "days_active", "appearances_alltime", "first_date", "last_date",
+        "sum_views_alltime", "sum_likes_alltime")
 
 
 def channel_video_stats(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:

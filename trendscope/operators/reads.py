@@ -12,19 +12,24 @@ A date or month argument may be
 Every top-k orders by the reference's keys and then by every output column, so ties
 resolve the same way in any engine. Top-k is planned as ``TakeOrderedAndProject``: each
 task keeps only its best ``limit`` rows, so no shuffle of the candidates is needed.
+
+Building a query starts no job: the small side (a day, a channel, a month's videos) is
+filtered first, and Spark picks each join from the sizes it knows or measures at run time.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendscope.functions import exprs as X
 from trendscope.operators.marts import COUNTRY, DATE, available_dates, country_dates, in_country
 from trendscope.operators.tags import latest_month_value
 from trendscope.schema import DEFAULT_COUNTRY, FACT_PARTITION
+from trendscope.sources.files import monthly_source
 
 
 # Fixed values ---------------------------------------------------------------------------
@@ -43,7 +48,6 @@ PAGE = {
     "tags_falling": (50, 200),
     "tag_videos": (20, 200),
 }
-DATES_LIMIT = 4000   # date list length
 SPREAD_TOP = 20      # countries in a video's spread
 # ----------------------------------------------------------------------------------------
 
@@ -58,47 +62,23 @@ def top_k(df: DataFrame, keys: list[Column], limit: int | None) -> DataFrame:
     return out.limit(limit) if limit is not None else out
 
 
-# Most rows broadcast after a size check: a day of one country, one date's channels, the
-# title hits of a search, a tag's videos in a month. 200k short rows are a few MB.
-SMALL_ROWS = 200_000
-
-
-def small_enough(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """Size check before a broadcast: a bounded job that reads at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """``(broadcast(df), True)`` when ``df`` passes the size check, else ``(df, False)``:
-    beyond the bound the join stays a shuffle join planned by Spark/AQE."""
-    if small_enough(df, max_rows):
-        return F.broadcast(df), True
-    return df, False
-
-
-def left_lookup(rows: DataFrame, side: DataFrame, key: str = "video_id",
-                keys: DataFrame | None = None) -> DataFrame:
-    """``rows LEFT JOIN side USING (key)`` where ``side`` is a mart with one row per key.
-
-    Spark can only build the right side of a left outer join, and AQE turns a shuffle join
-    into a broadcast only after both shuffles are written, so joining a few hundred rows to
-    a per-video mart would shuffle the whole mart. With ``keys`` (a size-checked superset of
-    the rows' keys) the mart is first reduced by a broadcast left-semi join, a map-side
-    filter; the reduced mart has at most one row per checked key, so it is broadcast to the
-    outer join. Without ``keys`` the plain join is left to the planner."""
-    if keys is None:
-        return rows.join(side, key, "left")
-    reduced = side.join(F.broadcast(keys), key, "left_semi")
-    return rows.join(F.broadcast(reduced), key, "left")
+_DAY_TEXT = re.compile(X.DATE_PATTERN.replace(r"\z", r"\Z"))
 
 
 def parse_day(text: str) -> _dt.date:
+    """A day argument, as whole text: what a date of the raw file may look like."""
+    m = _DAY_TEXT.match(str(text))
     try:
-        return _dt.date.fromisoformat(str(text).strip()[:10])
-    except ValueError as exc:
+        return _dt.date(int(m[1]), int(m[3]), int(m[4]))
+    except (TypeError, ValueError) as exc:
         raise ValueError(f"bad date: {text!r}") from exc
 
 
+def parse_month(text: str) -> _dt.date:
+    """A month argument: its first 10 characters are a day (A2)."""
+    return parse_day(str(text)[:10])
+
+
 def latest_date(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
     """A1: the latest trending day of a country (one row, NULL when the country is absent)."""
     return in_country(trending, country).agg(F.max(DATE).alias("latest_date"))
@@ -136,7 +116,7 @@ def month_value(monthly: DataFrame, month) -> Column:
         return month.scalar()
     if isinstance(month, Column):
         return month
-    return F.lit(parse_day(month))
+    return F.lit(parse_month(month))
 
 
 def latest_month(monthly: DataFrame, month=None) -> DataFrame:
@@ -168,6 +148,7 @@ def countries(trending: DataFrame) -> DataFrame:
             .orderBy(F.col("country").asc_nulls_last()))
 
 
+# Output columns of the read queries are the *_COLS lists below.
 COUNTRY_TRENDING_COLS = ["video_id", "video_title", "channel_title", "video_default_thumbnail",
                          "video_category_id", "video_published_at", "video_trending_date",
                          "video_view_count", "video_like_count", "video_comment_count"]
@@ -176,7 +157,7 @@ COUNTRY_TRENDING_COLS = ["video_id", "video_title", "channel_title", "video_defa
 def country_trending(trending: DataFrame, country: str, date=None, limit=None) -> DataFrame:
     """A4: one country's day straight from the fact, views desc (default 50, cap 200)."""
     if not country:
-        raise ValueError("Missing required query param: country")
+        raise ValueError("country must not be empty")
     n = X.clamp_limit(limit, *PAGE["country_trending"])
     day = _day(trending, date, country).select(
         "video_id", "video_title", "channel_title", "video_default_thumbnail", "video_category_id",
@@ -185,9 +166,11 @@ def country_trending(trending: DataFrame, country: str, date=None, limit=None) -
     return top_k(day, [F.col("video_view_count").desc_nulls_last()], n)
 
 
-def dates(trending: DataFrame, country: str = DEFAULT_COUNTRY, limit: int = DATES_LIMIT) -> DataFrame:
-    """A5: the country's dates, newest first, at most 4000."""
-    return country_dates(trending, country).limit(limit)
+def dates(trending: DataFrame, country: str = DEFAULT_COUNTRY, limit: int | None = None) -> DataFrame:
+    """A5: all of the country's dates, newest first; the reference stops after 4,000, which
+    ``limit`` can do."""
+    rows = country_dates(trending, country)
+    return rows if limit is None else rows.limit(limit)
 
 
 DAY_COLS = ["video_id", "video_title", "channel_title", "video_default_thumbnail",
@@ -196,28 +179,21 @@ DAY_COLS = ["video_id", "video_title", "channel_title", "video_default_thumbnail
 _METRICS = {"views": "video_view_count", "likes": "video_like_count"}
 
 
-def _day_rows(trending: DataFrame, date, country: str) -> tuple[DataFrame, DataFrame | None]:
-    """The day's fact rows, broadcast when they pass the size check, and then their keys."""
-    day = _day(trending, date, country).select(
+def _day_rows(trending: DataFrame, date, country: str) -> DataFrame:
+    return _day(trending, date, country).select(
         "video_id", "video_view_count", "video_like_count", "video_comment_count", DATE)
-    day_b, small = checked_broadcast(day)
-    return day_b, (day.select("video_id") if small else None)
 
 
-def _day_with_dim(trending: DataFrame, dim: DataFrame, date, country: str):
-    """Filter the day first, then join the dimension with the day as the broadcast side, so
-    the per-video mart is streamed, never shuffled. Returns (rows, checked keys or None)."""
-    day, keys = _day_rows(trending, date, country)
-    rows = day.join(dim.select("video_id", "video_title", "channel_title", "video_default_thumbnail"),
-                    "video_id", "inner")
-    return rows, keys
+def _day_with_dim(trending: DataFrame, dim: DataFrame, date, country: str) -> DataFrame:
+    return _day_rows(trending, date, country).join(
+        dim.select("video_id", "video_title", "channel_title", "video_default_thumbnail"), "video_id", "inner")
 
 
 def day_trending(trending: DataFrame, dim: DataFrame, date=None, limit=None,
                  country: str = DEFAULT_COUNTRY) -> DataFrame:
     """The day's rows with dimension attributes, views desc (default 200, cap 200)."""
     n = X.clamp_limit(limit, *PAGE["day_trending"])
-    rows, _ = _day_with_dim(trending, dim, date, country)
+    rows = _day_with_dim(trending, dim, date, country)
     return top_k(rows.select(*DAY_COLS), [F.col("video_view_count").desc_nulls_last()], n)
 
 
@@ -225,9 +201,9 @@ def top(trending: DataFrame, dim: DataFrame, metric: str = "views", date=None, l
         country: str = DEFAULT_COUNTRY) -> DataFrame:
     """The day's top videos by views or likes (default 20, cap 50)."""
     if metric not in _METRICS:
-        raise ValueError("metric must be views or likes")
+        raise ValueError(f"unknown metric {metric!r}: views or likes")
     n = X.clamp_limit(limit, *PAGE["top"])
-    rows, _ = _day_with_dim(trending, dim, date, country)
+    rows = _day_with_dim(trending, dim, date, country)
     return top_k(rows.select(*DAY_COLS), [F.col(_METRICS[metric]).desc_nulls_last()], n)
 
 
@@ -237,11 +213,10 @@ def top_advanced(trending: DataFrame, dim: DataFrame, side: DataFrame, metric: s
     (``side`` = V3), then views (default 20, cap 50)."""
     extra = {"stickiness": "days_trended_us", "reach": "countries_count"}
     if metric not in extra:
-        raise ValueError("metric must be stickiness or reach")
+        raise ValueError(f"unknown metric {metric!r}: stickiness or reach")
     n = X.clamp_limit(limit, *PAGE["top_advanced"])
     col = extra[metric]
-    joined, keys = _day_with_dim(trending, dim, date, country)
-    rows = left_lookup(joined, side.select("video_id", col), keys=keys)
+    rows = _day_with_dim(trending, dim, date, country).join(side.select("video_id", col), "video_id", "left")
     rows = rows.select("video_id", "video_title", "channel_title", "video_default_thumbnail", col,
                        "video_view_count", "video_like_count", "video_comment_count", DATE)
     return top_k(rows, [F.col(col).desc_nulls_last(), F.col("video_view_count").desc_nulls_last()], n)
@@ -301,9 +276,7 @@ def channels_daily(daily: DataFrame, cdim: DataFrame, date, limit=None) -> DataF
     ``latest_date(trending)``: the reference reads it from the fact)."""
     n = X.clamp_limit(limit, *PAGE["channels_daily"])
     day = daily.filter(F.col("date") == daily_date(daily, date))
-    keys = day.select("channel_id") if small_enough(day) else None
-    rows = left_lookup(day, cdim.select("channel_id", "channel_title"), "channel_id", keys=keys
-                       ).select(*CHANNEL_DAILY_COLS)
+    rows = day.join(cdim.select("channel_id", "channel_title"), "channel_id", "left").select(*CHANNEL_DAILY_COLS)
     return top_k(rows, [F.col("distinct_videos").desc_nulls_last(),
                         F.col("sum_views").desc_nulls_last()], n)
 
@@ -342,16 +315,11 @@ def channel_videos_all(trending: DataFrame, dim: DataFrame, reach: DataFrame, ch
     """A13b without the limit: per video of the channel in the country.
 
     ``stats`` (``marts.channel_video_stats``, stored by the rebuild) replaces the per-request
-    aggregation of the fact; then the channel's rows are size-checked and the marts are
-    reduced to them and broadcast."""
+    aggregation of the fact."""
     cid = F.lit(channel_id)
     if stats is not None:
         vids = stats.filter(F.col("channel_id") == cid).drop("channel_id")
-        vids, small = checked_broadcast(vids)
-        keys = vids.select("video_id") if small else None
     else:
-        # ``vids`` is hash-partitioned by video by its aggregation, so the planner only
-        # exchanges the marts' side; counting it first would double the scan of the fact.
         vids = (in_country(trending, country).filter(F.col("channel_id") == cid)
                 .groupBy("video_id").agg(
                     F.count_distinct(DATE).alias("days_trended_us"),
@@ -360,9 +328,8 @@ def channel_videos_all(trending: DataFrame, dim: DataFrame, reach: DataFrame, ch
                     F.max("video_view_count").alias("video_view_count"),
                     F.max("video_like_count").alias("video_like_count"),
                     F.max("video_comment_count").alias("video_comment_count")))
-        keys = None
     with_dim = vids.join(dim.select("video_id", "video_title", "video_default_thumbnail"), "video_id", "inner")
-    return left_lookup(with_dim, reach, keys=keys).select(*CHANNEL_VIDEO_COLS)
+    return with_dim.join(reach, "video_id", "left").select(*CHANNEL_VIDEO_COLS)
 
 
 def channel_videos(trending: DataFrame, dim: DataFrame, reach: DataFrame, channel_id: str,
@@ -385,7 +352,7 @@ SEARCH_ALL_COLS = ["video_id", "video_title", "channel_id", "channel_title", "vi
 def _scope(scope: str | None) -> str:
     s = (scope or "day").lower()
     if s not in ("day", "all"):
-        raise ValueError("scope must be day or all")
+        raise ValueError(f"unknown scope {scope!r}: day or all")
     return s
 
 
@@ -396,15 +363,13 @@ def search_videos(trending: DataFrame, dim: DataFrame, stickiness: DataFrame, re
     text = X.clean_query_text(q)
     n = X.clamp_limit(limit, *PAGE["search"])
     if _scope(scope) == "day":
-        day, _ = _day_rows(trending, date, country)
+        day = _day_rows(trending, date, country)
         hits = dim.filter(X.contains_ci("video_title", text)).select(
             "video_id", "video_title", "channel_id", "channel_title", "video_default_thumbnail")
         rows = day.join(hits, "video_id", "inner").select(*SEARCH_DAY_COLS)
         return top_k(rows, [F.col("video_view_count").desc_nulls_last()], n)
     hits = dim.filter(X.contains_ci("video_title", text))
-    hits_b, small = checked_broadcast(hits)
-    keys = hits.select("video_id") if small else None
-    rows = left_lookup(hits_b.join(stickiness, "video_id", "inner"), reach, keys=keys).select(*SEARCH_ALL_COLS)
+    rows = hits.join(stickiness, "video_id", "inner").join(reach, "video_id", "left").select(*SEARCH_ALL_COLS)
     return top_k(rows, [F.col("days_trended_us").desc_nulls_last(),
                         F.col("last_trending_us").desc_nulls_last()], n)
 
@@ -418,7 +383,7 @@ def search_channels(trending: DataFrame, dim: DataFrame, stickiness: DataFrame,
     match = X.contains_ci("channel_title", text) | X.contains_ci("channel_id", text)
     hits = dim.filter(match).select("video_id", "channel_id", "channel_title")
     if _scope(scope) == "day":
-        day, _ = _day_rows(trending, date, country)
+        day = _day_rows(trending, date, country)
         rows = day.join(hits, "video_id", "inner").groupBy("channel_id").agg(
             F.max("channel_title").alias("channel_title"),
             F.count_distinct("video_id").alias("distinct_videos"),
@@ -427,8 +392,7 @@ def search_channels(trending: DataFrame, dim: DataFrame, stickiness: DataFrame,
             F.sum("video_comment_count").alias("sum_comments"))
         return top_k(rows, [F.col("distinct_videos").desc_nulls_last(),
                             F.col("sum_views").desc_nulls_last()], n)
-    hits_b, _ = checked_broadcast(hits)
-    rows = hits_b.join(stickiness, "video_id", "inner").groupBy("channel_id").agg(
+    rows = hits.join(stickiness, "video_id", "inner").groupBy("channel_id").agg(
         F.max("channel_title").alias("channel_title"),
         F.count(F.lit(1)).alias("distinct_videos_alltime"),
         F.sum("days_trended_us").alias("total_days_trended_us"),
@@ -441,33 +405,37 @@ def search_channels(trending: DataFrame, dim: DataFrame, stickiness: DataFrame,
 # --- A15-A20: tags -----------------------------------------------------------------------------------------
 
 def tag_pairs(monthly: DataFrame, month=None) -> DataFrame:
-    """Tags of a month with their calendar-previous-month share (LEFT JOIN on tag).
+    """Tags of a month with their calendar-previous-month share.
 
-    Both sides are one month of the mart (partition-pruned when it is stored by month);
-    the driving side is ``now``, so tags that vanished do not appear."""
+    Both months are read together (partition-pruned when the mart or the fact below it is
+    stored by month) and laid side by side per tag; a tag has at most one row a month. Tags
+    that vanished do not appear."""
     m = month_value(monthly, month)
-    now = monthly.filter(F.col("month") == m).select("tag", F.col("video_share").alias("share_now"))
-    prev = monthly.filter(F.col("month") == F.add_months(m, -1)).select(
-        "tag", F.col("video_share").alias("share_prev"))
-    paired = now.join(prev, "tag", "left")
+    is_now = F.col("month") == m
+    paired = (monthly.filter(is_now | (F.col("month") == F.add_months(m, -1)))
+              .groupBy("tag").agg(F.max(F.when(is_now, F.col("video_share"))).alias("share_now"),
+                                  F.max(F.when(~is_now, F.col("video_share"))).alias("share_prev"),
+                                  F.max(F.when(is_now, F.col("distinct_videos"))).alias("distinct_videos"),
+                                  F.bool_or(is_now).alias("now"))
+              .filter("now"))
     now_c, prev_c = F.col("share_now"), F.col("share_prev")
     return paired.select(
         "tag", "share_prev", "share_now",
         (now_c - F.coalesce(prev_c, F.lit(0.0))).alias("delta"),
         F.when(prev_c.isNull() | (prev_c == 0), F.lit(None).cast("double"))
-        .otherwise(now_c / prev_c).alias("lift"))
+        .otherwise(now_c / prev_c).alias("lift"), "distinct_videos")
 
 
 def tags_rising(monthly: DataFrame, month=None, limit=None) -> DataFrame:
     """Tags by share gain over the previous month, new tags included (default 50, cap 200)."""
     n = X.clamp_limit(limit, *PAGE["tags_rising"])
-    return top_k(tag_pairs(monthly, month), [F.col("delta").desc_nulls_last()], n)
+    return top_k(tag_pairs(monthly, month).drop("distinct_videos"), [F.col("delta").desc_nulls_last()], n)
 
 
 def tags_falling(monthly: DataFrame, month=None, limit=None) -> DataFrame:
     """Tags present in both months by share loss (default 50, cap 200)."""
     n = X.clamp_limit(limit, *PAGE["tags_falling"])
-    rows = tag_pairs(monthly, month).filter(F.col("share_prev").isNotNull())
+    rows = tag_pairs(monthly, month).filter(F.col("share_prev").isNotNull()).drop("distinct_videos")
     return top_k(rows, [F.col("delta").asc_nulls_last()], n)
 
 
@@ -485,14 +453,13 @@ def tag_videos_all(events: DataFrame, trending: DataFrame, dim: DataFrame, tag:
     ``stats`` (``marts.video_month_stats``, stored by the rebuild) replaces the aggregation
     of the month's fact rows with a read of one month of per-video rows."""
     if not tag:
-        raise ValueError("Missing required query param: tag")
+        raise ValueError("tag must not be empty")
     key = X.lookup_tag(F.lit(tag))
     m = month_value(monthly if monthly is not None else events, month)
     vids = events.filter((F.col("month") == m) & (F.col("tag") == key)).select("video_id").distinct()
-    vids_b, small = checked_broadcast(vids)
     if stats is not None:
         per_video = (stats.filter(F.col("month") == m).drop("month")
-                     .join(vids_b, "video_id", "left_semi"))
+                     .join(vids, "video_id", "left_semi"))
     else:
         # The month as a date range (pushed to the scan), not trunc(date) = month; on the
         # stored fact also as the partition value, so only that month's folder is read.
@@ -501,7 +468,7 @@ def tag_videos_all(events: DataFrame, trending: DataFrame, dim: DataFrame, tag:
             fact = fact.filter(F.col(FACT_PARTITION) == m)
         rows = (fact.filter((F.col(DATE) >= m) & (F.col(DATE) < F.add_months(m, 1)))
                 .select("video_id", DATE, "video_view_count", "video_like_count", "video_comment_count")
-                .join(vids_b, "video_id", "left_semi"))
+                .join(vids, "video_id", "left_semi"))
         per_video = rows.groupBy("video_id").agg(
             F.max("video_view_count").alias("max_views"),
             F.max("video_like_count").alias("max_likes"),
@@ -510,9 +477,6 @@ def tag_videos_all(events: DataFrame, trending: DataFrame, dim: DataFrame, tag:
             F.min(DATE).alias("first_date"),
             F.max(DATE).alias("last_date"))
     dim_cols = dim.select("video_id", "video_title", "channel_id", "channel_title", "video_default_thumbnail")
-    if small:
-        # one dimension row per checked video: reduce the mart map-side, then broadcast it
-        dim_cols = F.broadcast(dim_cols.join(vids_b, "video_id", "left_semi"))
     return per_video.join(dim_cols, "video_id", "inner").select(*TAG_VIDEO_COLS)
 
 
@@ -522,7 +486,7 @@ def tag_videos(events: DataFrame, trending: DataFrame, dim: DataFrame, tag: str,
     """Videos of a tag in a month ordered by max views or max likes (default 20, cap 200)."""
     order = {"views": "max_views", "likes": "max_likes"}
     if metric not in order:
-        raise ValueError("metric must be views or likes")
+        raise ValueError(f"unknown metric {metric!r}: views or likes")
     n = X.clamp_limit(limit, *PAGE["tag_videos"])
     rows = tag_videos_all(events, trending, dim, tag, month, monthly, country, stats)
     return top_k(rows, [F.col(order[metric]).desc_nulls_last()], n)
@@ -530,10 +494,11 @@ def tag_videos(events: DataFrame, trending: DataFrame, dim: DataFrame, tag: str,
 
 def tag_series(tag: str, monthly_clean: DataFrame | None = None,
                monthly_legacy: DataFrame | None = None) -> DataFrame:
-    """Monthly series of a tag. S8: the clean mart when present, else the legacy one;
-    one output schema either way."""
+    """Monthly series of a tag. S8: the clean mart when given, else the legacy one; when
+    neither is, the clean table if the catalogue has one, else the legacy table. One output
+    schema in every case."""
     if not tag:
-        raise ValueError("Missing required query param: tag")
+        raise ValueError("tag must not be empty")
     key = X.lookup_tag(F.lit(tag))
     if monthly_clean is not None:
         src = monthly_clean.select("month", "tag", "video_share", "distinct_videos",
@@ -541,7 +506,7 @@ def tag_series(tag: str, monthly_clean: DataFrame | None = None,
     elif monthly_legacy is not None:
         src = monthly_legacy.select("month", "tag", "video_share", "distinct_videos", "total_videos")
     else:
-        raise ValueError("no monthly tag table available")
+        src = monthly_source(SparkSession.active())
     rows = src.filter(F.col("tag") == key).select(
         F.date_format("month", "yyyy-MM-dd").alias("month"),
         "video_share", "distinct_videos", "total_videos")

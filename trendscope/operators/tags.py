@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from trendscope.functions import exprs as X
 from trendscope.operators.marts import DATE, in_country
-from trendscope.schema import DEFAULT_COUNTRY
+from trendscope.schema import DEFAULT_COUNTRY, FACT_PARTITION
 
 
 # Fixed values ---------------------------------------------------------------------------
@@ -32,6 +32,12 @@ MART_SHARE_DIGITS = 8    # share rounding of the legacy monthly mart
 # ----------------------------------------------------------------------------------------
 
 
+def fact_month(trending: DataFrame) -> Column:
+    """The month of a fact row: the stored fact's partition value, so that a predicate on a
+    month of tags reads that month's folder only, else derived from the date."""
+    return F.col(FACT_PARTITION) if FACT_PARTITION in trending.columns else X.month_of(DATE)
+
+
 # --- T1-T5: clean pipeline ------------------------------------------------------------------
 
 def tag_events_clean(trending: DataFrame, country: str = DEFAULT_COUNTRY,
@@ -55,14 +61,14 @@ def tag_events_clean(trending: DataFrame, country: str = DEFAULT_COUNTRY,
     # evaluated once (a filter over an exploded alias would inline the chain into every
     # reference of the tag).
     tags = F.filter(F.transform(X.split_tags("video_tags", pipe_too=strict), norm), X.clean_tag_keep)
-    return (base.select("video_id", DATE, X.month_of(DATE).alias("month"), F.explode(tags).alias("tag"))
+    return (base.select("video_id", DATE, fact_month(trending).alias("month"), F.explode(tags).alias("tag"))
             .distinct())
 
 
 def month_totals_all(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
     """Distinct videos per month over all rows of the country, tagged or not."""
     return (in_country(trending, country).filter(F.col(DATE).isNotNull())
-            .groupBy(X.month_of(DATE).alias("month"))
+            .groupBy(fact_month(trending).alias("month"))
             .agg(F.count_distinct("video_id").alias("total_videos_all")))
 
 
@@ -108,9 +114,15 @@ def latest_month_value(monthly: DataFrame) -> Column:
     return monthly.agg(F.max("month")).scalar()
 
 
-def top_tags_latest(monthly: DataFrame, n: int = LATEST_TOP_N) -> DataFrame:
+def latest_month_of_events(events: DataFrame) -> DataFrame:
+    """The newest month with a tag event (one row): the same as the monthly mart's, without
+    its counts and joins."""
+    return events.agg(F.max("month").alias("month"))
+
+
+def top_tags_latest(monthly: DataFrame, n: int = LATEST_TOP_N, month: DataFrame | None = None) -> DataFrame:
     """T5: top ``n`` tags of the latest month by share, share rounded to 6 places."""
-    latest = monthly.filter(F.col("month") == latest_month_value(monthly))
+    latest = monthly.filter(F.col("month") == (month.scalar() if month is not None else latest_month_value(monthly)))
     out = latest.select(
         "tag", "distinct_videos", "total_videos_tagged",
         F.round("video_share", LATEST_SHARE_DIGITS).alias("share"), "video_share")
@@ -127,7 +139,7 @@ def tag_events_legacy(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> Da
         F.col(DATE).isNotNull() & X.has_usable_tags("video_tags"))
     pieces = F.filter(X.split_tags("video_tags", pipe_too=True), lambda p: X.trim_zs(p) != "")
     tags = F.filter(F.transform(pieces, X.legacy_tag), lambda t: t != "")
-    return base.select("video_id", DATE, X.month_of(DATE).alias("month"), F.explode(tags).alias("tag"))
+    return base.select("video_id", DATE, fact_month(trending).alias("month"), F.explode(tags).alias("tag"))
 
 
 def tag_events_clustered(events: DataFrame) -> DataFrame:
@@ -193,9 +205,9 @@ def tag_legacy_stats(events: DataFrame) -> DataFrame:
     )
 
 
-def top_tags_latest_legacy(monthly: DataFrame, n: int = LATEST_TOP_N) -> DataFrame:
+def top_tags_latest_legacy(monthly: DataFrame, n: int = LATEST_TOP_N, month: DataFrame | None = None) -> DataFrame:
     """Top ``n`` tags of the latest month by distinct videos."""
-    latest = monthly.filter(F.col("month") == latest_month_value(monthly))
+    latest = monthly.filter(F.col("month") == (month.scalar() if month is not None else latest_month_value(monthly)))
     return (latest.select("tag", "distinct_videos", "total_videos", "video_share")
             .orderBy(F.col("distinct_videos").desc_nulls_last(), F.col("tag").asc_nulls_last())
             .limit(n))
