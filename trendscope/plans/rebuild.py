@@ -12,8 +12,9 @@ Steps 4-6 only read the stored fact and are submitted as concurrent Spark jobs.
 
 Each stage reads what the previous one wrote, so lineage is cut at every table: a lost
 executor recomputes one stage's tasks, never the chain from the raw file. Everything is
-written under a fresh ``run-<time>`` folder and only then is ``_current`` switched to it,
-so a failed rebuild leaves the previous tables readable (the reference drops first).
+written under a fresh ``run-<time>`` folder, and only then is a marker of that run created in
+``_complete``; readers take the newest marker. Nothing is overwritten, so a rebuild that fails
+or is read half-way leaves the previous tables in place (the reference drops first).
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import argparse
 import time
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +49,24 @@ CORE_TABLES = ["trending_raw", "trending", "video_profile", "video_dim", "video_
 LEGACY_TABLES = ["us_tag_events", "us_month_totals", "us_tag_monthly", "us_tag_movers_monthly"]
 
 
-def _pointer(out_dir: str) -> str:
-    return f"{out_dir.rstrip('/')}/_current"
+def _markers(spark: SparkSession, out_dir: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out_dir.rstrip('/')}/_complete")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def complete_run(spark: SparkSession, out_dir: str, run: str) -> None:
+    """Mark a run as complete: one empty file, created in one step."""
+    fs, folder = _markers(spark, out_dir)
+    fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, run), False).close()
 
 
 def current_run(spark: SparkSession, out_dir: str) -> str:
-    return spark.read.text(_pointer(out_dir)).first()[0]
+    """The newest complete run (run names sort by time)."""
+    fs, folder = _markers(spark, out_dir)
+    runs = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    if not runs:
+        raise FileNotFoundError(f"no complete rebuild under {out_dir}")
+    return max(runs)
 
 
 def load_marts(spark: SparkSession, out_dir: str, run: str | None = None) -> dict[str, DataFrame]:
@@ -62,8 +76,8 @@ def load_marts(spark: SparkSession, out_dir: str, run: str | None = None) -> dic
     for name in CORE_TABLES + LEGACY_TABLES:
         try:
             out[name] = files.read_table(spark, f"{base}/{name}")
-        except Exception:  # legacy tables are optional
-            if name in CORE_TABLES:
+        except AnalysisException as missing:  # legacy tables are optional
+            if name in CORE_TABLES or missing.getCondition() != "PATH_NOT_FOUND":
                 raise
     return out
 
@@ -85,6 +99,25 @@ def register_marts(spark: SparkSession, marts: dict[str, DataFrame],
     return sorted(views)
 
 
+def create_views(spark: SparkSession, out_dir: str, run: str | None = None) -> list[str]:
+    """Every stored table of the current (or given) run as a view of the session's catalogue,
+    made with CREATE OR REPLACE VIEW over its files. With a metastore the views outlast the
+    application; call it again after a rebuild. Returns the view names."""
+    base = f"{out_dir.rstrip('/')}/{run or current_run(spark, out_dir)}"
+    marts = load_marts(spark, out_dir, run)
+    selects = {name: f"SELECT {', '.join(f'`{c}`' for c in df.columns if (name, c) != ('trending', FACT_PARTITION))} "
+                     f"FROM parquet.`{base}/{name}`" for name, df in marts.items()}
+    selects["v_available_dates"] = (
+        "SELECT video_trending_country, min(video_trending_date) AS min_date, max(video_trending_date) AS max_date, "
+        f"count(*) AS rows FROM parquet.`{base}/trending` GROUP BY video_trending_country")
+    selects["v_us_dates"] = f"SELECT date AS video_trending_date FROM parquet.`{base}/us_dates`"
+    selects["v_us_tag_months_clean"] = (
+        f"SELECT DISTINCT date_format(month, 'yyyy-MM-dd') AS month FROM parquet.`{base}/us_tag_monthly_clean`")
+    for name, text in selects.items():
+        spark.sql(f"CREATE OR REPLACE VIEW `{name}` AS {text}")
+    return sorted(selects)
+
+
 def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country: str = DEFAULT_COUNTRY,
               legacy: bool = False, timings: dict | None = None, parallel_jobs: int = 4) -> dict:
     """Rebuild every table from ``raw`` (all-text raw rows, or the path of the raw CSV)
@@ -94,7 +127,8 @@ def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country:
     if isinstance(raw, str):
         raw = files.read_raw(spark, raw)
     timings = timings if timings is not None else {}
-    run = time.strftime("run-%Y%m%d-%H%M%S") + f"-{int(time.time() * 1000) % 1000:03d}"
+    now = time.time()
+    run = time.strftime("run-%Y%m%d-%H%M%S", time.gmtime(now)) + f"-{int(now * 1000) % 1000:03d}"
     base = f"{out_dir.rstrip('/')}/{run}"
 
     def write(name: str, df: DataFrame, **kw) -> DataFrame:
@@ -126,18 +160,19 @@ def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country:
 
     def channel_marts() -> None:
         write("channel_dim", M.channel_dim(fact))
-        write("channel_us_daily", M.channel_daily(fact, country))
-        write("channel_us_alltime", M.channel_alltime(fact, country))
+        daily = write("channel_us_daily", M.channel_daily(fact, country))
+        # Per-video figures of the channel page, pre-aggregated so that a request reads a
+        # channel's rows instead of the fact; H3 counts its rows.
+        videos = write("channel_video_us", M.channel_video_stats(fact, country),
+                       range_by=["channel_id", "video_id"], sort_by=["channel_id", "video_id"])
+        write("channel_us_alltime", M.channel_alltime(fact, country, daily, videos))
 
     def page_marts() -> None:
         # V5 stored: the country's distinct dates (a few thousand rows), so "latest day" is
         # resolved from it instead of scanning the fact on every request.
         write("us_dates", M.country_dates(fact, country))
-        # Per-video figures of the channel and tag pages, pre-aggregated so those requests
-        # read a channel's or a month's per-video rows instead of scanning the fact.
-        write("channel_video_us", M.channel_video_stats(fact, country),
-              range_by=["channel_id", "video_id"], sort_by=["channel_id", "video_id"])
-        write("video_month_us", M.video_month_stats(fact, country))
+        # Per-video figures of the tag pages: a request reads one month of per-video rows.
+        write("video_month_us", M.video_month_stats(fact, country), rebalance_by=["month"], sort_by=["month", "video_id"])
         write("video_days", M.video_days(fact),
               range_by=["video_id"], sort_by=["video_id", "video_trending_country", "video_trending_date"])
 
@@ -165,15 +200,14 @@ def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country:
             future.result()
     timings["build_marts_wall"] = round(time.time() - t0, 3)
 
-    # Switch readers to the new run only after every table is written.
-    (spark.createDataFrame([(run,)], "run string").coalesce(1)
-     .write.mode("overwrite").text(_pointer(out_dir)))
+    # Readers see the new run only after every table is written.
+    complete_run(spark, out_dir, run)
     report["run"] = run
     return report
 
 
 def main(argv=None) -> None:
-    from trendscope.session import get_session
+    from trendscope.session import submitted_session
     from trendscope.sources.bridge import trending_raw
     p = argparse.ArgumentParser(description="Rebuild the trending fact and every mart.")
     src = p.add_mutually_exclusive_group(required=True)
@@ -183,7 +217,7 @@ def main(argv=None) -> None:
     p.add_argument("--country", default=DEFAULT_COUNTRY)
     p.add_argument("--legacy", action="store_true", help="also build the legacy tag tables")
     args = p.parse_args(argv)
-    spark = get_session()
+    spark = submitted_session(args.csv or args.tables)
     raw = files.read_raw(spark, args.csv) if args.csv else trending_raw(spark, args.tables)
     timings: dict = {}
     report = build_all(spark, raw, args.out, args.country, args.legacy, timings)
