@@ -45,6 +45,52 @@ def test_unknown_ids_give_empty_results(tables_small):
     assert K.kpi_video_history(t.trending, "nope").first().trending_days == 0
 
 
+def test_day_text_is_whole(tables_small):
+    assert R.parse_day(" 2024/1/5 ").isoformat() == "2024-01-05"
+    for bad in ("2024-01-05junk", "2024", "x", None):
+        with pytest.raises(ValueError):
+            R.parse_day(bad)
+    assert R.parse_month("2024-01-05junk").isoformat() == "2024-01-05"   # months are cut to 10 characters
+
+
+def test_building_a_query_starts_no_job(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    t.trending.count()                                   # the stored fact is there
+    for name, entry in CATALOG.items():
+        spark.sparkContext.setJobGroup("build", name)
+        entry.build(Tables(spark, "/root/testdata/sf0.001"))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("build")
+        assert not jobs, name
+
+
+def test_month_queries_prune_partitions(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for name in ("tags_top_month", "tags_rising_month", "tag_videos_views"):
+        scans = [x for x in _plan(CATALOG[name].build(t)).splitlines() if "FileScan" in x and "video_tags" in x]
+        assert scans and all("PartitionFilters: [" in x and "trending_month" in x.split("PartitionFilters: ")[1].split("]")[0]
+                             for x in scans), (name, scans)
+
+
+def test_kpi_tags_scans(spark):
+    """Distinct scans of the fact; the plan's text repeats the month's subquery in each filter."""
+    import re
+    plan = _plan(CATALOG["kpi_tags"].build(Tables(spark, "/root/testdata/sf0.001")))
+    scans = {re.search(r"video_trending_date#(\d+)", x)[1] for x in plan.splitlines() if "FileScan" in x}
+    assert len(scans) <= 4, plan
+
+
+def test_dimension_marts_hash_before_the_shuffle(spark):
+    from trendscope.operators import marts as M
+    t = Tables(spark, "/root/testdata/sf0.001")
+    profile = M.video_profile(t.trending)
+    for df in (t.video_dim, t.channel_dim, t.channel_alltime, CATALOG["most_global"].build(t),
+               CATALOG["stickiest_by_country"].build(t), profile):
+        plan = _plan(df)
+        assert "Expand" not in plan
+        above = [a for a, b in zip(plan.splitlines(), plan.splitlines()[1:]) if "Project" in b or "FileScan" in b]
+        assert not any("SortAggregate" in a for a in above), plan
+
+
 def test_country_filter_reaches_nation_scan(tables_small):
     from trendscope.operators import ingest as I
     plan = _plan(R.latest_date(I.clean(tables_small.raw)))
@@ -78,7 +124,7 @@ def test_literal_date_is_pushed_to_scan(spark, tmp_path, tables_small):
 def test_cluster_conf_sizes_from_input():
     from trendscope.session import cluster_conf
     big = cluster_conf(100 * 1024 ** 4)            # 100 TB
-    assert big["spark.sql.shuffle.partitions"] == "200000"
+    assert big["spark.sql.shuffle.partitions"] == "409600"   # 256 MB each
     assert big["spark.sql.adaptive.enabled"] == "true"
     assert big["spark.sql.session.timeZone"] == "UTC"
     small = cluster_conf(10 * 1024 ** 3)           # 10 GB

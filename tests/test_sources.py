@@ -139,12 +139,107 @@ def test_registered_marts_answer_sql(spark, tables_small, built):
     assert files.monthly_source(spark).count() == tables_small.monthly.count()
 
 
-def test_rebuild_switches_only_after_success(spark, tables_small, built):
+def test_rebuild_switches_only_after_success(spark, tables_small, built, monkeypatch):
+    """A failure after the third table leaves readers on the previous run."""
     out, report = built
-    with pytest.raises(Exception):
-        build_all(spark, tables_small.raw.withColumn("video_id", F.lit(None).cast("int") / 0 + F.col("nope")),
-                  out)
+    written, real = [], files.materialize
+
+    def failing(df, path, **kw):
+        if len(written) >= 3:
+            raise RuntimeError("lost")
+        written.append(path)
+        real(df, path, **kw)
+
+    monkeypatch.setattr(files, "materialize", failing)
+    with pytest.raises(RuntimeError):
+        build_all(spark, tables_small.raw, out)
+    assert len(written) == 3
     assert current_run(spark, out) == report["run"]
+    assert load_marts(spark, out)["trending"].count() == tables_small.trending.count()
+
+
+def test_missing_core_tables_are_not_hidden(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        current_run(spark, str(tmp_path))
+    with pytest.raises(Exception):
+        load_marts(spark, str(tmp_path), "run-x")
+
+
+def test_views_of_the_catalogue(spark, tables_small, built):
+    """Views by CREATE OR REPLACE VIEW, not bound to a session's frames."""
+    from trendscope.plans.rebuild import create_views
+    out, _ = built
+    spark.sql("CREATE DATABASE IF NOT EXISTS marts_test")
+    old = spark.catalog.currentDatabase()
+    spark.catalog.setCurrentDatabase("marts_test")
+    try:
+        names = create_views(spark, out)
+        assert {"trending", "video_dim", "v_us_dates", "v_us_tag_months_clean"} <= set(names)
+        other = spark.newSession()
+        assert other.sql("SELECT count(*) FROM marts_test.trending").first()[0] == tables_small.trending.count()
+        assert "trending_month" not in other.table("marts_test.trending").columns
+    finally:
+        spark.catalog.setCurrentDatabase(old)
+        spark.sql("DROP DATABASE marts_test CASCADE")
+
+
+def test_tag_series_falls_back_by_catalogue(spark, tables_small):
+    """S8 in A18: the clean table if the catalogue has one, else the legacy table."""
+    from trendscope.plans.catalog import LEGACY_TAG_INPUT
+    for view in ("us_tag_monthly_clean", "us_tag_monthly"):
+        spark.catalog.dropTempView(view)
+    files.register_views({"us_tag_monthly": tables_small.monthly_legacy})
+    legacy = R.tag_series(LEGACY_TAG_INPUT)
+    assert legacy.collect() == R.tag_series(LEGACY_TAG_INPUT, monthly_legacy=tables_small.monthly_legacy).collect()
+    files.register_views({"us_tag_monthly_clean": tables_small.monthly})
+    clean = R.tag_series(LEGACY_TAG_INPUT)
+    assert clean.columns == legacy.columns
+    assert clean.collect() == R.tag_series(LEGACY_TAG_INPUT, monthly_clean=tables_small.monthly).collect()
+
+
+def test_appended_input_is_read(spark, tmp_path):
+    """A query after an append reads the new rows: the stored fact follows the input's files."""
+    import shutil
+    from trendscope.plans.catalog import CATALOG, Tables, stored_fact
+    sf = str(tmp_path)
+    for name in ("orders", "customer", "nation", "part"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", f"{sf}/{name}.parquet")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    half = F.col("l_orderkey") % 2
+    lines.filter(half == 0).write.parquet(f"{sf}/lineitem.parquet")
+
+    def rows():
+        t = Tables(spark, sf)
+        return (CATALOG["overview"].build(t).first()["rows"],
+                CATALOG["clean_quality"].build(t).first()["total_clean"])
+
+    first = rows()
+    assert first[0] == first[1]
+    assert Tables(spark, sf).trending is Tables(spark, sf).trending          # kept while nothing changes
+    lines.filter(half == 1).write.mode("append").parquet(f"{sf}/lineitem.parquet")
+    second = rows()
+    assert second[0] == second[1] > first[0]
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster(monkeypatch):
+    from trendscope import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Cluster:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Cluster())
 
 
 def test_views_and_monthly_source(spark, tables_small):
@@ -184,6 +279,22 @@ def test_streaming_ingest_equals_batch_clean(spark, tables_small):
     assert got.exceptAll(want).count() == 0
 
 
+@pytest.mark.parametrize("defect", ["truncated line", "other header order"])
+def test_stream_fails_where_the_batch_fails(spark, tables_small, tmp_path, defect):
+    from trendscope.streaming import start_ingest
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    names = list(RAW_COLUMNS)
+    if defect == "other header order":
+        names[0], names[5] = names[5], names[0]
+    lines = [",".join(names), ",".join(["x"] * len(names))] + (["abc,def"] if defect == "truncated line" else [])
+    (landing / "a.csv").write_text("\n".join(lines) + "\n")
+    with pytest.raises(Exception):
+        files.read_raw(spark, str(landing)).collect()
+    with pytest.raises(Exception):
+        start_ingest(spark, str(landing), str(tmp_path / "fact"), str(tmp_path / "ckpt")).awaitTermination(120)
+
+
 def test_rebalanced_write_splits_large_partitions(spark, tables_small):
     """REBALANCE on the partition column: a partition larger than the advisory size is
     split across tasks (files), small ones are merged; one folder per month."""
