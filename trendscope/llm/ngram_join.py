@@ -50,6 +50,8 @@ CHUNK_LEAST = 3
 BITS = 1 << 23       # of the filter for wanted documents: 2 MB, broadcast
 ROUNDS = 1
 PARITY_BITS = 1024   # of a set's parity map
+WIDE_BITS = 16384    # of the second map of a large set
+WIDE_FROM = 1000     # shingles of a large set
 
 
 def _sets(texts: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,14 +91,19 @@ def prefix_size(sizes: np.ndarray, percent: int) -> np.ndarray:
     return sizes - -(-percent * sizes // 100) + 1
 
 
-def _parity(off: np.ndarray, h: np.ndarray) -> pa.ListArray:
-    """The parity map of each text's set, as 64-bit words."""
-    rows = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    bit = (mix(h ^ np.uint64(0x452821E638D01377)) % np.uint64(PARITY_BITS)).astype(np.int64)
-    odd = np.bincount(rows * PARITY_BITS + bit, minlength=(len(off) - 1) * PARITY_BITS) & 1
+def _parity(off: np.ndarray, h: np.ndarray, bits: int, least: int) -> pa.ListArray:
+    """The parity map of each text's set, as 64-bit words; null for sets below ``least``."""
+    size = np.diff(off)
+    large = size >= least
+    row = np.repeat(np.cumsum(large) - 1, size)
+    h = h[np.repeat(large, size)]
+    row = row[np.repeat(large, size)]
+    bit = (mix(h ^ np.uint64(0x452821E638D01377)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(row * bits + bit, minlength=int(large.sum()) * bits) & 1
     words = np.packbits(odd.astype(bool)).view(np.int64)
-    width = PARITY_BITS // 64
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(off), dtype=np.int32) * width), pa.array(words))
+    ends = np.concatenate([[0], np.cumsum(large)]).astype(np.int32) * (bits // 64)
+    starts = pa.array(ends, mask=np.append(~large, False))
+    return pa.ListArray.from_arrays(starts, pa.array(words))
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, common: np.ndarray,
@@ -116,9 +123,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, common: n
             prefix, of = h[order][keep], rows[keep]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(at, texts.n), pa.array(size, pa.int64()), *_fingerprint(off, h),
-                 *_fingerprint(np.searchsorted(of, np.arange(texts.n + 1)), prefix), _parity(off, h),
-                 lists(prefix.view(np.int64), of, texts.n, pa.int64())],
-                ["id", "n", "f1", "f2", "c1", "c2", "parity", "prefix"])
+                 *_fingerprint(np.searchsorted(of, np.arange(texts.n + 1)), prefix), _parity(off, h, PARITY_BITS, 0),
+                 _parity(off, h, WIDE_BITS, WIDE_FROM), lists(prefix.view(np.int64), of, texts.n, pa.int64())],
+                ["id", "n", "f1", "f2", "c1", "c2", "parity", "wide", "prefix"])
 
 
 def _set_lists(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -149,11 +156,21 @@ def _likely(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
     sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").filter(
         100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    differ = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")),
-                         F.lit(0).cast("long"), lambda n, x: n + x)
     both = F.col("n_a") + F.col("n_b")
-    return (sized.join(side("a", "parity"), "a").join(side("b", "parity"), "b")
-            .filter(100 * (both - differ) >= percent * (both + differ)).select("a", "b"))
+
+    def allowed(name: str) -> Column:
+        differ = F.aggregate(
+            F.zip_with(f"{name}_a", f"{name}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")),
+            F.lit(0).cast("long"), lambda n, x: n + x)
+        return 100 * (both - differ) >= percent * (both + differ)
+
+    small = (sized.join(side("a", "parity"), "a").join(side("b", "parity"), "b").filter(allowed("parity"))
+             .select("a", "b", "n_a", "n_b"))
+    # a large set's first map is nearly random; pairs of two large sets compare the second
+    wide = members.filter(F.col("wide").isNotNull())
+    return (small.join(wide.select(F.col("rep").alias("a"), F.col("wide").alias("wide_a")), "a", "left")
+            .join(wide.select(F.col("rep").alias("b"), F.col("wide").alias("wide_b")), "b", "left")
+            .filter(F.coalesce(allowed("wide"), F.lit(True))).select("a", "b"))
 
 
 def _links(pairs: DataFrame, rows: DataFrame, members: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -249,16 +266,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     common = spark.sparkContext.broadcast(_frequent(rows, scratch, n))
     prefixes = scratch.table(rows.mapInArrow(
         lambda b: _prefixes(b, n, percent, *common.value),
-        "id long, n long, f1 long, f2 long, c1 long, c2 long, parity array<long>, prefix array<long>"))
+        "id long, n long, f1 long, f2 long, c1 long, c2 long, parity array<long>, wide array<long>, prefix array<long>"))
     key = ["n", "f1", "f2"]
-    slim = scratch.table(prefixes.drop("prefix", "parity"))
+    slim = scratch.table(prefixes.drop("prefix", "parity", "wide"))
     documents = scratch.table(slim.filter("id is not null and n > 0").groupBy("id")
                               .agg(F.max(F.struct("n", "f1", "f2", "c1", "c2")).alias("s")).select("id", "s.*"))
     classes = documents.groupBy(*key, "c1", "c2").agg(F.min("id").alias("rep"))
     groups = classes.groupBy("n", "c1", "c2").agg(F.min("rep").alias("g"))
     found = prefixes.filter("id is not null and n > 0")
     members = classes.join(groups, ["n", "c1", "c2"]).select("rep", "g", *key)
-    members = scratch.table(members.join(found.select(F.col("id").alias("rep"), *key, "parity"), ["rep", *key])
+    members = scratch.table(members.join(found.select(F.col("id").alias("rep"), *key, "parity", "wide"), ["rep", *key])
                             .dropDuplicates(["rep"]))
     leaders = members.filter("rep = g").select(F.col("g").alias("id"), *key)
     kept = scratch.table(found.join(leaders, ["id", *key]).select(F.col("id").alias("g"), "n", "prefix"))
