@@ -51,7 +51,7 @@ def corpus(seed=3, n=60):
             text += "\nAll rights reserved.\n  Share this  page \n\n"
         rows.append((i, text, "en", f"s{i % 3}"))
     rows += [(100, None, None, None), (101, "", "en", "s0"), (102, " \n\t", "en", None), (103, "one", "en", "s1"),
-             (104, "one", "en", "s1"), (None, base[3] and " ".join(base[3]), "en", "s0"), (None, None, None, "s2"),
+             (104, "one", "en", "s1"), (None, " ".join(base[3]), "en", "s0"), (None, None, None, "s2"),
              (105, "long " * 30_000, "en", "s2"), (106, rows[5][1], "en", "s9")]
     rows.append(rows[7])  # a repeated row
     return rows
@@ -115,6 +115,21 @@ def test_ngram_chains_of_near_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in out.collect()} == label
 
 
+def test_parity_maps_bound_the_difference():
+    rng = np.random.default_rng(1)
+    sizes = [0, 5, 990, 1000, 4000]
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in sizes]
+    off, h = np.cumsum([0, *sizes]), np.concatenate(sets)
+    for bits, least in ((ngram_join.PARITY_BITS, 0), (ngram_join.WIDE_BITS, ngram_join.WIDE_FROM)):
+        maps = ngram_join._parity(off, h, bits, least).to_pylist()
+        assert [m is None for m in maps] == [n < least for n in sizes]
+        for a, x in enumerate(maps):
+            for b, y in enumerate(maps):
+                if x is not None and y is not None:
+                    differ = sum(bin((p ^ q) & (1 << 64) - 1).count("1") for p, q in zip(x, y))
+                    assert differ <= len(set(sets[a]) ^ set(sets[b])) and (a != b or differ == 0)
+
+
 def test_ngram_stage_keeps_one_of_each(spark):
     out = ngram_join.near_duplicate_stage(spark, frame(spark, ROWS), "")
     label = plain.components([r for r in dicts(ROWS)][:-1], 5, 80)
@@ -170,9 +185,9 @@ def test_mixing_places_and_keeps_all(spark):
     rows = [(i, f"t{i}", "en", s) for s, k in (("a", 50), ("b", 23), (None, 9)) for i in range(1000 * len(str(s)), 1000 * len(str(s)) + k)]
     rows = [(r[0] + 100_000 * n, *r[1:]) for n, r in enumerate(rows)]
     weights = {"a": 0.5, "b": 0.3, None: 0.2}
-    units = mixing.unit_weights(weights, 10)
+    units = mixing.unit_weights(weights, 12)  # four units a source at least
     out = mixing.mix_sources(frame(spark, rows), weights, block_docs=4, units=10).collect()
-    assert {r["doc_id"]: (r["mix_slot"], r["mix_seq"]) for r in out} == plain.mix(dicts(rows), {k: units[k] * 12 // 12 for k in units}, 4)
+    assert {r["doc_id"]: (r["mix_slot"], r["mix_seq"]) for r in out} == plain.mix(dicts(rows), units, 4)
     assert out[0].asDict().keys() >= {"n_words", "kept", "mix_block"}
 
 
@@ -281,7 +296,7 @@ def test_top_k(spark):
     rows += [(i, [1.0] * 6) for i in range(300, 340)]                       # ties
     rows += [(400, None), (500, [None] * 6), (600, [math.nan] + [0.0] * 5), (None, [1.0] * 6),
              (700, [math.inf] + [0.0] * 5), (800, [1.0, 2.0]), (801, [3.0, 4.0]), (900, []), rows[3], rows[3]]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int" if False else "vec_id long, embedding array<double>")
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     valid = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows
              if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     for k, every in ((10, 100), (3, 7), (500, 100)):
@@ -366,7 +381,7 @@ def test_html_whole_table(spark):
 # empty tables ------------------------------------------------------------------------------------
 
 def test_empty_tables(spark):
-    docs = frame(spark, []) if False else spark.createDataFrame([], DOCS)
+    docs = spark.createDataFrame([], DOCS)
     for f in (secret_scan.scan_secrets, ngram_join.near_duplicates, language_id.identify_languages, mixing.mix_sources,
               quality.quality_rules, substring_dedup.dedup_substrings, line_dedup.line_dedup, sentencepiece_nbest.encode,
               sentencepiece_nbest.encode_digests):
