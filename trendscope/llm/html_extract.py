@@ -31,7 +31,8 @@ TRAIN_PAGES = 5000   # about so many labelled pages are counted, chosen by a has
 WEAK = 1.5           # bound of a single feature's log odds
 SMOOTHING = 1.0
 # counts added to those of training: (edge, parent, child)
-PRIOR = {("main", 0, 1): 50.0, ("main", 1, 1): 50.0, ("boiler", 1, 0): 20_000.0, ("boiler", 0, 0): 20_000.0}
+PRIOR = {("main", 0, 1): 50.0, ("main", 1, 1): 50.0, ("boiler", 1, 0): 20_000.0, ("boiler", 0, 0): 20_000.0,
+         ("plain", 1, 1): 200_000.0}
 
 # HTML's void, raw-text, hidden and block elements
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -217,7 +218,8 @@ class Model:
             rows = []
             for parent in (0, 1):
                 a = [pairs.get((kind, parent, c), 0) + SMOOTHING for c in (0, 1)]
-                rows.append([log(max(x / sum(a), 1e-4)) for x in a])
+                a[1] = max(a[1], a[0] * 1e-4)  # enough evidence can always make content
+                rows.append([log(max(x / sum(a), 1e-6)) for x in a])
             self.edges[kind] = rows
 
     def marginals(self, page: Page) -> list[float]:
