@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 N_BEST = 4
-KEPT_SEGMENTS = 600_000  # a worker keeps so many segments; then those met in one text only go
+KEPT_SEGMENTS = 200_000  # a worker keeps so many segments; then those met in one text only go
 UNKNOWN_PENALTY = 10
 MARK = "▁"
 LETTER = "[A-Za-z\u00c0-\u024f]"
@@ -279,7 +279,7 @@ class Encoder:
         has rank 0 among those that are as good."""
         out = self.more.get(segment)
         if out is None:
-            if len(self.more) > KEPT_SEGMENTS // 8:
+            if len(self.more) > KEPT_SEGMENTS // 16:
                 self.more.clear()
             paths = n_best(segment, self.v, self.n)
             rank = {ids: r for r, ids in enumerate(sorted((ids for _, ids in paths), key=lambda x: x[::-1]))}
