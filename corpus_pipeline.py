@@ -8,6 +8,9 @@ input; a column with any name passes through.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from trendscope.llm.line_dedup import line_stage
@@ -18,13 +21,24 @@ from trendscope.llm.queries import executors_ready
 from trendscope.llm.scratch import Scratch
 from trendscope.llm.sentencepiece_nbest import encode_stage
 
-STAGES = [
+
+
+def _ready(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with executors that can import the operators."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        executors_ready(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(name, _ready(stage)) for name, stage in (
     ("quality_rules", quality_stage),
     ("line_dedup", line_stage),
     ("ngram_jaccard_join", near_duplicate_stage),
     ("mixing", mixing_stage),
     ("sentencepiece", encode_stage),
-]
+)]
 
 # The last stage's segmentation can't be written in SQL: tested against a plain Python version
 ORACLE_SQL = None
@@ -32,7 +46,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
-    executors_ready(spark)
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
