@@ -161,6 +161,17 @@ def test_language_accuracy_and_und(spark):
     assert all(0 <= r["score"] <= 1 for r in out.values())
 
 
+def test_language_mixtures_are_ambiguous(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs)
+    by = {r["lang"]: r["text"][:600] for r in docs.filter("n_chars > 800").collect()}
+    rows = [(i, text) for i, text in enumerate(by.values())] + [(100, "".join(
+        a + " " + b + " " for a, b in zip(by["de"].split(), by["fr"].split())))]
+    out = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert not any(out[i]["ambiguous"] for i in range(len(by))) and out[100]["ambiguous"]
+    assert out[100]["score"] < min(out[i]["score"] for i in range(len(by)))
+
+
 def test_language_without_training_rows(spark):
     rows = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert language_id.identify_languages(rows).first()["lang_pred"] == "und"

@@ -32,7 +32,7 @@ BITS = 14                 # n-grams of each length are hashed to 2**BITS feature
 FEATURES = 2 << BITS
 SMOOTHING = 0.5
 GAIN = 4.0                # of the mean margin in the loss
-AMBIGUOUS = 0.6           # scores below are ambiguous
+AMBIGUOUS = 0.9           # scores below are ambiguous
 MAX_LANGUAGES = 1000      # a model has MAX_LANGUAGES * FEATURES counts at most
 SCALE = 1 << 16           # weights are whole multiples of 1 / SCALE: sums don't depend on slices
 
@@ -104,12 +104,12 @@ class Model:
         own = np.maximum(self.code * (chance @ self.weights.T / SCALE), 1e-9)
         self.loss_weights = own / own.sum(1, keepdims=True) if n > 1 else own
 
-    def decode(self, margins: np.ndarray, n_grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best language's index and score, from mean margins (texts x bits)."""
         loss = np.einsum("cb,tcb->tc", self.loss_weights,
                          np.logaddexp(0, -GAIN * self.code[None] * margins[:, None, :]))
         best = loss.argmin(1)
-        gap = (loss - loss[np.arange(len(loss)), best][:, None]) * np.sqrt(np.maximum(n_grams, 1))[:, None]
+        gap = loss - loss[np.arange(len(loss)), best][:, None]
         return best, 1 / np.exp(-np.minimum(gap, 700)).sum(1)
 
 
@@ -132,7 +132,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
                 for b, weights in enumerate(model.weights):
                     sums = np.concatenate([[0], np.cumsum(weights[feature])])
                     margins[:, b] = (sums[ends[1:]] - sums[ends[:-1]]) / SCALE / np.maximum(n, 1)
-                best, score = model.decode(margins, n)
+                best, score = model.decode(margins)
                 names = [model.languages[i] if x else "und" for i, x in zip(best, letter)]
                 scores = np.where(letter, score, 0.0)
             yield pa.RecordBatch.from_arrays(
