@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from trendscope.llm.components import smallest_reachable
 from trendscope.llm.scratch import Scratch
-from trendscope.llm.text import Texts, Words, lists, mix, shingle_sets
+from trendscope.llm.text import Texts, Words, lists, mix, shingle_sets, trimmed
 
 N = 4
 PERCENT = 85
@@ -181,7 +181,7 @@ def _links(pairs: DataFrame, rows: DataFrame, members: DataFrame, n: int, percen
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     joined = likely.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    links = scratch.table(joined.mapInArrow(lambda b: _verify(b, percent), "a long, b long"))
+    links = scratch.table(joined.mapInArrow(lambda b: trimmed(_verify(b, percent)), "a long, b long"))
     scratch.drop(sets)
     return links
 
@@ -200,7 +200,7 @@ def _first_shared(percent: int, n1: Column, n2: Column, p1: Column, p2: Column)
 
 def _frequent(rows: DataFrame, scratch: Scratch, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The frequent shingles, sorted, and their counts: at most FREQUENT."""
-    counts = scratch.table(rows.select("text").mapInArrow(lambda b: _chunk_counts(b, n), "t long, c long")
+    counts = scratch.table(rows.select("text").mapInArrow(lambda b: trimmed(_chunk_counts(b, n)), "t long, c long")
                            .groupBy("t").agg(F.sum("c").alias("c")))
     level = F.floor(F.log2("c")).cast("int")
     held, cut = 0, None
@@ -243,7 +243,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     bits = rows.sparkSession.sparkContext.broadcast(_bits_of(wanted.select(F.col("rep").alias("id"))))  # BITS / 4 bytes
     found = (rows.filter("id is not null and text is not null")
              .select("id", F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("at"), "text")
-             .mapInArrow(lambda b: _wanted_sets(b, n, bits.value), "id long, f1 long, f2 long, set binary"))
+             .mapInArrow(lambda b: trimmed(_wanted_sets(b, n, bits.value)), "id long, f1 long, f2 long, set binary"))
     return (found.join(wanted.withColumnRenamed("rep", "id"), ["id", "f1", "f2"])
             .select("id", "n", "set").dropDuplicates(["id"]))
 
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     common = spark.sparkContext.broadcast(_frequent(rows, scratch, n))
     prefixes = scratch.table(rows.mapInArrow(
-        lambda b: _prefixes(b, n, percent, *common.value),
+        lambda b: trimmed(_prefixes(b, n, percent, *common.value)),
         "id long, n long, f1 long, f2 long, c1 long, c2 long, parity array<long>, wide array<long>, prefix array<long>"))
     key = ["n", "f1", "f2"]
     slim = scratch.table(prefixes.drop("prefix", "parity", "wide"))

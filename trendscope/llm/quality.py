@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendscope.llm.scratch import Scratch
-from trendscope.llm.text import SPACE, Texts, Words, mix, window_hashes
+from trendscope.llm.text import SPACE, Texts, Words, mix, trimmed, window_hashes
 
 MIN_WORDS = 50          # fewer words fail
 MAX_REPEAT_PERCENT = 50  # more words than this share in repeated 3-word windows fail
@@ -117,7 +117,7 @@ def _judged(docs: DataFrame, carry: list[str], text_col: str, host_col: str, min
                        F.col(text_col).cast("string").alias("_text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     measured = scratch.table(rows.mapInArrow(
-        lambda b: _measure(b, 2), f"_carry {kinds['_carry']}, _host {kinds['_host']}, {METRICS}"))
+        lambda b: trimmed(_measure(b, 2)), f"_carry {kinds['_carry']}, _host {kinds['_host']}, {METRICS}"))
     removed = scratch.table(boilerplate_lines(
         measured.select("_host", F.col("_text_key").alias("_doc"), "_lines"), max_docs, max_share))
     joined = measured.join(removed, F.col("_host").eqNullSafe(F.col("_removed_host")), "left")

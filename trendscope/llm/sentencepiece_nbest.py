@@ -12,7 +12,7 @@ of score. Equal scores are ordered by the ids from the end, smaller first.
 No piece has the marker behind another character, so the lattice is cut before every run of
 markers, around line feeds, and between a Latin letter and a mark that no piece has behind
 one (as found in the vocabulary). The segments' n-best lists are
-merged exactly into the text's. Segments repeat, so their best paths are kept between texts.
+merged exactly into the text's. Segments repeat, so their best paths are kept between the texts of a task.
 
 A null text gives null results; the empty text is the lone marker of the leading space.
 Literal markers in a text decode to spaces, as in SentencePiece. Repeated rows each give a row.
@@ -30,8 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendscope.llm.text import trimmed
+
 N_BEST = 4
-KEPT_SEGMENTS = 200_000  # a worker keeps so many segments; then those met in one text only go
+KEPT_SEGMENTS = 400_000  # a task keeps so many segments; then those met in one text only go
 UNKNOWN_PENALTY = 10
 MARK = "▁"
 LETTER = "[A-Za-z\u00c0-\u024f]"
@@ -296,18 +298,8 @@ class Encoder:
         return data.decode(errors="replace").removeprefix(" ")
 
 
-_encoders: dict[tuple[int, int], Encoder] = {}  # of this worker, so that segments stay between tasks
-
-
-def _encoder(v: Vocabulary, n: int, key: int) -> Encoder:
-    if (key, n) not in _encoders:
-        _encoders.clear()
-        _encoders[key, n] = Encoder(v, n)
-    return _encoders[key, n]
-
-
 def _encode(batches: Iterator[pa.RecordBatch], shared, n: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    e = _encoder(shared.value, n, shared.id if hasattr(shared, "id") else id(shared))
+    e = Encoder(shared.value, n)
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
@@ -342,7 +334,7 @@ def _run(docs: DataFrame, carry: list[str], text_col: str, model: str | None, n:
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model or default_model()))
     kind = rows.schema["carry"].dataType.simpleString()
     rest = "ids array<int>" if with_ids else "ids_sha256 string, round_trip boolean"
-    return rows.mapInArrow(lambda b: _encode(b, shared, n, with_ids),
+    return rows.mapInArrow(lambda b: trimmed(_encode(b, shared, n, with_ids)),
                            f"carry {kind}, n_pieces long, n_best_scores array<long>, {rest}")
 
 

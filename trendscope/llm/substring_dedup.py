@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendscope.llm.scratch import Scratch
-from trendscope.llm.text import Texts, Words, lists, mix, powers, window_hashes
+from trendscope.llm.text import Texts, Words, lists, mix, powers, trimmed, window_hashes
 
 LENGTH = 50
 SEED = 25
@@ -167,7 +167,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["id"].dataType.simpleString()
     ordered = rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     seeds = scratch.table(ordered.mapInArrow(
-        lambda b: _seeds(b, length, seed),
+        lambda b: trimmed(_seeds(b, length, seed)),
         f"id {kind}, key long, anchor array<long>, whole array<long>, lo array<int>, hi array<int>"))
     flat = seeds.select("id", "key", F.explode(F.arrays_zip("anchor", "whole", "lo", "hi")).alias("s")).select("id", "key", "s.*")
     shared = (flat.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last"),
@@ -182,7 +182,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = (judged.filter((F.col("id") == F.col("least")) & F.col("contested"))
               .groupBy("id", "key").agg(F.collect_set("whole").alias("wanted")))
     windows = scratch.table(ordered.join(wanted, ["id", "key"]).select("id", "key", "text", "wanted").mapInArrow(
-        lambda b: _contested(b, length, seed), f"id {kind}, key long, anchor long, window long, lo int"))
+        lambda b: trimmed(_contested(b, length, seed)), f"id {kind}, key long, anchor long, window long, lo int"))
     least = scratch.table(windows.groupBy("anchor", "window").agg(F.min("id").alias("least")))
     single = (windows.join(least, ["anchor", "window"]).filter(F.col("id") > F.col("least"))
               .select("id", "key", "lo", F.col("lo").alias("hi")))
@@ -193,7 +193,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 F.col("marks.hi").alias("hi")))
     joined = rows.join(marks, (F.col("id") == F.col("mark_id")) & (F.col("key") == F.col("mark_key")), "left")
     out = joined.select("id", "text", "lo", "hi").mapInArrow(
-        lambda b: _kept(b, length),
+        lambda b: trimmed(_kept(b, length)),
         f"carry {kind}, n_words long, n_removed long, removed_spans array<struct<first_word: int, end_word: int>>, "
         "kept_text string, kept_sha256 string")
     return out.withColumnRenamed("carry", id_col)
