@@ -2,7 +2,7 @@
 
 Quality rules reject documents, line dedup takes boilerplate lines out of texts, the n-gram
 Jaccard join keeps one document of each group, mixing puts the rest in the order of the target
-weights, and SentencePiece encodes it. Every stage but the last returns the columns of its
+weights, and SentencePiece encodes it in that order. Every stage but the last returns the columns of its
 input; a column with any name passes through.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trendscope.llm.line_dedup import line_stage
-from trendscope.llm.mixing import mixing_stage
+from trendscope.llm.mixing import in_file_order, mixing_stage
 from trendscope.llm.ngram_join import near_duplicate_stage
 from trendscope.llm.quality import quality_stage
 from trendscope.llm.queries import executors_ready
@@ -45,7 +45,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``."""
+    """Apply all stages to ``documents``; the rows come in the mixed order."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
@@ -54,4 +54,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before is not None:
             scratch.drop(before)
         docs = before = after
-    return docs
+    return in_file_order(docs)

@@ -45,6 +45,25 @@ def test_pipeline_against_plain_python(spark):
     assert got == sorted(expected)
 
 
+def test_pipeline_keeps_the_mixed_order(spark):
+    rows = [r.asDict() for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
+    expected = plain_run(rows, sentencepiece_nbest.Vocabulary(sentencepiece_nbest.default_model()))
+    assert [r["doc_id"] for r in corpus_pipeline.run(spark, SF_SMALL).collect()] == [r[0] for r in expected]
+
+
+def test_encode_stage_follows_files(spark, tmp_path):
+    """Files of growing size: a scan reads the largest first."""
+    import pyarrow.parquet as pq
+    spark.range(0, 8, 1, 8).selectExpr(
+        "explode(transform(sequence(0, 20 * id), x -> 1000 * id + x)) AS doc_id").selectExpr(
+        "doc_id", "repeat(concat('text ', sha2(string(doc_id), 256), ' '), 20) AS text").write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    dict(corpus_pipeline.STAGES)["sentencepiece"](spark, docs, SF_SMALL).write.parquet(str(tmp_path / "out"))
+    written = [i for f in sorted((tmp_path / "out").glob("part-*.parquet"))
+               for i in pq.ParquetFile(f).read()["doc_id"].to_pylist()]
+    assert len(written) == docs.count() and written == sorted(written)
+
+
 def test_mixing_stage_writes_in_order(spark, tmp_path):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     stage = dict(corpus_pipeline.STAGES)["mixing"]

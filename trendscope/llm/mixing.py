@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,3 +129,16 @@ def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = _slotted(docs, None, "doc_id", "source", BLOCK_DOCS, UNITS, MAX_SOURCES)
     return (mixed.repartitionByRange(n, "mix_slot", "mix_seq").sortWithinPartitions("mix_slot", "mix_seq")
             .select("_row.*"))
+
+
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """The rows of a written table in the order of its files by name and the rows in them, as a
+    scan packs files by size. Rows that are not read from files stay as they are."""
+    try:
+        meta = docs.metadataColumn("_metadata")
+        rows = docs.select(F.struct(*docs.columns).alias("_row"), meta["file_path"].alias("_file"),
+                           meta["row_index"].alias("_at"))
+    except AnalysisException:
+        return docs
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, "_file", "_at").sortWithinPartitions("_file", "_at").select("_row.*")

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendscope.llm.mixing import in_file_order
 from trendscope.llm.text import trimmed
 
 N_BEST = 4
@@ -370,5 +371,6 @@ def decode(encoded: DataFrame, *, ids_col: str = "ids", model: str | None = None
 
 
 def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents' columns but the text, with its pieces."""
-    return encode(docs, keep=tuple(c for c in docs.columns if c != "text"))
+    """Pipeline stage: the documents' columns but the text, with its pieces, in the order of the
+    stage before: files by name, and the rows in them, follow it."""
+    return encode(in_file_order(docs), keep=tuple(c for c in docs.columns if c != "text"))
