@@ -288,6 +288,22 @@ def test_encode_decode_round_trip(spark, vocabulary):
     assert all(r["round_trip"] in (True, None) for r in digests.collect())
 
 
+def test_encode_returns_all_paths_and_decodes_them(spark, vocabulary):
+    texts = ["in in in, a.b", "aaaa aaaa", "", "literal\u2581marker", "the the"]
+    frame_ = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string")
+    paths = {i: plain.all_paths(t, vocabulary, sentencepiece_nbest.lattice, 4) for i, t in enumerate(texts)}
+    for out in (sentencepiece_nbest.encode(frame_), sentencepiece_nbest.encode_checked(frame_)):
+        found = {r["doc_id"]: r for r in out.collect()}
+        assert found[9]["n_best_ids"] is None
+        for i, p in paths.items():
+            assert [list(x) for x in found[i]["n_best_ids"]] == [ids for _, ids in p]
+            assert list(found[i]["n_best_scores"]) == [score for score, _ in p]
+    for out in (sentencepiece_nbest.encode_digests(frame_), sentencepiece_nbest.encode_checked(frame_)):
+        assert {r["doc_id"]: r["round_trip"] for r in out.collect()} == {0: True, 1: True, 2: True, 3: False, 4: True, 9: None}
+    digests = {r["doc_id"]: list(r["n_best_sha256"]) for r in sentencepiece_nbest.encode_digests(frame_).collect() if r["n_best_sha256"]}
+    assert digests == {i: [hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest() for _, ids in p] for i, p in paths.items()}
+
+
 def test_encoder_forgets_and_goes_on(vocabulary, monkeypatch):
     monkeypatch.setattr(sentencepiece_nbest, "KEPT_SEGMENTS", 20)
     small, large = sentencepiece_nbest.Encoder(vocabulary, 3), sentencepiece_nbest.Encoder(vocabulary, 3)

@@ -15,7 +15,7 @@ one (as found in the vocabulary). The segments' n-best lists are
 merged exactly into the text's. Segments repeat, so their best paths are kept between the texts of a task.
 
 A null text gives null results; the empty text is the lone marker of the leading space.
-Literal markers in a text decode to spaces, as in SentencePiece. Repeated rows each give a row.
+Literal markers in a text decode to spaces, as in SentencePiece, so that its round trip fails. Repeated rows each give a row.
 """
 
 from __future__ import annotations
@@ -186,7 +186,7 @@ class Encoder:
     def _reset(self) -> None:
         self.place: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.int32)
-        for name in ("size", "start", "score", "gap", "texts", "exact"):
+        for name in ("size", "start", "score", "gap", "texts"):
             setattr(self, name, np.zeros(1 << 12, np.int64))
         self.used = 0
         self.more: dict[str, list] = {}
@@ -194,30 +194,29 @@ class Encoder:
     def _keep_common(self) -> None:
         """Forget the segments that were met in one text only; if that's few, all."""
         common = [(segment, k) for segment, k in self.place.items() if self.texts[k] > 1]
-        old, more = (self.ids, self.size, self.start, self.score, self.gap, self.exact), self.more
+        old, more = (self.ids, self.size, self.start, self.score, self.gap), self.more
         self._reset()
         self.more = more
         if len(common) < KEPT_SEGMENTS * 3 // 4:
             for segment, k in common:
                 self._put(segment, old[0][old[2][k]:old[2][k] + old[1][k]], *[int(x[k]) for x in old[3:]])
 
-    def _put(self, segment: str, ids, score: int, gap: int, exact: int) -> int:
+    def _put(self, segment: str, ids, score: int, gap: int) -> int:
         k = len(self.place)
         if k >= len(self.size):
-            for name in ("size", "start", "score", "gap", "texts", "exact"):
+            for name in ("size", "start", "score", "gap", "texts"):
                 setattr(self, name, np.concatenate([getattr(self, name), np.zeros(k, np.int64)]))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.ids[self.used:self.used + len(ids)] = ids
-        self.size[k], self.start[k], self.score[k], self.gap[k], self.exact[k] = len(ids), self.used, score, gap, exact
+        self.size[k], self.start[k], self.score[k], self.gap[k] = len(ids), self.used, score, gap
         self.used += len(ids)
         self.place[segment] = k
         return k
 
     def _add(self, segment: str) -> int:
         score, gap, ids = best_and_gap(segment, self.v)
-        exact = b"".join([self.v.text[i] for i in ids]) == segment.replace(MARK, " ").encode(errors="surrogatepass")
-        return self._put(segment, ids, score, gap, exact)
+        return self._put(segment, ids, score, gap)
 
     def encode(self, text: str, paths: bool = False) -> tuple[np.ndarray, list[int], list[np.ndarray] | None]:
         """Ids of the best path, the scores of the n best paths, and (if asked for) their ids."""
@@ -227,7 +226,6 @@ class Encoder:
         get, add = self.place.get, self._add
         at = np.array([k if (k := get(s)) is not None else add(s) for s in segments], np.int64)
         self.texts[at] += 1
-        self.round_trip = bool(self.exact[at].all())  # ids of segments are decoded one after the other
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.ids[np.arange(ends[-1]) + np.repeat(self.start[at] - (ends - size), size)]
@@ -299,60 +297,75 @@ class Encoder:
         return data.decode(errors="replace").removeprefix(" ")
 
 
-def _encode(batches: Iterator[pa.RecordBatch], shared, n: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+KINDS = {"ids": "array<int>", "n_best_ids": "array<array<int>>", "ids_sha256": "string",
+         "n_best_sha256": "array<string>", "round_trip": "boolean"}
+ARROW = {"ids": pa.list_(pa.int32()), "n_best_ids": pa.list_(pa.list_(pa.int32())), "ids_sha256": pa.string(),
+         "n_best_sha256": pa.list_(pa.string()), "round_trip": pa.bool_()}
+
+
+def _digest(ids: np.ndarray) -> str:
+    return hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
+
+
+def _encode(batches: Iterator[pa.RecordBatch], shared, n: int, wanted: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     e = Encoder(shared.value, n)
+    all_paths = any(w.startswith("n_best") for w in wanted)
+    make = {"ids": lambda text, ids, paths: ids, "n_best_ids": lambda text, ids, paths: paths,
+            "ids_sha256": lambda text, ids, paths: _digest(ids),
+            "n_best_sha256": lambda text, ids, paths: [_digest(p) for p in paths],
+            "round_trip": lambda text, ids, paths: e.decode(ids) == text}
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            sizes, best, digests, same, ids_out = [], [], [], [], []
+            sizes, best, out = [], [], {w: [] for w in wanted}
             for text in part.column(1):
                 text = text.as_py()
                 if text is None:
-                    for out in (sizes, best, digests, same, ids_out):
-                        out.append(None)
+                    for values in (sizes, best, *out.values()):
+                        values.append(None)
                     continue
-                ids, scores, _ = e.encode(text)
+                ids, scores, paths = e.encode(text, all_paths)
                 sizes.append(len(ids))
                 best.append(scores)
-                if with_ids:
-                    ids_out.append(ids)
-                else:
-                    digests.append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
-                    same.append(e.round_trip)
-            columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(best, pa.list_(pa.int64()))]
-            if with_ids:
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids_out, pa.list_(pa.int32()))],
-                                                 ["carry", "n_pieces", "n_best_scores", "ids"])
-            else:
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(digests, pa.string()), pa.array(same, pa.bool_())],
-                    ["carry", "n_pieces", "n_best_scores", "ids_sha256", "round_trip"])
+                for w, values in out.items():
+                    values.append(make[w](text, ids, paths))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(sizes, pa.int64()), pa.array(best, pa.list_(pa.int64())),
+                 *[pa.array(values, ARROW[w]) for w, values in out.items()]],
+                ["carry", "n_pieces", "n_best_scores", *wanted])
 
 
-def _run(docs: DataFrame, carry: list[str], text_col: str, model: str | None, n: int, with_ids: bool) -> DataFrame:
+def _run(docs: DataFrame, carry: list[str], text_col: str, model: str | None, n: int, wanted: tuple[str, ...]) -> DataFrame:
     rows = docs.select(F.struct(*carry).alias("carry"), F.col(text_col).cast("string").alias("text"))
     # a vocabulary's size doesn't grow with the data
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model or default_model()))
     kind = rows.schema["carry"].dataType.simpleString()
-    rest = "ids array<int>" if with_ids else "ids_sha256 string, round_trip boolean"
-    return rows.mapInArrow(lambda b: trimmed(_encode(b, shared, n, with_ids)),
-                           f"carry {kind}, n_pieces long, n_best_scores array<long>, {rest}")
+    rest = ", ".join(f"{w} {KINDS[w]}" for w in wanted)
+    out = rows.mapInArrow(lambda b: trimmed(_encode(b, shared, n, wanted)),
+                          f"carry {kind}, n_pieces long, n_best_scores array<long>, {rest}")
+    taken = ("n_pieces", "n_best_scores", *wanted)
+    return out.select(*[F.col("carry")[c].alias(c) for c in carry if c not in taken], *taken)
 
 
 def encode(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", model: str | None = None,
            n: int = N_BEST) -> DataFrame:
-    """``keep`` columns, ``n_pieces``, ``n_best_scores`` (best first) and ``ids`` of the best path."""
-    taken = ("n_pieces", "n_best_scores", "ids")
-    out = _run(docs, list(keep), text_col, model, n, True)
-    return out.select(*[F.col("carry")[c].alias(c) for c in keep if c not in taken], *taken)
+    """``keep`` columns, ``n_pieces``, ``n_best_scores`` (best first), ``ids`` of the best path and
+    ``n_best_ids`` of all n paths, in the order of the scores."""
+    return _run(docs, list(keep), text_col, model, n, ("ids", "n_best_ids"))
 
 
 def encode_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str | None = None,
                    n: int = N_BEST) -> DataFrame:
-    """As ``encode``, but with the digest of the ids (32-bit little-endian) and whether they
-    decode to the text."""
-    out = _run(docs, [id_col], text_col, model, n, False)
-    return out.select("carry.*", "n_pieces", "n_best_scores", "ids_sha256", "round_trip")
+    """As ``encode``, but with the digests of the ids (32-bit little-endian) and ``round_trip``:
+    whether ``ids`` decode to the text."""
+    return _run(docs, [id_col], text_col, model, n, ("ids_sha256", "round_trip", "n_best_sha256"))
+
+
+def encode_checked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str | None = None,
+                   n: int = N_BEST) -> DataFrame:
+    """``n_best_ids`` of all n paths, best first, with the digest of the best path's and whether
+    they decode to the text."""
+    return _run(docs, [id_col], text_col, model, n, ("ids_sha256", "round_trip", "n_best_ids"))
 
 
 def decode(encoded: DataFrame, *, ids_col: str = "ids", model: str | None = None) -> DataFrame:
@@ -372,5 +385,6 @@ def decode(encoded: DataFrame, *, ids_col: str = "ids", model: str | None = None
 
 def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents' columns but the text, with its pieces, in the order of the
-    stage before: files by name, and the rows in them, follow it."""
-    return encode(in_file_order(docs), keep=tuple(c for c in docs.columns if c != "text"))
+    stage before: files by name, and the rows in them, follow it. Of the other paths it gives the scores."""
+    keep = [c for c in docs.columns if c != "text"]
+    return _run(in_file_order(docs), keep, "text", None, N_BEST, ("ids",))
