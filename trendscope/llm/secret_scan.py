@@ -1,12 +1,15 @@
 """Secret scan with dictionary-primed zstandard novelty.
 
 Base patterns find assignments, access keys and long hexadecimal runs. The method looks at
-every other token of ``MIN_TOKEN`` or more key characters that stands within ``REACH``
-characters after a sensitive word. A candidate's novelty is its marginal size: bytes of the
+every other token of 16 or more key characters that starts within ``REACH`` characters after a
+sensitive word or ends within ``REACH`` before one, and at the tokens that only dots, or a line
+break with white space and quotes around it, part from such a token: the lines of a key block,
+the parts of a signed token. A candidate's novelty is its marginal size: bytes of the
 compressed surrounding text with the candidate less the bytes without it, where the
 compressor is primed with a dictionary of identifiers and the surrounding text itself comes
 first. Words, paths and names that the dictionary or the surroundings hold cost a few bytes;
-random strings cost about as many bits as their alphabet needs. A candidate that mixes
+random strings cost about as many bits as their alphabet needs. A string that stands twice within
+``AROUND`` characters is cheap in both places and is not reported. A candidate that mixes
 character classes and costs ``MIN_BITS`` or more per character is reported as ``novelty``.
 
 Offsets are code points, ends exclusive. A null text is empty. A null id passes through.
@@ -15,6 +18,7 @@ Repeated rows each give a row.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -35,7 +39,8 @@ SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api[_ -]?key|ac
                        r"credential|client[_ -]?id|authorization|bearer", re.IGNORECASE | re.ASCII)
 SENSITIVE_WORDS = ("pass", "secret", "token", "key", "credential", "client", "authorization", "bearer")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-REACH = 64       # characters after a sensitive word in which a candidate starts
+JOINT = re.compile(r"\.+|[\x20\t\"'+,\\]*\r?\n[\x20\t\"'+]*")  # a run of tokens goes on behind it
+REACH = 64       # characters after a sensitive word in which a candidate starts, or before one in which it ends
 AROUND = 1024    # characters of surrounding text on each side
 MIN_BITS = 5.5   # marginal bits per byte; random strings cost 6 to 8, known words 1 to 5
 
@@ -83,21 +88,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def _near(text: str) -> set[tuple[int, int]]:
+    """Tokens near sensitive words, and the runs that they stand in. Of a token that holds a
+    sensitive word, the part on each side of the word counts as a token."""
+    tokens = [m.span() for m in TOKEN.finditer(text)]
+    starts, ends = [s for s, _ in tokens], [e for _, e in tokens]
+    out, picked = set(), set()
+    for word in SENSITIVE.finditer(text):
+        first = bisect.bisect_left(ends, word.start() - REACH)
+        for k in range(first, bisect.bisect_left(starts, word.end() + REACH)):
+            s, e = tokens[k]
+            if e <= word.start() or s >= word.end():
+                picked.add(k)
+            else:
+                out |= {m.span() for part in ((s, word.start()), (word.end(), e)) for m in TOKEN.finditer(text, *part)}
+    joined = [JOINT.fullmatch(text, e, s) is not None for e, s in zip(ends, starts[1:])]
+    run = 0  # the first token of the run
+    for k in range(len(tokens)):
+        if k + 1 == len(tokens) or not joined[k]:
+            if any(i in picked for i in range(run, k + 1)):
+                picked.update(range(run, k + 1))
+            run = k + 1
+    return out | {tokens[k] for k in picked}
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, min_bits: float) -> list[tuple[int, int, int]]:
     """Candidates near sensitive words that no base span touches and that don't compress."""
     low = text.lower()
     if not any(word in low for word in SENSITIVE_WORDS):
         return []
     found = {}
-    for word in SENSITIVE.finditer(text):
-        for m in TOKEN.finditer(text, word.end(), min(len(text), word.end() + REACH)):
-            start = m.start()
-            end = TOKEN.match(text, start).end()  # the whole token, also beyond the reach
-            token = text[start:end]
-            classes = (any(c.isdigit() for c in token) + any("a" <= c <= "z" for c in token)
-                       + any("A" <= c <= "Z" for c in token))
-            if (start, end) in found or classes < 2 or any(s < end and start < e for s, _, e in base):
-                continue
+    for start, end in _near(text):
+        token = text[start:end]
+        classes = (any(c.isdigit() for c in token) + any("a" <= c <= "z" for c in token)
+                   + any("A" <= c <= "Z" for c in token))
+        if classes >= 2 and not any(s < end and start < e for s, _, e in base):
             found[start, end] = novelty.bits(text, start, end) >= min_bits
     return sorted((s, 3, e) for (s, e), is_novel in found.items() if is_novel)
 
