@@ -93,7 +93,7 @@ def test_stages_keep_columns_and_extra_ones(spark):
 
 def test_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
@@ -112,6 +112,11 @@ CONTRACT = {
     "op6_substring_dedup": "doc_id bigint n_words bigint n_removed bigint kept_sha256 string",
     "op9_topk": "query_id bigint rank int vec_id bigint score bigint",
     "op10_html_extract": "page_id bigint url string text string n_chars bigint",
+    "op11_fill_in_middle": "doc_id bigint n bigint form string prefix_chars bigint middle_chars bigint output_sha256 string "
+                           "restored_sha256 string",
+    "op12_warc": "page_id bigint payload_bytes bigint payload_digest string record_type string refers_to bigint",
+    "op13_whitening": "vec_id bigint component int n bigint deviation bigint whitened double explained double "
+                      "identity_error double",
 }
 
 

@@ -11,8 +11,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from trendscope.llm import (html_extract, language_id, line_dedup, mixing, ngram_join, quality, secret_scan,
-                            sentencepiece_nbest, substring_dedup, topk)
+from trendscope.llm import (fill_in_middle, html_extract, language_id, line_dedup, mixing, ngram_join, quality, secret_scan,
+                            sentencepiece_nbest, substring_dedup, topk, warc, whitening)
 
 _ready: set[str] = set()
 
@@ -92,9 +92,22 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.transform_and_restore(_table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(_table(spark, sf_dir, "pages"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_rows(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_ngram_join, op3_language_id, op4_mixing, op5_quality_rules,
-                            op6_substring_dedup, op7_line_dedup, op8_sentencepiece, op9_topk, op10_html_extract)}
+                            op6_substring_dedup, op7_line_dedup, op8_sentencepiece, op9_topk, op10_html_extract,
+                            op11_fill_in_middle, op12_warc, op13_whitening)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _ROWS = "rows_ AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents)"
@@ -208,5 +221,36 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {topk.K}
 """
 
+_OP11 = f"""
+WITH tokens AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                       sha256('{fill_in_middle.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT doc_id, t, u, len(u) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(0, 4)] AS h FROM tokens),
+formed AS (SELECT doc_id, t, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS x, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS y,
+                  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                            OR h[3] % 100 >= {fill_in_middle.FIM_PERCENT} THEN 'plain'
+                       WHEN h[4] % 100 < {fill_in_middle.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT doc_id, t, n, form, coalesce(array_to_string(u[1:x], ''), '') AS p,
+                 coalesce(array_to_string(u[x + 1:y], ''), '') AS m, coalesce(array_to_string(u[y + 1:n], ''), '') AS s FROM formed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM parts
+"""
+
+_NIBBLES = "".join(f"{i:04b}" for i in range(16))
+_FIVES = "".join(f"{i:05b}|" for i in range(32))
+_OP12 = f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS b FROM pages),
+grouped AS (SELECT page_id, b, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS least FROM payloads),
+digits AS (SELECT *, array_to_string([substr('{_NIBBLES}', 4 * strpos('0123456789abcdef', substr(h, i, 1)) - 3, 4)
+                                      FOR i IN range(1, 41)], '') AS bits FROM grouped)
+SELECT page_id, CAST(strlen(b) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (strpos('{_FIVES}', substr(bits, 5 * i + 1, 5) || '|') + 5) // 6, 1)
+                        FOR i IN range(0, 32)], '') AS payload_digest,
+       CASE WHEN least IS NULL OR page_id IS NOT DISTINCT FROM least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM least THEN least END AS refers_to FROM digits
+"""
+
 ORACLE_SQL: dict[str, str] = {"op2_ngram_join": _OP2, "op4_mixing": _OP4, "op5_quality_rules": _OP5, "op6_substring_dedup": _OP6,
-                              "op7_line_dedup": _OP7, "op9_topk": _OP9}
+                              "op7_line_dedup": _OP7, "op9_topk": _OP9, "op11_fill_in_middle": _OP11, "op12_warc": _OP12}
