@@ -100,6 +100,19 @@ def test_country_filter_reaches_nation_scan(tables_small):
     assert "RLIKE" in plan.split("FileScan")[0] or "rlike" in plan.lower()
 
 
+def test_cleaning_parses_each_value_once(tables_small, tmp_path):
+    """Pattern calls of the cleaning plan: the id, the date and two timestamps at most once each (two
+    replacements for ISO text), seven numbers; none of them in a plain text's path."""
+    from trendscope.operators import ingest as I
+    path = str(tmp_path / "raw")
+    tables_small.raw.limit(10).write.parquet(path)
+    plan = I.clean(tables_small.spark.read.parquet(path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 0
+    assert plan.count("RLIKE") <= 8 and plan.count("regexp_replace") <= 2 * 3 + 7
+    assert plan.count("video_trending__date") and "Generate explode" in plan
+    assert tables_small.spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
 def test_topk_is_take_ordered(tables_small):
     t = tables_small
     plan = _plan(R.top(t.trending, t.video_dim, "views", date=t.busy_day))

@@ -171,3 +171,53 @@ def test_casts_match_reference_engine(spark, values, build, text):
     got, want = _spark_eval(spark, values, build().alias("y")), _duck_eval(values, text)
     bad = {values[i]: (got[i], want[i]) for i in got if got[i] != want[i]}
     assert not bad, bad
+
+
+def _shaped(rng, marks, lengths):
+    return ["".join(rng.choice(marks) for _ in range(rng.choice(lengths))) for _ in range(400)]
+
+
+def _near(rng, texts, marks):
+    """Texts with one character replaced, removed or doubled."""
+    out = []
+    for _ in range(600):
+        t = rng.choice(texts)
+        at = rng.randrange(len(t))
+        out.append(t[:at] + rng.choice([rng.choice(marks), "", t[at] * 2]) + t[at + 1:])
+    return out
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "long"])
+def test_plain_shapes_agree_with_the_patterns(spark, kind):
+    """Texts in or near the shapes that skip the pattern: the reference engine's results."""
+    import random
+    rng = random.Random(7)
+    marks = "0123456789-./ TZ:+\t\n\x0b\x01\x7fé٣"
+    if kind == "date":
+        texts = ["2024-01-05", "2024.01.05", "2023.02.29", "2024-02-29", "0999.12.31", "2024-13-01", "2024.1.05", "99.01.05"]
+        build, text = X.parse_trending_date("x").cast("string"), "CAST(TRY_CAST(replace(x, '.', '-') AS DATE) AS VARCHAR)"
+    elif kind == "timestamp":
+        texts = ["2024-01-05T08:30:00Z", "2024-01-05 08:30:00", "2024-01-05 23:59:59", "2024-01-05T24:00:00Z", "2024-01-05 08:61:00",
+                 "2024-01-05 08:30:00+02", "2024-01-05 08:30:00.123"]
+        build, text = F.unix_micros(X.to_ts("x")), "epoch_us(TRY_CAST(x AS TIMESTAMPTZ))"
+    else:
+        texts = ["42", "-42", "+42", "007", "9223372036854775807", "9223372036854775808", "-9223372036854775808", "4.5", "1_000"]
+        build, text = X.to_long("x"), "TRY_CAST(x AS BIGINT)"
+    values = sorted({*texts, *_near(rng, texts, marks), *_shaped(rng, "0123-.: T", range(1, 21))} - {""})
+    values = [v for v in values if "\x00" not in v]
+    got = _spark_eval(spark, values, build.alias("y"))
+    if kind == "long":
+        want = _duck_eval(values, text)
+        bad = {values[i]: (got[i], want[i]) for i in got if got[i] != want[i]}
+        assert not bad, bad
+    pattern = {"date": X.DATE_PATTERN, "timestamp": X.TS_PATTERN, "long": X.NUMBER_PATTERN}[kind]
+    source = F.translate("x", ".", "-") if kind == "date" else F.col("x")
+    shaped = _spark_eval(spark, values, source.rlike(pattern).alias("y"))
+    outside = [values[i] for i in got if got[i] is not None and not shaped[i]]
+    assert not outside, outside  # nothing is accepted that the pattern rejects
+    whole = {"date": lambda: X._iso(source, pattern, "").try_cast("date").cast("string"),
+             "timestamp": lambda: F.unix_micros(X._iso(source, pattern, "$5$6").try_cast("timestamp")),
+             "long": lambda: F.when(source.rlike(pattern), F.round(F.regexp_replace(
+                 F.btrim(F.translate(source, "_", "")), "[\t\n\x0b\f\r ]", "").try_cast("decimal(38,18)"), 0).try_cast("bigint"))}[kind]
+    slow = _spark_eval(spark, values, whole().alias("y"))
+    assert got == slow  # the path that skips the pattern gives the same

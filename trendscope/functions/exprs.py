@@ -9,8 +9,12 @@ differ from Spark's defaults (see SURVEY §1.5):
 * ``trim`` stripping Unicode space separators (G3) -> ``\\p{Zs}``,
 * loose numeric casts that round ``'3.7'`` to 4 and accept ``'1_000'`` (G4) -> decimal route,
 * date and timestamp casts that reject partial dates and times without a date, and accept
-  four separators and short years (G5) -> shape patterns whose parts are put in ISO form,
+  four separators and short years (G5) -> patterns whose parts are put in ISO form,
 * ``ILIKE`` without an escape character (G10) -> explicit escape ``~``.
+
+Casts look at the shape first: a text whose length and a few characters say that it is plain ISO (or a
+plain whole number) is cast as it stands, where Spark and the pattern agree on every text of
+that shape; only the rest meets the pattern, once.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ DATE_PATTERN = (r"(?s)^[\t\n\x0B\f\r ]*(\d{1,6})([-/\\ ])(\d{1,2})\2(\d{1,2})"
                 r"(?:Z| (?:[^ ].*)?|[+-]\d\d(?::?\d\d(?::\d\d)?)?)?)\z")
 # Accepted timestamps: the same date, alone or with a time and a zone.
 TS_PATTERN = (r"^[\t\n\x0B\f\r ]*(\d{1,6})([-/\\ ])(\d{1,2})\2(\d{1,2})"
-              r"(?:[ T](\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?) ?(Z|UTC|[+-]\d{2}(?::\d{2})?)?)?\z")
+              r"(?:([ T]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?) ?(Z|UTC|[+-]\d{2}(?::\d{2})?)?)?\z")
 # Accepted numbers: single underscores between digits, a fraction, an exponent.
 NUMBER_PATTERN = (r"^[\t\n\x0B\f\r ]*[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)"
                   r"(?:[eE][+-]?\d+(?:_\d+)*)?[\t\n\x0B\f\r ]*\z")
@@ -52,17 +56,34 @@ def _c(col) -> Column:
 
 # --- C1..C4: safe parsing ----------------------------------------------------------------
 
-def _iso_date(s: Column, pattern: str) -> Column:
-    part = lambda i: F.regexp_extract(s, pattern, i)
-    year = part(1)
-    return F.concat(F.when(F.length(year) < 4, F.lpad(year, 4, "0")).otherwise(year), F.lit("-"), part(3), F.lit("-"), part(4))
+def _at(c: Column, place: int) -> Column:
+    return F.substring(c, place, 1)
+
+
+def _digit(c: Column, place: int) -> Column:
+    return _at(c, place).between("0", "9")
+
+
+def _starts_between(c: Column, first: str, last: str) -> Column:
+    """The first character is one of ``first`` .. ``last``: a comparison of the whole text."""
+    return (c >= first) & (c < chr(ord(last) + 1))
+
+
+def _iso(s: Column, pattern: str, form: str) -> Column:
+    """The parts of a text that the pattern matches, as ISO text with a year of four digits or more;
+    of any other text ``000--``, which no cast takes. One replacement for either."""
+    parts = F.regexp_replace(s, rf"{pattern}|\A(?s:.*)\z", f"000$1-$3-$4{form}")
+    return F.regexp_replace(parts, r"^0+(?=\d{4})", "")
 
 
 def parse_trending_date(col) -> Column:
     """C1: '.' -> '-', then a safe DATE cast; NULL for anything that doesn't start with a whole
     date. The reference's words for special dates ('epoch', 'infinity', BC years) are NULL."""
-    s = F.translate(_c(col), ".", "-")
-    return F.when(s.rlike(DATE_PATTERN), _iso_date(s, DATE_PATTERN).try_cast("date"))
+    c = _c(col)
+    s = F.translate(c, ".", "-")
+    plain = ((F.length(c) == 10) & _at(c, 5).isin("-", ".") & _at(c, 8).isin("-", ".")
+             & _starts_between(c, "0", "9") & _digit(c, 10))
+    return F.when(plain, s.try_cast("date")).otherwise(_iso(s, DATE_PATTERN, "").try_cast("date"))
 
 
 def valid_video_id(col) -> Column:
@@ -75,8 +96,11 @@ def _rounding_integral(col, type_name: str) -> Column:
     # A decimal with 18 places holds any bigint; digits behind the 18th can't change the
     # rounding half away from zero, so they are cut before the parse would round them up.
     s = _c(col)
-    plain = F.regexp_replace(F.translate(F.btrim(s, F.lit("\t\n\x0b\f\r ")), "_", ""), r"(\.\d{18})\d+\z", "$1")
-    return F.when(s.rlike(NUMBER_PATTERN), F.round(plain.try_cast("decimal(38,18)"), 0).try_cast(type_name))
+    # Spark's cast of a text from one of '-./0-9' to a digit takes whole numbers only, as the pattern does
+    whole = F.when(_starts_between(s, "-", "9") & _digit(s, -1), s.try_cast(type_name))
+    text = F.regexp_replace(F.translate(F.btrim(s, F.lit("\t\n\x0b\f\r ")), "_", ""), r"(\.\d{18})\d+\z", "$1")
+    other = F.when(s.rlike(NUMBER_PATTERN), F.round(text.try_cast("decimal(38,18)"), 0).try_cast(type_name))
+    return F.coalesce(whole, other)
 
 
 def to_long(col) -> Column:
@@ -91,11 +115,12 @@ def to_int(col) -> Column:
 
 def to_ts(col) -> Column:
     """C4: safe timestamp cast; a whole date, alone or with a time and zone (UTC without one)."""
-    s = _c(col)
-    time, zone = F.regexp_extract(s, TS_PATTERN, 5), F.regexp_extract(s, TS_PATTERN, 6)
-    text = F.concat(_iso_date(s, TS_PATTERN), F.when(time == "", "").otherwise(F.concat(F.lit("T"), time)),
-                    F.when(zone == "UTC", "Z").when(F.length(zone) == 3, F.concat(zone, F.lit(":00"))).otherwise(zone))
-    return F.when(s.rlike(TS_PATTERN), text.try_cast("timestamp"))
+    c = _c(col)
+    plain = ((F.length(c) == 19) | ((F.length(c) == 20) & (_at(c, 20) == "Z")))
+    for place, marks in ((5, "-"), (8, "-"), (11, "T "), (14, ":"), (17, ":")):
+        plain = plain & _at(c, place).isin(*marks)
+    plain = plain & _starts_between(c, "0", "9") & _digit(c, 19)
+    return F.when(plain, c.try_cast("timestamp")).otherwise(_iso(c, TS_PATTERN, "$5$6").try_cast("timestamp"))
 
 
 def to_bool(col) -> Column:

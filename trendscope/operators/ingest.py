@@ -4,6 +4,9 @@
 trending date parses and whose id is valid, apply safe casts, project 28 columns. Row-wise
 only, so it runs map-side with no shuffle. The quality reports are single aggregations
 (partial aggregation per task, one tiny final merge) over the raw table.
+
+The date is parsed once per row: it is generated (exploded from an array of one), and what is
+generated isn't copied into the filters and columns that use it, as a projected expression is.
 """
 
 from __future__ import annotations
@@ -27,10 +30,8 @@ _VALID = "_is_valid_video_id"
 
 
 def _with_checks(raw: DataFrame) -> DataFrame:
-    return raw.withColumns({
-        _DATE: X.parse_trending_date("video_trending__date"),
-        _VALID: X.valid_video_id("video_id"),
-    })
+    return raw.withColumn(_VALID, X.valid_video_id("video_id")).select(
+        "*", F.explode(F.array(X.parse_trending_date("video_trending__date"))).alias(_DATE))
 
 
 def _typed_columns():
@@ -46,10 +47,12 @@ def _typed_columns():
 def clean(raw: DataFrame) -> DataFrame:
     """Typed ``trending`` fact. Repeated (video, country, day) rows are kept.
 
-    A NULL id makes the id check NULL, and a NULL filter condition drops the row (G19).
+    A NULL id makes the id check NULL, and a NULL filter condition drops the row (G19). A row whose
+    date doesn't parse has no date to generate.
     """
-    checked = _with_checks(raw)
-    return checked.filter(F.col(_DATE).isNotNull() & F.col(_VALID)).select(*_typed_columns())
+    dated = raw.filter(X.valid_video_id("video_id")).select(
+        "*", F.explode(F.array_compact(F.array(X.parse_trending_date("video_trending__date")))).alias(_DATE))
+    return dated.select(*_typed_columns())
 
 
 def raw_quality(raw: DataFrame) -> DataFrame:

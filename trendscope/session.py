@@ -1,9 +1,9 @@
 """Session helpers.
 
 Library functions never create a session; they take DataFrames. ``get_session`` is for
-tests and the bench, ``submitted_session`` for the command-line rebuild. ``ensure_conf`` applies the two settings
-the semantics depend on (UTC rendering of timestamps, a shared checkpoint folder) without
-overriding what a cluster already configured.
+tests and the bench, ``submitted_session`` for the command-line rebuild. ``ensure_conf`` applies the setting
+the semantics depend on (UTC rendering of timestamps) and the one that keeps wide projections
+compiled, without overriding what a cluster already configured.
 """
 
 from __future__ import annotations
@@ -18,6 +18,12 @@ SEMANTIC_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# The JVM never compiles a method of more than 8000 bytes of bytecode. Whole-stage code of a wide
+# projection (the cleaning step's 28 columns) is above it and would run interpreted; with this
+# limit Spark generates such a projection in small methods instead. Spark's default is 65535.
+CODEGEN_CONF = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+_CODEGEN_DEFAULT = "65535"
+
 # Scale settings: AQE re-plans joins and partition counts from runtime statistics, splits
 # skewed join partitions and coalesces tiny shuffle partitions.
 SCALE_CONF = {
@@ -28,6 +34,7 @@ SCALE_CONF = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    **CODEGEN_CONF,
 }
 
 
@@ -73,10 +80,14 @@ def submitted_session(input_path: str | None = None, app_name: str = "trendscope
 
 
 def ensure_conf(spark: SparkSession) -> SparkSession:
-    """Pin the session time zone to UTC (the reference stores TIMESTAMPTZ rendered as UTC)."""
+    """Pin the session time zone to UTC (the reference stores TIMESTAMPTZ rendered as UTC), and set
+    the code size limit where it was left at Spark's default."""
     for key, value in SEMANTIC_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    for key, value in CODEGEN_CONF.items():
+        if spark.conf.get(key, _CODEGEN_DEFAULT) == _CODEGEN_DEFAULT:
+            spark.conf.set(key, value)
     return spark
 
 
