@@ -221,3 +221,35 @@ def test_plain_shapes_agree_with_the_patterns(spark, kind):
                  F.btrim(F.translate(source, "_", "")), "[\t\n\x0b\f\r ]", "").try_cast("decimal(38,18)"), 0).try_cast("bigint"))}[kind]
     slow = _spark_eval(spark, values, whole().alias("y"))
     assert got == slow  # the path that skips the pattern gives the same
+
+
+TYPED = {
+    "no_date": ["9999-99-99", "2020-13-45"], "one_bad_date": ["2020-01-02", "2020-13-45"], "big": ["1234567890123456789"],
+    "too_big": ["9223372036854775808"], "line_end": ["12\n", "5"], "blank": [" 7 ", "8"], "underscore": ["1_000", "2"],
+    "bad_underscore": ["1__0"], "mixed": ["1", "2.5"], "fraction": ["3.0"], "exponent": ["1e3", "4"], "words": ["nan", "-inf", "1"],
+    "bare_word": ["Infinity"], "flags": ["True", "false"], "letters": ["t", "F", "yes"], "flag_or_one": ["1", "true"], "padded_flag": [" true"],
+    "dates": ["2024-01-05", "2024/1/5", "24.01.05"], "dots": ["2024.01.05"], "days_and_times": ["2024-01-05", "2024-01-05 10:00:00"],
+    "times": ["2024-01-05T10:00:00Z", "2024-01-05 10:00:00+02"], "dotted_time": ["2024.01.05 10:00:00"], "clock": ["12:30"],
+    "text": ["a", "1"], "empty": ["", "1"], "only_empty": [""], "suffix": ["1d", "2f"], "digits": ["٣"], "sign": ["+"], "none": [None],
+    "version": ["1.2.3"], "year": ["2024"], "hash": ["#1"],
+}
+
+
+def test_column_types_match_try_cast(spark):
+    """Planted columns: the type by the reference engine's own TRY_CAST of every value."""
+    from trendscope.operators import explore as E
+    from trendscope.plans import oracle
+    n = max(map(len, TYPED.values()))
+    rows = [tuple(v[i] if i < len(v) else None for v in TYPED.values()) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in TYPED))
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE planted ({', '.join(f'{c} VARCHAR' for c in TYPED)})")
+    con.executemany(f"INSERT INTO planted VALUES ({', '.join('?' * len(TYPED))})", rows)
+    want = {r[0]: r[1:] for r in con.execute(oracle.column_types("planted", list(TYPED))).fetchall()}
+    got = {r["column_name"]: (r["column_type"], r["n_values"]) for r in E.profile_types(df).collect()}
+    assert got == want
+    assert {c: got[c][0] for c in ("no_date", "one_bad_date", "big", "line_end", "mixed", "none")} == {
+        "no_date": "string", "one_bad_date": "string", "big": "bigint", "line_end": "bigint", "mixed": "double", "none": "void"}
+    parts = [E.type_masks(spark.createDataFrame([r], df.schema)) for r in rows]  # masks of parts merge
+    merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    assert sorted(E.types_of(merged).collect()) == sorted(E.profile_types(df).collect())

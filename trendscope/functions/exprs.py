@@ -36,6 +36,9 @@ TS_PATTERN = (r"^[\t\n\x0B\f\r ]*(\d{1,6})([-/\\ ])(\d{1,2})\2(\d{1,2})"
 # Accepted numbers: single underscores between digits, a fraction, an exponent.
 NUMBER_PATTERN = (r"^[\t\n\x0B\f\r ]*[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)"
                   r"(?:[eE][+-]?\d+(?:_\d+)*)?[\t\n\x0B\f\r ]*\z")
+# Words that the reference's casts take as doubles and booleans, besides numbers.
+DOUBLE_WORDS = ["nan", "+nan", "-nan", "inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
+BOOLEAN_WORDS = ["true", "false", "t", "f", "yes", "no", "y", "n", "1", "0"]
 # Leading '#' runs and quotes of tags.
 LEADING_HASHES = r"^#+"
 LEADING_QUOTES, TRAILING_QUOTES = r'^"+', r'"+\z'
@@ -128,6 +131,27 @@ def to_bool(col) -> Column:
     return _c(col).try_cast("boolean")
 
 
+# Types that a text may be read as, the narrowest first; a mask holds the bit of each.
+TYPE_BITS = {"bigint": 1, "double": 2, "boolean": 4, "date": 8, "timestamp": 16}
+
+
+def type_mask(col) -> Column:
+    """The types whose safe cast takes the text, as bits: bigint without fraction or exponent, double,
+    boolean, a date without a time (with '.' as C1 takes it), timestamp. White space around a
+    number is no matter, as in the casts. NULL for NULL."""
+    s = _c(col)
+    text = F.btrim(s, F.lit("\t\n\x0b\f\r "))
+    bit = lambda test, name: F.when(test, F.lit(TYPE_BITS[name])).otherwise(0)
+    boolean = bit(F.lower(s).isin(BOOLEAN_WORDS), "boolean")
+    whole = bit((F.translate(s, ".eE", "") == s) & to_long(s).isNotNull(), "bigint")
+    # a number is no date; a date starts with a digit
+    times = bit((F.translate(s, ":", "") == s) & parse_trending_date(s).isNotNull(), "date") + bit(to_ts(s).isNotNull(), "timestamp")
+    digits = F.when(s.rlike(NUMBER_PATTERN), whole + F.lit(TYPE_BITS["double"]) + boolean).otherwise(times)
+    words = bit(F.lower(text).isin(DOUBLE_WORDS), "double") + boolean
+    return F.when(s.isNotNull(), F.when(_starts_between(text, "+", "9") & (F.length(text) > 0), F.when(
+        F.lower(text).isin(DOUBLE_WORDS), F.lit(TYPE_BITS["double"])).otherwise(digits)).otherwise(words))
+
+
 # --- string helpers ------------------------------------------------------------------------
 
 def trim_zs(col) -> Column:

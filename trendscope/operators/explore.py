@@ -308,35 +308,28 @@ def profile_missing(df: DataFrame, n: int = PROFILE_TOP_N) -> DataFrame:
     return top_k(out, [F.col("pct_missing").desc_nulls_last()], n)
 
 
-# Shape of a column's text, the first that all its values have.
-TYPE_SHAPES = {
-    "bigint": r"^[+-]?[0-9]{1,18}$",
-    "double": r"^[+-]?[0-9]+[.][0-9]+$",
-    "boolean": r"^(true|false|True|False)$",
-    "date": r"^[0-9]{4}[-.][0-9]{2}[-.][0-9]{2}$",
-    "timestamp": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}Z?$",
-}
+def type_masks(df: DataFrame) -> DataFrame:
+    """Per text column the types that the safe casts of all its non-NULL values allow, as a bit
+    mask (``exprs.TYPE_BITS``), and the count of these values. All rows, one pass. Masks of
+    parts of a table (months, files) merge: ``types_of`` takes their union."""
+    row = df.agg(*[F.struct(F.lit(c).alias("column_name"), F.bit_and(X.type_mask(c)).alias("mask"),
+                            F.count(c).alias("n_values")).alias(f"_{i}") for i, c in enumerate(df.columns)])
+    return row.select(F.explode(F.array(*row.columns)).alias("r")).select("r.*")
+
+
+def types_of(masks: DataFrame) -> DataFrame:
+    """The narrowest type that is left of the masks of a column: 'double' also where some values
+    are whole, 'string' where no type takes all, 'void' without values."""
+    merged = masks.groupBy("column_name").agg(F.bit_and("mask").alias("mask"), F.sum("n_values").alias("n_values"))
+    kind = F.when(F.col("n_values") == 0, F.lit("void"))
+    for name, bit in X.TYPE_BITS.items():
+        kind = kind.when(F.col("mask").bitwiseAND(F.lit(bit)) != 0, F.lit(name))
+    return merged.select("column_name", kind.otherwise(F.lit("string")).alias("column_type"), "n_values")
 
 
 def profile_types(df: DataFrame) -> DataFrame:
-    """For every text column the type that all its non-NULL values parse to ('double'
-    also where some are whole), else 'string'; 'void' without values. All rows, one pass."""
-    def fits(c: str, kind: str) -> Column:
-        shape = F.col(c).rlike(TYPE_SHAPES[kind])
-        return shape | F.col(c).rlike(TYPE_SHAPES["bigint"]) if kind == "double" else shape
-
-    named = {(c, k): f"_{i}_{k}" for i, c in enumerate(df.columns) for k in TYPE_SHAPES}
-    row = df.agg(*[F.count(c).alias(f"_{i}") for i, c in enumerate(df.columns)],
-                 *[F.bool_and(fits(c, k)).alias(name) for (c, k), name in named.items()])
-
-    def chosen(i: int, c: str) -> Column:
-        out = F.when(F.col(f"_{i}") == 0, F.lit("void"))
-        for k in TYPE_SHAPES:
-            out = out.when(F.col(named[c, k]), F.lit(k))
-        return F.struct(F.lit(c).alias("column_name"), out.otherwise(F.lit("string")).alias("column_type"),
-                        F.col(f"_{i}").alias("n_values"))
-
-    return row.select(F.explode(F.array(*[chosen(i, c) for i, c in enumerate(df.columns)])).alias("r")).select("r.*")
+    """The type of every text column by all its values."""
+    return types_of(type_masks(df))
 
 
 def schema_listing(df: DataFrame) -> list[tuple[str, str]]:

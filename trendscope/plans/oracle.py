@@ -215,3 +215,22 @@ def top_k(inner: str, cols: list[str], keys: list[str], limit: int | None) -> st
     order = ", ".join(keys + [f"{c} ASC NULLS LAST" for c in sorted(cols)])
     lim = f"\nLIMIT {limit}" if limit is not None else ""
     return f"SELECT * FROM (\n{inner}\n) q\nORDER BY {order}{lim}"
+
+
+def column_types(table: str, columns: list[str]) -> str:
+    """The narrowest type that TRY_CAST takes for every value of a text column, one row per column."""
+    tests = {
+        "bigint": "TRY_CAST({c} AS BIGINT) IS NOT NULL AND NOT contains({c}, '.') AND NOT contains(lower({c}), 'e')",
+        "double": "TRY_CAST({c} AS DOUBLE) IS NOT NULL",
+        "boolean": "TRY_CAST({c} AS BOOLEAN) IS NOT NULL",
+        "date": "TRY_CAST(replace({c}, '.', '-') AS DATE) IS NOT NULL AND NOT contains({c}, ':')",
+        "timestamp": "TRY_CAST({c} AS TIMESTAMPTZ) IS NOT NULL",
+    }
+
+    def one(c: str) -> str:
+        cases = "\n".join(f"       WHEN count(*) FILTER (WHERE {c} IS NOT NULL AND NOT ({test.format(c=c)})) = 0 THEN '{kind}'"
+                          for kind, test in tests.items())
+        return (f"SELECT '{c}' AS column_name,\n  CASE WHEN count({c}) = 0 THEN 'void'\n{cases}\n       ELSE 'string' END AS column_type,\n"
+                f"  count({c}) AS n_values FROM {table}")
+
+    return "\nUNION ALL\n".join(one(c) for c in columns)
