@@ -88,6 +88,22 @@ def clean_quality(raw: DataFrame) -> DataFrame:
     )
 
 
+def quality_by(raw: DataFrame, key: str) -> DataFrame:
+    """C7 and C8 per value of ``key`` (an input file), so that they add up over any set of keys: counts, and
+    the months and countries of the clean rows (a few hundred values of each at most)."""
+    checked = _with_checks(raw)
+    keep = F.coalesce(F.col(_DATE).isNotNull() & F.col(_VALID), F.lit(False))
+    count = lambda test: F.count(F.when(test, 1))
+    return checked.groupBy(key).agg(
+        F.count(F.lit(1)).alias("total_raw"),
+        count(F.col(_DATE).isNull()).alias("bad_date_rows"),
+        count(~F.col(_VALID)).alias("invalid_video_id_rows"),
+        count(F.col("video_id").isNull()).alias("null_video_id_rows"),
+        count(keep).alias("total_clean"),
+        F.collect_set(F.when(keep, X.month_of(_DATE))).alias("months"),
+        F.collect_set(F.when(keep, F.col("video_trending_country"))).alias("countries"))
+
+
 def rejects(raw: DataFrame, n: int | None = None) -> DataFrame:
     """Rows failing either rule (5 columns). The whole reject set by default; ``n``
     takes a sample of that size like the reference's debugging print."""

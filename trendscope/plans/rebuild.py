@@ -15,12 +15,19 @@ executor recomputes one stage's tasks, never the chain from the raw file. Everyt
 written under a fresh ``run-<time>`` folder, and only then is a marker of that run created in
 ``_complete``; readers take the newest marker. Nothing is overwritten, so a rebuild that fails
 or is read half-way leaves the previous tables in place (the reference drops first).
+
+A rebuild from files also keeps a manifest: every input file with its size, time, row counts and months.
+``refresh`` compares it with the files there are now, writes the touched months of the
+month-partitioned tables into a new run, and leaves all other months where they are: the run's
+``_months`` says which run holds each month, and readers take the months from there. So an
+appended month costs that month, while readers of earlier runs keep what they read.
 """
 
 from __future__ import annotations
 
 import argparse
 import time
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
@@ -42,6 +49,9 @@ PARTITIONS = {
     "video_month_us": ["month"],
 }
 
+MANIFEST, MONTHS = "_manifest", "_months"   # stored beside a run's tables, by runs from files
+SOURCE_FILE = "source_file"
+
 CORE_TABLES = ["trending_raw", "trending", "video_profile", "video_dim", "video_reach", "video_us_stickiness",
                "us_dates", "channel_dim", "channel_us_daily", "channel_us_alltime", "channel_video_us",
                "video_month_us", "video_days", "us_tag_events_clean",
@@ -69,16 +79,82 @@ def current_run(spark: SparkSession, out_dir: str) -> str:
     return max(runs)
 
 
+def _stored(spark: SparkSession, base: str, name: str) -> DataFrame | None:
+    try:
+        return files.read_table(spark, f"{base}/{name}")
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _month_runs(spark: SparkSession, out_dir: str, run: str) -> dict[str, list]:
+    """Which months of the month-partitioned tables each run holds, for a refreshed run (one row per
+    calendar month); empty for a full rebuild, which holds them all itself."""
+    stored = _stored(spark, f"{out_dir.rstrip('/')}/{run}", MONTHS)
+    out: dict[str, list] = {}
+    for r in stored.orderBy("month").collect() if stored is not None else []:
+        out.setdefault(r["run"], []).append(r["month"])
+    return out
+
+
+def table_parts(spark: SparkSession, out_dir: str, run: str | None = None) -> dict[str, list[tuple[str, list | None]]]:
+    """Where the tables of a run lie: for each name (folder, months or None for all of it)."""
+    run = run or current_run(spark, out_dir)
+    out_dir = out_dir.rstrip("/")
+    held = _month_runs(spark, out_dir, run)
+    files_of = sorted(_file_runs(spark, out_dir, run))
+    parts = {}
+    for name in CORE_TABLES + LEGACY_TABLES:
+        if held and name in PARTITIONS:
+            parts[name] = [(f"{out_dir}/{r}/{name}", months) for r, months in held.items()]
+        elif held and name == "trending_raw":
+            parts[name] = [(f"{out_dir}/{r}/{name}", None) for r in files_of]
+        else:
+            parts[name] = [(f"{out_dir}/{run}/{name}", None)]
+    return parts
+
+
+def _file_runs(spark: SparkSession, out_dir: str, run: str) -> list[str]:
+    """The runs that hold rows of a run's input files."""
+    manifest = _stored(spark, f"{out_dir}/{run}", MANIFEST)
+    return [r["run"] for r in manifest.select("run").distinct().collect()] if manifest is not None else []
+
+
 def load_marts(spark: SparkSession, out_dir: str, run: str | None = None) -> dict[str, DataFrame]:
     """Every stored table of the current (or given) run, by name."""
-    base = f"{out_dir.rstrip('/')}/{run or current_run(spark, out_dir)}"
+    run = run or current_run(spark, out_dir)
     out = {}
-    for name in CORE_TABLES + LEGACY_TABLES:
-        try:
-            out[name] = files.read_table(spark, f"{base}/{name}")
-        except AnalysisException as missing:  # legacy tables are optional
-            if name in CORE_TABLES or missing.getCondition() != "PATH_NOT_FOUND":
+    for name, parts in table_parts(spark, out_dir, run).items():
+        found = []
+        for path, months in parts:
+            try:
+                df = files.read_table(spark, path)
+            except AnalysisException as missing:
+                # legacy tables are optional, and a run may hold no row of a month's table
+                if missing.getCondition() == "PATH_NOT_FOUND" and name in LEGACY_TABLES:
+                    continue
+                if missing.getCondition() == "UNABLE_TO_INFER_SCHEMA" and len(parts) > 1:
+                    continue
                 raise
+            found.append(df if months is None else df.filter(F.col(PARTITIONS[name][0]).isin(months)))
+        if found:
+            out[name] = found[0]
+            for df in found[1:]:
+                out[name] = out[name].unionByName(df)
+    if SOURCE_FILE in out["trending_raw"].columns and len(table_parts(spark, out_dir, run)["trending_raw"]) > 1:
+        live = files.read_table(spark, f"{out_dir.rstrip('/')}/{run}/{MANIFEST}")
+        out["trending_raw"] = _live_rows(spark, out_dir, live)
+    return out
+
+
+def _live_rows(spark: SparkSession, out_dir: str, manifest: DataFrame) -> DataFrame:
+    """Raw rows of the manifest's files: of each run that holds some, the rows of the files listed."""
+    out = None
+    for r in sorted(x["run"] for x in manifest.select("run").distinct().collect()):
+        listed = manifest.filter(F.col("run") == r).select(SOURCE_FILE)
+        rows = files.read_table(spark, f"{out_dir.rstrip('/')}/{r}/trending_raw").join(listed, SOURCE_FILE, "left_semi")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -103,53 +179,68 @@ def create_views(spark: SparkSession, out_dir: str, run: str | None = None) -> l
     """Every stored table of the current (or given) run as a view of the session's catalogue,
     made with CREATE OR REPLACE VIEW over its files. With a metastore the views outlast the
     application; call it again after a rebuild. Returns the view names."""
-    base = f"{out_dir.rstrip('/')}/{run or current_run(spark, out_dir)}"
-    marts = load_marts(spark, out_dir, run)
-    selects = {name: f"SELECT {', '.join(f'`{c}`' for c in df.columns if (name, c) != ('trending', FACT_PARTITION))} "
-                     f"FROM parquet.`{base}/{name}`" for name, df in marts.items()}
+    run = run or current_run(spark, out_dir)
+    marts, places = load_marts(spark, out_dir, run), table_parts(spark, out_dir, run)
+    manifest = f"{out_dir.rstrip('/')}/{run}/{MANIFEST}"
+
+    def one(name: str, path: str, months: list | None, columns: str, among: int) -> str:
+        text = f"SELECT {columns} FROM parquet.`{path}`"
+        if months is not None:
+            listed = ", ".join(f"DATE'{m}'" for m in months)
+            text += f" WHERE `{PARTITIONS[name][0]}` IN ({listed})"
+        elif among > 1:  # raw rows of files that are still there
+            text += (f" WHERE `{SOURCE_FILE}` IN (SELECT `{SOURCE_FILE}` FROM parquet.`{manifest}` "
+                     f"WHERE run = '{path.split('/')[-2]}')")
+        return text
+
+    def all_of(name: str, columns: list[str]) -> str:
+        listed = ", ".join(f"`{c}`" for c in columns)
+        held = [p for p in places[name] if len(places[name]) == 1 or _stored(spark, *p[0].rsplit("/", 1)) is not None]
+        return " UNION ALL ".join(one(name, path, months, listed, len(held)) for path, months in held)
+
+    selects = {name: all_of(name, [c for c in df.columns if (name, c) != ("trending", FACT_PARTITION)])
+               for name, df in marts.items()}
     selects["v_available_dates"] = (
         "SELECT video_trending_country, min(video_trending_date) AS min_date, max(video_trending_date) AS max_date, "
-        f"count(*) AS rows FROM parquet.`{base}/trending` GROUP BY video_trending_country")
-    selects["v_us_dates"] = f"SELECT date AS video_trending_date FROM parquet.`{base}/us_dates`"
+        f"count(*) AS rows FROM ({selects['trending']}) GROUP BY video_trending_country")
+    selects["v_us_dates"] = f"SELECT date AS video_trending_date FROM ({selects['us_dates']})"
     selects["v_us_tag_months_clean"] = (
-        f"SELECT DISTINCT date_format(month, 'yyyy-MM-dd') AS month FROM parquet.`{base}/us_tag_monthly_clean`")
+        f"SELECT DISTINCT date_format(month, 'yyyy-MM-dd') AS month FROM ({selects['us_tag_monthly_clean']})")
     for name, text in selects.items():
         spark.sql(f"CREATE OR REPLACE VIEW `{name}` AS {text}")
     return sorted(selects)
 
 
-def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country: str = DEFAULT_COUNTRY,
-              legacy: bool = False, timings: dict | None = None, parallel_jobs: int = 4) -> dict:
-    """Rebuild every table from ``raw`` (all-text raw rows, or the path of the raw CSV)
-    under ``out_dir``.
-
-    Returns the quality reports (one row each) and the run folder name."""
-    if isinstance(raw, str):
-        raw = files.read_raw(spark, raw)
-    timings = timings if timings is not None else {}
+def _new_run() -> str:
     now = time.time()
-    run = time.strftime("run-%Y%m%d-%H%M%S", time.gmtime(now)) + f"-{int(now * 1000) % 1000:03d}"
-    base = f"{out_dir.rstrip('/')}/{run}"
+    return time.strftime("run-%Y%m%d-%H%M%S", time.gmtime(now)) + f"-{int(now * 1000) % 1000:03d}"
+
 
+def _writer(spark: SparkSession, base: str, timings: dict) -> Callable[..., DataFrame]:
     def write(name: str, df: DataFrame, **kw) -> DataFrame:
         t0 = time.time()
         files.materialize(df, f"{base}/{name}", partition_by=PARTITIONS.get(name), **kw)
         timings[f"build_{name}"] = round(time.time() - t0, 3)
-        return files.read_table(spark, f"{base}/{name}")
+        # the schema is known, and a month-partitioned table may have no file at all
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+    return write
 
-    raw_p = write("trending_raw", raw)
-    t0 = time.time()
-    report = {
-        "raw_quality": I.raw_quality(raw_p).first().asDict(),
-        "clean_quality": I.clean_quality(raw_p).first().asDict(),
-    }
-    timings["build_quality"] = round(time.time() - t0, 3)
 
+def _write_fact(write: Callable[..., DataFrame], fact: DataFrame) -> DataFrame:
     # Rebalance by month, then sort by FACT_CLUSTER inside each task: a task writes one month
     # folder (no tasks x months small files), AQE splits a busy month across tasks, and row
     # groups are ordered by day within the month so day predicates skip the rest.
-    fact = write("trending", I.clean(raw_p).withColumn(FACT_PARTITION, X.month_of("video_trending_date")),
-                 rebalance_by=[FACT_PARTITION], sort_by=FACT_CLUSTER)
+    return write("trending", fact, rebalance_by=[FACT_PARTITION], sort_by=FACT_CLUSTER)
+
+
+def _dated(trending: DataFrame) -> DataFrame:
+    return trending.withColumn(FACT_PARTITION, X.month_of("video_trending_date"))
+
+
+def _write_marts(write: Callable[..., DataFrame], fact: DataFrame, months_fact: DataFrame, country: str, legacy: bool,
+                 timings: dict, parallel_jobs: int) -> None:
+    """All marts. Those that are partitioned by month come from ``months_fact`` (the fact, or its
+    touched months), the others from the whole ``fact``."""
     def video_marts() -> None:
         # The three per-video marts come from one aggregation of the fact (stored once),
         # then are projected from that small per-video table.
@@ -172,15 +263,15 @@ def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country:
         # resolved from it instead of scanning the fact on every request.
         write("us_dates", M.country_dates(fact, country))
         # Per-video figures of the tag pages: a request reads one month of per-video rows.
-        write("video_month_us", M.video_month_stats(fact, country), rebalance_by=["month"], sort_by=["month", "video_id"])
+        write("video_month_us", M.video_month_stats(months_fact, country), rebalance_by=["month"], sort_by=["month", "video_id"])
         write("video_days", M.video_days(fact),
               range_by=["video_id"], sort_by=["video_id", "video_trending_country", "video_trending_date"])
 
     def tag_marts() -> None:
-        events = write("us_tag_events_clean", T.tag_events_clean(fact, country),
+        events = write("us_tag_events_clean", T.tag_events_clean(months_fact, country),
                        rebalance_by=["month"], sort_by=["month", "tag", "video_id"])
         # sorted by tag inside each month, so a tag's series reads one row group per month
-        write("us_tag_monthly_clean", T.tag_monthly_clean(events, fact, country),
+        write("us_tag_monthly_clean", T.tag_monthly_clean(events, months_fact, country),
               rebalance_by=["month"], sort_by=["month", "tag"])
 
     def legacy_marts() -> None:
@@ -192,7 +283,7 @@ def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country:
 
     # The groups only read the stored fact, so they are submitted as concurrent Spark jobs:
     # small mart jobs would otherwise leave executors idle one after the other. Any failure
-    # is raised here, before the switch below.
+    # is raised here, before the run is marked as complete.
     groups = [video_marts, channel_marts, page_marts, tag_marts] + ([legacy_marts] if legacy else [])
     t0 = time.time()
     with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
@@ -200,12 +291,127 @@ def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country:
             future.result()
     timings["build_marts_wall"] = round(time.time() - t0, 3)
 
+
+def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country: str = DEFAULT_COUNTRY,
+              legacy: bool = False, timings: dict | None = None, parallel_jobs: int = 4) -> dict:
+    """Rebuild every table from ``raw`` (all-text raw rows, or the path of the raw CSV)
+    under ``out_dir``. From a path, the run keeps the manifest that ``refresh`` needs.
+
+    Returns the quality reports (one row each) and the run folder name."""
+    timings = timings if timings is not None else {}
+    run = _new_run()
+    base = f"{out_dir.rstrip('/')}/{run}"
+    write = _writer(spark, base, timings)
+    listed = None
+    if isinstance(raw, str):
+        listed = files.listing(spark, raw)
+        raw = _sourced(files.read_raw(spark, raw))
+
+    raw_p = write("trending_raw", raw)
+    t0 = time.time()
+    if listed is not None:
+        manifest = _with_counts(listed, raw_p, run)
+        files.materialize(manifest, f"{base}/{MANIFEST}")
+        report = quality_of(files.read_table(spark, f"{base}/{MANIFEST}"))
+    else:
+        report = {
+            "raw_quality": I.raw_quality(raw_p).first().asDict(),
+            "clean_quality": I.clean_quality(raw_p).first().asDict(),
+        }
+    timings["build_quality"] = round(time.time() - t0, 3)
+
+    fact = _write_fact(write, _dated(I.clean(raw_p)))
+    _write_marts(write, fact, fact, country, legacy, timings, parallel_jobs)
+
     # Readers see the new run only after every table is written.
     complete_run(spark, out_dir, run)
     report["run"] = run
     return report
 
 
+# Refresh by month --------------------------------------------------------------------------------
+
+def _sourced(raw: DataFrame) -> DataFrame:
+    return raw.select("*", F.col("_metadata.file_path").alias(SOURCE_FILE))
+
+
+def _with_counts(listed: DataFrame, raw: DataFrame, run: str) -> DataFrame:
+    """Manifest rows of the files ``listed``, whose raw rows ``raw`` this run holds: counts of C7 and C8,
+    months and countries of the clean rows. One aggregation; its rows are as many as the files."""
+    counts = I.quality_by(raw, SOURCE_FILE)
+    return listed.join(counts, SOURCE_FILE, "left").withColumn("run", F.lit(run))
+
+
+def quality_of(manifest: DataFrame) -> dict:
+    """C7 and C8 of all files of a manifest: sums of the files' counts."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    r = manifest.agg(*[total(c) for c in ("total_raw", "bad_date_rows", "invalid_video_id_rows", "null_video_id_rows", "total_clean")],
+                     F.size(F.array_distinct(F.flatten(F.collect_set("countries")))).alias("distinct_countries")).first()
+    raw = {c: r[c] for c in ("total_raw", "bad_date_rows", "invalid_video_id_rows", "null_video_id_rows")}
+    if not r["total_raw"]:  # sums of no rows are NULL, as in the reports
+        raw |= {c: None for c in list(raw)[1:]}
+    return {"raw_quality": raw, "clean_quality": {
+        "total_clean": r["total_clean"], "dropped": r["total_raw"] - r["total_clean"],
+        "distinct_countries": max(r["distinct_countries"], 0), "null_date_clean": 0}}
+
+
+def refresh(spark: SparkSession, raw_path: str, out_dir: str, country: str = DEFAULT_COUNTRY, legacy: bool = False,
+            timings: dict | None = None, parallel_jobs: int = 4) -> dict:
+    """Bring the tables up to the files that are under ``raw_path`` now: the result is that of
+    ``build_all``, and months that no new, changed or removed file touches are neither read for, nor
+    written in, the month-partitioned tables. Where files were only added, a touched month is the stored
+    one and the new rows; else its rows come from the stored raw copies of the files that are left.
+    The small tables over all months are made anew from the whole fact.
+
+    The driver holds the new files' paths (as a scan of them does) and the calendar months. Returns the
+    quality reports, the run and the months written; without a difference the current run stays."""
+    timings = timings if timings is not None else {}
+    out_dir = out_dir.rstrip("/")
+    was = current_run(spark, out_dir)
+    old = _stored(spark, f"{out_dir}/{was}", MANIFEST)
+    if old is None:
+        raise ValueError(f"{was} was not built from files: run build_all on the folder first")
+    listed, same = files.listing(spark, raw_path), files.LISTED
+    added, gone = listed.join(old, same, "left_anti"), old.join(listed, same, "left_anti")
+    paths = [r[SOURCE_FILE] for r in added.select(SOURCE_FILE).collect()]
+    gone_months = _months_of(gone)
+    n_gone = gone.count()
+    if not paths and not n_gone:
+        return {**quality_of(old), "run": was, "months": []}
+
+    run = _new_run()
+    base = f"{out_dir}/{run}"
+    write = _writer(spark, base, timings)
+    fresh = _sourced(files.read_raw(spark, paths)) if paths else files.read_table(spark, f"{out_dir}/{was}/trending_raw").limit(0)
+    fresh = write("trending_raw", fresh)
+    kept = old.join(listed, same, "left_semi")
+    files.materialize(kept.unionByName(_with_counts(added, fresh, run)), f"{base}/{MANIFEST}")
+    manifest = files.read_table(spark, f"{base}/{MANIFEST}")
+    months = sorted({*gone_months, *_months_of(manifest.filter(F.col("run") == run))})
+
+    month = F.col(FACT_PARTITION)
+    was_fact = load_marts(spark, out_dir, was)["trending"]
+    if n_gone:
+        rows = _dated(I.clean(_live_rows(spark, out_dir, manifest)))
+    else:
+        rows = was_fact.unionByName(_dated(I.clean(fresh)))
+    touched = _write_fact(write, rows.filter(month.isin(months)))
+    fact = was_fact.filter(~month.isin(months)).unionByName(touched)
+
+    before = _month_runs(spark, out_dir, was) or {was: [r[0] for r in was_fact.select(month).distinct().collect()]}
+    after = [(m, r) for r, held in before.items() for m in held if m not in months]
+    after += [(r[0], run) for r in touched.select(month).distinct().collect()]
+    spark.createDataFrame(after, "month date, run string").coalesce(1).write.parquet(f"{base}/{MONTHS}")
+
+    _write_marts(write, fact, touched, country, legacy, timings, parallel_jobs)
+    complete_run(spark, out_dir, run)
+    return {**quality_of(manifest), "run": run, "months": months}
+
+
+def _months_of(manifest: DataFrame) -> list:
+    return [r["m"] for r in manifest.select(F.explode("months").alias("m")).distinct().collect()]
+
+
 def main(argv=None) -> None:
     from trendscope.session import submitted_session
     from trendscope.sources.bridge import trending_raw
@@ -216,12 +422,14 @@ def main(argv=None) -> None:
     p.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     p.add_argument("--country", default=DEFAULT_COUNTRY)
     p.add_argument("--legacy", action="store_true", help="also build the legacy tag tables")
+    p.add_argument("--refresh", action="store_true", help="with --csv: write only the months that changed files touch")
     args = p.parse_args(argv)
+    if args.refresh and not args.csv:
+        p.error("--refresh needs --csv")
     spark = submitted_session(args.csv or args.tables)
-    raw = files.read_raw(spark, args.csv) if args.csv else trending_raw(spark, args.tables)
     timings: dict = {}
-    report = build_all(spark, raw, args.out, args.country, args.legacy, timings)
-    print(report)
+    build = refresh if args.refresh else build_all
+    print(build(spark, args.csv or trending_raw(spark, args.tables), args.out, args.country, args.legacy, timings))
     print(timings)
 
 

@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trendscope.schema import RAW_SCHEMA
 
@@ -24,7 +25,7 @@ def raw_options(mode: str = "FAILFAST", multi_line: bool = True) -> dict[str, st
             "enforceSchema": "false"}
 
 
-def read_raw(spark: SparkSession, path: str, mode: str = "FAILFAST", multi_line: bool = True) -> DataFrame:
+def read_raw(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", multi_line: bool = True) -> DataFrame:
     """Raw CSV with header; every column read as text (types come from ``clean``).
 
     ``mode='FAILFAST'`` stops on a structurally malformed line, as the reference's loader
@@ -35,6 +36,31 @@ def read_raw(spark: SparkSession, path: str, mode: str = "FAILFAST", multi_line:
     return spark.read.schema(RAW_SCHEMA).options(**raw_options(mode, multi_line)).csv(path)
 
 
+# Columns that identify a version of an input file.
+LISTED = ["source_file", "n_bytes", "modified"]
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """Every file under ``path`` with its size and time of modification. A Spark job that lists and
+    doesn't read: the files' content isn't among the columns."""
+    return spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("length").alias("n_bytes"),
+        F.col("modificationTime").alias("modified"))
+
+
+def scan_state(spark: SparkSession, df: DataFrame) -> tuple[int, int, int]:
+    """Count, total size and a digest of path, size and time of modification of all files that the
+    scan ``df`` reads, as Spark's own file index has listed them. The digest is taken in the JVM:
+    the calls don't follow the number of files. Times of access, which reading changes, are left out."""
+    jvm = spark.sparkContext._jvm
+    index = df._jdf.queryExecution().analyzed().relation().location()
+    found = index.allFiles()
+    text = jvm.java.lang.StringBuilder()
+    text.append(found)
+    parts = jvm.java.util.regex.Pattern.compile("access_time=[0-9]+").splitAsStream(text)
+    return found.size(), index.sizeInBytes(), parts.toList().hashCode()
+
+
 def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None,
                 sort_by: list[str] | None = None, range_by: list[str] | None = None,
                 rebalance_by: list[str] | None = None) -> None:
@@ -80,7 +106,6 @@ def monthly_source(spark: SparkSession, clean_name: str = "us_tag_monthly_clean"
                    legacy_name: str = "us_tag_monthly") -> DataFrame:
     """The clean monthly tag table when it is registered, else the legacy one, both
     projected to (month, tag, video_share, distinct_videos, total_videos)."""
-    from pyspark.sql import functions as F
     if table_exists(spark, clean_name):
         return spark.table(clean_name).select(
             "month", "tag", "video_share", "distinct_videos",
