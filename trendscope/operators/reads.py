@@ -456,27 +456,28 @@ def tag_videos_all(events: DataFrame, trending: DataFrame, dim: DataFrame, tag:
         raise ValueError("tag must not be empty")
     key = X.lookup_tag(F.lit(tag))
     m = month_value(monthly if monthly is not None else events, month)
-    vids = events.filter((F.col("month") == m) & (F.col("tag") == key)).select("video_id").distinct()
-    if stats is not None:
-        per_video = (stats.filter(F.col("month") == m).drop("month")
-                     .join(vids, "video_id", "left_semi"))
-    else:
-        # The month as a date range (pushed to the scan), not trunc(date) = month; on the
-        # stored fact also as the partition value, so only that month's folder is read.
-        fact = in_country(trending, country)
-        if FACT_PARTITION in trending.columns:
-            fact = fact.filter(F.col(FACT_PARTITION) == m)
-        rows = (fact.filter((F.col(DATE) >= m) & (F.col(DATE) < F.add_months(m, 1)))
-                .select("video_id", DATE, "video_view_count", "video_like_count", "video_comment_count")
-                .join(vids, "video_id", "left_semi"))
-        per_video = rows.groupBy("video_id").agg(
-            F.max("video_view_count").alias("max_views"),
-            F.max("video_like_count").alias("max_likes"),
-            F.max("video_comment_count").alias("max_comments"),
-            F.count_distinct(DATE).alias("days_trended_in_month"),
-            F.min(DATE).alias("first_date"),
-            F.max(DATE).alias("last_date"))
+    vids = events.filter((F.col("month") == m) & (F.col("tag") == key)).select("video_id")
     dim_cols = dim.select("video_id", "video_title", "channel_id", "channel_title", "video_default_thumbnail")
+    if stats is not None:
+        # the dimension first: in buckets of the video id it stays where it is, and what is left
+        # of it meets the month's rows in the same partitions
+        tagged = dim_cols.join(vids, "video_id", "left_semi")
+        return stats.filter(F.col("month") == m).drop("month").join(tagged, "video_id", "inner").select(*TAG_VIDEO_COLS)
+    # The month as a date range (pushed to the scan), not trunc(date) = month; on the
+    # stored fact also as the partition value, so only that month's folder is read.
+    fact = in_country(trending, country)
+    if FACT_PARTITION in trending.columns:
+        fact = fact.filter(F.col(FACT_PARTITION) == m)
+    rows = (fact.filter((F.col(DATE) >= m) & (F.col(DATE) < F.add_months(m, 1)))
+            .select("video_id", DATE, "video_view_count", "video_like_count", "video_comment_count")
+            .join(vids, "video_id", "left_semi"))
+    per_video = rows.groupBy("video_id").agg(
+        F.max("video_view_count").alias("max_views"),
+        F.max("video_like_count").alias("max_likes"),
+        F.max("video_comment_count").alias("max_comments"),
+        F.count_distinct(DATE).alias("days_trended_in_month"),
+        F.min(DATE).alias("first_date"),
+        F.max(DATE).alias("last_date"))
     return per_video.join(dim_cols, "video_id", "inner").select(*TAG_VIDEO_COLS)
 
 

@@ -39,6 +39,7 @@ from trendscope.operators import ingest as I
 from trendscope.operators import marts as M
 from trendscope.operators import tags as T
 from trendscope.schema import DEFAULT_COUNTRY, FACT_CLUSTER, FACT_PARTITION
+from trendscope.session import path_bytes
 from trendscope.sources import files
 
 # Stored table name -> partition columns (tables absent here are small and unpartitioned).
@@ -49,7 +50,13 @@ PARTITIONS = {
     "video_month_us": ["month"],
 }
 
+# Per-video marts, stored in buckets of the video id: read queries join them with each other and with
+# rows of the fact on that id, and the marts' side is not shuffled for it.
+BUCKETED = {"video_dim": "video_id", "video_reach": "video_id", "video_us_stickiness": "video_id"}
+BUCKET_BYTES = 128 << 20   # of the profile that the per-video marts are taken from, in a bucket
+
 MANIFEST, MONTHS = "_manifest", "_months"   # stored beside a run's tables, by runs from files
+BUCKETS = "_buckets"                        # the bucket count of a run's bucketed marts
 SOURCE_FILE = "source_file"
 
 CORE_TABLES = ["trending_raw", "trending", "video_profile", "video_dim", "video_reach", "video_us_stickiness",
@@ -124,12 +131,17 @@ def _file_runs(spark: SparkSession, out_dir: str, run: str) -> list[str]:
 def load_marts(spark: SparkSession, out_dir: str, run: str | None = None) -> dict[str, DataFrame]:
     """Every stored table of the current (or given) run, by name."""
     run = run or current_run(spark, out_dir)
+    counted = _stored(spark, f"{out_dir.rstrip('/')}/{run}", BUCKETS)
+    buckets = counted.first()[0] if counted is not None else None
     out = {}
     for name, parts in table_parts(spark, out_dir, run).items():
         found = []
         for path, months in parts:
             try:
-                df = files.read_table(spark, path)
+                if name in BUCKETED and buckets:
+                    df = files.read_bucketed(spark, path, BUCKETED[name], buckets)
+                else:
+                    df = files.read_table(spark, path)
             except AnalysisException as missing:
                 # legacy tables are optional, and a run may hold no row of a month's table
                 if missing.getCondition() == "PATH_NOT_FOUND" and name in LEGACY_TABLES:
@@ -237,7 +249,12 @@ def _dated(trending: DataFrame) -> DataFrame:
     return trending.withColumn(FACT_PARTITION, X.month_of("video_trending_date"))
 
 
-def _write_marts(write: Callable[..., DataFrame], fact: DataFrame, months_fact: DataFrame, country: str, legacy: bool,
+def bucket_count(n_bytes: int) -> int:
+    """Buckets of about ``BUCKET_BYTES``: a power of two, so that runs of other sizes still fit each other."""
+    return 1 << max(0, -(-n_bytes // BUCKET_BYTES) - 1).bit_length()
+
+
+def _write_marts(spark: SparkSession, base: str, write: Callable[..., DataFrame], fact: DataFrame, months_fact: DataFrame, country: str, legacy: bool,
                  timings: dict, parallel_jobs: int) -> None:
     """All marts. Those that are partitioned by month come from ``months_fact`` (the fact, or its
     touched months), the others from the whole ``fact``."""
@@ -245,9 +262,13 @@ def _write_marts(write: Callable[..., DataFrame], fact: DataFrame, months_fact:
         # The three per-video marts come from one aggregation of the fact (stored once),
         # then are projected from that small per-video table.
         profile = write("video_profile", M.video_profile(fact, country))
-        write("video_dim", M.video_dim_of(profile))
-        write("video_reach", M.video_reach_of(profile))
-        write("video_us_stickiness", M.video_stickiness_of(profile))
+        buckets = bucket_count(path_bytes(spark, f"{base}/video_profile"))
+        for name, df in (("video_dim", M.video_dim_of(profile)), ("video_reach", M.video_reach_of(profile)),
+                         ("video_us_stickiness", M.video_stickiness_of(profile))):
+            t0 = time.time()
+            files.materialize_bucketed(df, f"{base}/{name}", BUCKETED[name], buckets)
+            timings[f"build_{name}"] = round(time.time() - t0, 3)
+        spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{base}/{BUCKETS}")
 
     def channel_marts() -> None:
         write("channel_dim", M.channel_dim(fact))
@@ -321,7 +342,7 @@ def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country:
     timings["build_quality"] = round(time.time() - t0, 3)
 
     fact = _write_fact(write, _dated(I.clean(raw_p)))
-    _write_marts(write, fact, fact, country, legacy, timings, parallel_jobs)
+    _write_marts(spark, base, write, fact, fact, country, legacy, timings, parallel_jobs)
 
     # Readers see the new run only after every table is written.
     complete_run(spark, out_dir, run)
@@ -403,7 +424,7 @@ def refresh(spark: SparkSession, raw_path: str, out_dir: str, country: str = DEF
     after += [(r[0], run) for r in touched.select(month).distinct().collect()]
     spark.createDataFrame(after, "month date, run string").coalesce(1).write.parquet(f"{base}/{MONTHS}")
 
-    _write_marts(write, fact, touched, country, legacy, timings, parallel_jobs)
+    _write_marts(spark, base, write, fact, touched, country, legacy, timings, parallel_jobs)
     complete_run(spark, out_dir, run)
     return {**quality_of(manifest), "run": run, "months": months}
 

@@ -12,6 +12,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,31 @@ def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None,
     writer.parquet(path)
 
 
+def bucket_table(path: str) -> str:
+    """Catalogue name of the bucketed table at ``path``: the catalogue holds the bucket count, which
+    Parquet files don't."""
+    run, name = path.rstrip("/").split("/")[-2:]
+    return f"trendscope_{zlib.crc32(path.encode()):08x}_{run}_{name}".replace("-", "_")
+
+
+def materialize_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """S3: write ``df`` as one file per bucket of ``key``, sorted by it, as an external table. A join or
+    aggregation on the key reads it without a shuffle of this side, whatever its size; a join sorts
+    each bucket, which is in order already."""
+    (df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(buckets, key).sortBy(key).saveAsTable(bucket_table(path)))
+
+
+def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """A bucketed table, registered in the session's catalogue where it isn't yet."""
+    name = bucket_table(path)
+    if not spark.catalog.tableExists(name):
+        columns = spark.read.parquet(path).schema.toDDL()
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+                  f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Read-only scan of a stored table."""
     return spark.read.parquet(path)
