@@ -75,17 +75,22 @@ def video_profile(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFr
 
     A video without rows in ``country`` has ``country_rows = 0`` and NULL stickiness;
     ``video_stickiness_of`` drops those rows, which gives exactly V4's set."""
-    here = F.col(COUNTRY) == F.lit(country)
     places = (trending.groupBy("video_id", COUNTRY, DATE).agg(F.count(F.lit(1)).alias("rows"))
               .groupBy("video_id", COUNTRY).agg(F.count(DATE).alias("days"), F.min(DATE).alias("first"),
                                                 F.max(DATE).alias("last"), F.sum("rows").alias("rows")))
+    return profile_of(places, video_dim(trending), country)
+
+
+def profile_of(places: DataFrame, dim: DataFrame, country: str = DEFAULT_COUNTRY) -> DataFrame:
+    """The profile from V2 and one row per (video, country): days, first, last, rows."""
+    here = F.col(COUNTRY) == F.lit(country)
     figures = places.groupBy("video_id").agg(
         F.count(COUNTRY).alias("countries_count"),
         F.coalesce(F.sum(F.when(here, F.col("days"))), F.lit(0)).alias("days_trended_us"),
         F.min(F.when(here, F.col("first"))).alias("first_trending_us"),
         F.max(F.when(here, F.col("last"))).alias("last_trending_us"),
         F.coalesce(F.sum(F.when(here, F.col("rows"))), F.lit(0)).alias("country_rows"))
-    return video_dim(trending).join(figures, "video_id")
+    return dim.join(figures, "video_id")
 
 
 def video_dim_of(profile: DataFrame) -> DataFrame:

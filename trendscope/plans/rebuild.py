@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from trendscope.functions import exprs as X
 from trendscope.operators import ingest as I
 from trendscope.operators import marts as M
+from trendscope.operators import partials as P
 from trendscope.operators import tags as T
 from trendscope.schema import DEFAULT_COUNTRY, FACT_CLUSTER, FACT_PARTITION
 from trendscope.session import path_bytes
@@ -48,7 +49,17 @@ PARTITIONS = {
     "us_tag_events_clean": ["month"],
     "us_tag_monthly_clean": ["month"],
     "video_month_us": ["month"],
+    "video_days": ["month"],
+    "channel_us_daily": ["month"],
+    # month partials, from which the tables over all months are merged
+    "video_places": ["month"],
+    "video_versions": ["month"],
+    "channel_versions": ["month"],
+    "channel_video_months": ["month"],
+    "country_days": ["month"],
 }
+# Tables whose partition column is for storage only.
+HIDDEN_MONTH = ("video_days", "channel_us_daily")
 
 # Per-video marts, stored in buckets of the video id: read queries join them with each other and with
 # rows of the fact on that id, and the marts' side is not shuffled for it.
@@ -61,8 +72,8 @@ SOURCE_FILE = "source_file"
 
 CORE_TABLES = ["trending_raw", "trending", "video_profile", "video_dim", "video_reach", "video_us_stickiness",
                "us_dates", "channel_dim", "channel_us_daily", "channel_us_alltime", "channel_video_us",
-               "video_month_us", "video_days", "us_tag_events_clean",
-               "us_tag_monthly_clean"]
+               "video_month_us", "video_days", "video_places", "video_versions", "channel_versions",
+               "channel_video_months", "country_days", "us_tag_events_clean", "us_tag_monthly_clean"]
 LEGACY_TABLES = ["us_tag_events", "us_month_totals", "us_tag_monthly", "us_tag_movers_monthly"]
 
 
@@ -128,6 +139,22 @@ def _file_runs(spark: SparkSession, out_dir: str, run: str) -> list[str]:
     return [r["run"] for r in manifest.select("run").distinct().collect()] if manifest is not None else []
 
 
+def _parts_of(spark: SparkSession, out_dir: str, run: str) -> Callable[[str], DataFrame]:
+    """The month-partitioned tables of a run, with their partition column."""
+    places = table_parts(spark, out_dir, run)
+
+    def read(name: str) -> DataFrame:
+        out = None
+        for path, months in places[name]:
+            df = _stored(spark, *path.rsplit("/", 1))
+            if df is not None:
+                df = df if months is None else df.filter(F.col(PARTITIONS[name][0]).isin(months))
+                out = df if out is None else out.unionByName(df)
+        return out
+
+    return read
+
+
 def load_marts(spark: SparkSession, out_dir: str, run: str | None = None) -> dict[str, DataFrame]:
     """Every stored table of the current (or given) run, by name."""
     run = run or current_run(spark, out_dir)
@@ -154,6 +181,8 @@ def load_marts(spark: SparkSession, out_dir: str, run: str | None = None) -> dic
             out[name] = found[0]
             for df in found[1:]:
                 out[name] = out[name].unionByName(df)
+            if name in HIDDEN_MONTH:
+                out[name] = out[name].drop(*PARTITIONS[name])
     if SOURCE_FILE in out["trending_raw"].columns and len(table_parts(spark, out_dir, run)["trending_raw"]) > 1:
         live = files.read_table(spark, f"{out_dir.rstrip('/')}/{run}/{MANIFEST}")
         out["trending_raw"] = _live_rows(spark, out_dir, live)
@@ -179,7 +208,7 @@ def register_marts(spark: SparkSession, marts: dict[str, DataFrame],
     views = dict(marts)
     fact = marts["trending"].drop(FACT_PARTITION)
     views["trending"] = fact
-    views["v_available_dates"] = M.available_dates(fact)
+    views["v_available_dates"] = P.available_dates(marts["country_days"])
     views["v_us_dates"] = marts["us_dates"].select(F.col("date").alias("video_trending_date"))
     views["v_us_tag_months_clean"] = marts["us_tag_monthly_clean"].select(
         F.date_format("month", "yyyy-MM-dd").alias("month")).distinct()
@@ -214,7 +243,7 @@ def create_views(spark: SparkSession, out_dir: str, run: str | None = None) -> l
                for name, df in marts.items()}
     selects["v_available_dates"] = (
         "SELECT video_trending_country, min(video_trending_date) AS min_date, max(video_trending_date) AS max_date, "
-        f"count(*) AS rows FROM ({selects['trending']}) GROUP BY video_trending_country")
+        f"sum(rows) AS rows FROM ({selects['country_days']}) GROUP BY video_trending_country")
     selects["v_us_dates"] = f"SELECT date AS video_trending_date FROM ({selects['us_dates']})"
     selects["v_us_tag_months_clean"] = (
         f"SELECT DISTINCT date_format(month, 'yyyy-MM-dd') AS month FROM ({selects['us_tag_monthly_clean']})")
@@ -254,14 +283,22 @@ def bucket_count(n_bytes: int) -> int:
     return 1 << max(0, -(-n_bytes // BUCKET_BYTES) - 1).bit_length()
 
 
-def _write_marts(spark: SparkSession, base: str, write: Callable[..., DataFrame], fact: DataFrame, months_fact: DataFrame, country: str, legacy: bool,
-                 timings: dict, parallel_jobs: int) -> None:
-    """All marts. Those that are partitioned by month come from ``months_fact`` (the fact, or its
-    touched months), the others from the whole ``fact``."""
+def _write_marts(spark: SparkSession, base: str, write: Callable[..., DataFrame], fact: DataFrame, months_fact: DataFrame,
+                 others: Callable[[str], DataFrame] | None, country: str, legacy: bool, timings: dict,
+                 parallel_jobs: int) -> None:
+    """All marts. Those that are partitioned by month come from ``months_fact`` (the fact, or its touched
+    months); the others are merged from the month partials written here and, where there are
+    ``others``, those of the other months. Only the legacy tables read the whole ``fact``."""
+    def by_month(name: str, df: DataFrame, *order: str) -> DataFrame:
+        part = write(name, df, rebalance_by=PARTITIONS[name], sort_by=[*PARTITIONS[name], *order])
+        return part if others is None else part.unionByName(others(name))
+
     def video_marts() -> None:
-        # The three per-video marts come from one aggregation of the fact (stored once),
-        # then are projected from that small per-video table.
-        profile = write("video_profile", M.video_profile(fact, country))
+        # The three per-video marts come from one merge (stored once), then are projected from
+        # that small per-video table.
+        places = by_month("video_places", P.video_places(months_fact), "video_id")
+        versions = by_month("video_versions", P.video_versions(months_fact), "video_id")
+        profile = write("video_profile", P.video_profile(places, versions, country))
         buckets = bucket_count(path_bytes(spark, f"{base}/video_profile"))
         for name, df in (("video_dim", M.video_dim_of(profile)), ("video_reach", M.video_reach_of(profile)),
                          ("video_us_stickiness", M.video_stickiness_of(profile))):
@@ -271,22 +308,24 @@ def _write_marts(spark: SparkSession, base: str, write: Callable[..., DataFrame]
         spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{base}/{BUCKETS}")
 
     def channel_marts() -> None:
-        write("channel_dim", M.channel_dim(fact))
-        daily = write("channel_us_daily", M.channel_daily(fact, country))
+        write("channel_dim", P.channel_dim(by_month("channel_versions", P.channel_versions(months_fact), "channel_id")))
+        daily = by_month("channel_us_daily", P.channel_days(months_fact, country), "date", "channel_id")
         # Per-video figures of the channel page, pre-aggregated so that a request reads a
         # channel's rows instead of the fact; H3 counts its rows.
-        videos = write("channel_video_us", M.channel_video_stats(fact, country),
+        months = by_month("channel_video_months", P.channel_video_months(months_fact, country), "channel_id", "video_id")
+        videos = write("channel_video_us", P.channel_video_stats(months),
                        range_by=["channel_id", "video_id"], sort_by=["channel_id", "video_id"])
         write("channel_us_alltime", M.channel_alltime(fact, country, daily, videos))
 
     def page_marts() -> None:
-        # V5 stored: the country's distinct dates (a few thousand rows), so "latest day" is
-        # resolved from it instead of scanning the fact on every request.
-        write("us_dates", M.country_dates(fact, country))
+        # Rows per country and day: coverage, and V5 stored (a few thousand rows), so "latest day"
+        # is resolved from it instead of scanning the fact on every request.
+        days = by_month("country_days", P.country_days(months_fact), M.DATE, M.COUNTRY)
+        write("us_dates", P.country_dates(days, country))
         # Per-video figures of the tag pages: a request reads one month of per-video rows.
-        write("video_month_us", M.video_month_stats(months_fact, country), rebalance_by=["month"], sort_by=["month", "video_id"])
-        write("video_days", M.video_days(fact),
-              range_by=["video_id"], sort_by=["video_id", "video_trending_country", "video_trending_date"])
+        by_month("video_month_us", M.video_month_stats(months_fact, country), "video_id")
+        by_month("video_days", M.video_days(months_fact).withColumn("month", X.month_of(M.DATE)),
+                 "video_id", M.COUNTRY, M.DATE)
 
     def tag_marts() -> None:
         events = write("us_tag_events_clean", T.tag_events_clean(months_fact, country),
@@ -342,7 +381,7 @@ def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country:
     timings["build_quality"] = round(time.time() - t0, 3)
 
     fact = _write_fact(write, _dated(I.clean(raw_p)))
-    _write_marts(spark, base, write, fact, fact, country, legacy, timings, parallel_jobs)
+    _write_marts(spark, base, write, fact, fact, None, country, legacy, timings, parallel_jobs)
 
     # Readers see the new run only after every table is written.
     complete_run(spark, out_dir, run)
@@ -382,7 +421,8 @@ def refresh(spark: SparkSession, raw_path: str, out_dir: str, country: str = DEF
     ``build_all``, and months that no new, changed or removed file touches are neither read for, nor
     written in, the month-partitioned tables. Where files were only added, a touched month is the stored
     one and the new rows; else its rows come from the stored raw copies of the files that are left.
-    The small tables over all months are made anew from the whole fact.
+    The tables over all months are merged from the month partials; only the legacy tables read the
+    fact's other months.
 
     The driver holds the new files' paths (as a scan of them does) and the calendar months. Returns the
     quality reports, the run and the months written; without a difference the current run stays."""
@@ -411,20 +451,22 @@ def refresh(spark: SparkSession, raw_path: str, out_dir: str, country: str = DEF
     months = sorted({*gone_months, *_months_of(manifest.filter(F.col("run") == run))})
 
     month = F.col(FACT_PARTITION)
-    was_fact = load_marts(spark, out_dir, was)["trending"]
+    stored = _parts_of(spark, out_dir, was)
+    was_fact = stored("trending")
+    others = lambda name: stored(name).filter(~F.col(PARTITIONS[name][0]).isin(months))
     if n_gone:
         rows = _dated(I.clean(_live_rows(spark, out_dir, manifest)))
     else:
         rows = was_fact.unionByName(_dated(I.clean(fresh)))
     touched = _write_fact(write, rows.filter(month.isin(months)))
-    fact = was_fact.filter(~month.isin(months)).unionByName(touched)
+    fact = others("trending").unionByName(touched)
 
     before = _month_runs(spark, out_dir, was) or {was: [r[0] for r in was_fact.select(month).distinct().collect()]}
     after = [(m, r) for r, held in before.items() for m in held if m not in months]
     after += [(r[0], run) for r in touched.select(month).distinct().collect()]
     spark.createDataFrame(after, "month date, run string").coalesce(1).write.parquet(f"{base}/{MONTHS}")
 
-    _write_marts(spark, base, write, fact, touched, country, legacy, timings, parallel_jobs)
+    _write_marts(spark, base, write, fact, touched, others, country, legacy, timings, parallel_jobs)
     complete_run(spark, out_dir, run)
     return {**quality_of(manifest), "run": run, "months": months}
 
