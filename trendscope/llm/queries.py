@@ -81,7 +81,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_nbest.encode_checked(_table(spark, sf_dir, "documents"))
+    return sentencepiece_nbest.encode_edits(_table(spark, sf_dir, "documents"))
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
