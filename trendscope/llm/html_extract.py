@@ -9,11 +9,14 @@ marginal; the text of elements that are more likely content than not is the main
 
 Training: pages whose own markup labels them (they have an ``article`` or ``main``; inside
 it is content, unless inside a boilerplate element) are counted, at most about
-``TRAIN_PAGES`` of them; potentials are smoothed log shares, bounded by ``WEAK``.
+``TRAIN_PAGES`` of them; potentials are smoothed log shares, bounded by ``WEAK``. ``PRIOR`` holds fixed
+counts beside those of training: it is what judges pages where no page is labelled, and it outweighs some
+thousand pages, so that a label changes along an edge for evidence only.
 
 Blocks are the texts between block-level tags, with character references decoded and white
 space as single spaces, in page order. A null or empty page has the empty text. A page
-without labelled markup is judged by the same model. Repeated rows each give a row.
+without labelled markup is judged by the same model. Repeated rows each give a row. Time follows the
+page's length, however deep its elements are.
 """
 
 from __future__ import annotations
@@ -75,6 +78,7 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.edge = ["#root"], [-1], ["plain"]
         self.runs: list[tuple[int, str | None]] = []
+        self.open: dict[str, list[int]] = {}  # places in the stack of the open elements, by tag
         stack, at, size = [0], 0, len(source)
         while at < size:
             m = TAG.search(source, at)
@@ -116,21 +120,21 @@ class Page:
 
     def pop_to(self, stack: list[int], place: int) -> None:
         while len(stack) > place:
-            self.boundary(stack[-1], self.tag[stack.pop()])
-
-    def open_place(self, stack: list[int], names: set | frozenset, stop: set | frozenset) -> int | None:
-        for place in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[place]]
-            if tag in names:
-                return place
-            if tag in stop:
-                return None
-        return None
+            tag = self.tag[stack[-1]]
+            self.open[tag].pop()
+            self.boundary(stack.pop(), tag)
+
+    def open_place(self, names: set | frozenset, stop: set | frozenset) -> int | None:
+        """Place in the stack of the innermost open element of these names, unless one to stop at is inside it."""
+        place = max((self.open[n][-1] for n in names if self.open.get(n)), default=None)
+        if place is None or any(self.open[n][-1] > place for n in stop if self.open.get(n)):
+            return None
+        return place
 
     def start(self, stack: list[int], name: str, rest: str) -> None:
-        if name in CLOSES_P and (place := self.open_place(stack, {"p"}, {"table", "button"})) is not None:
+        if name in CLOSES_P and (place := self.open_place({"p"}, {"table", "button"})) is not None:
             self.pop_to(stack, place)
-        if name in SAME and (place := self.open_place(stack, *SAME[name])) is not None:
+        if name in SAME and (place := self.open_place(*SAME[name])) is not None:
             self.pop_to(stack, place)
         element = len(self.tag)
         self.tag.append(name)
@@ -146,10 +150,13 @@ class Page:
         self.boundary(element, name)
         if name not in VOID:
             if not rest.rstrip(">").rstrip().endswith("/") or name not in ("svg", "math"):
+                self.open.setdefault(name, []).append(len(stack))
                 stack.append(element)
+        elif name == "br":
+            self.text(stack[-1], " ")
 
     def end(self, stack: list[int], name: str) -> None:
-        place = self.open_place(stack, {name}, set() if name in BLOCK else {"td", "th", "table"})
+        place = self.open_place({name}, set() if name in BLOCK else {"td", "th", "table"})
         if place is not None:
             self.pop_to(stack, place)
 
@@ -289,13 +296,17 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                      ["key", "n"])
 
 
+def hash_bound(rows: int, wanted: int) -> int:
+    """The largest signed 64-bit hash below which about ``wanted`` of ``rows`` rows fall (all, if fewer)."""
+    share = 1 << 64 if rows <= wanted else (wanted << 64) // rows
+    return share - (1 << 63) - 1
+
+
 def train(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES) -> Model:
     """Count labelled pages: all of them, or about ``train_pages`` by a hash of their text.
     A few dozen sums reach the driver."""
     rows = pages.filter(F.col(html_col).isNotNull())
-    n = rows.count()
-    share = min(1.0, train_pages / max(n, 1))
-    picked = rows.filter(F.pmod(F.xxhash64(html_col), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = rows.filter(F.xxhash64(html_col) <= hash_bound(rows.count(), train_pages))
     counts = (picked.select(F.col(html_col).alias("html")).mapInArrow(_train, "key string, n long")
               .groupBy("key").agg(F.sum("n").alias("n")).collect())
     return Model({tuple(r["key"].split(" ")): r["n"] for r in counts})
