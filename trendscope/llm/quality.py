@@ -110,10 +110,12 @@ def boilerplate_lines(lines: DataFrame, max_docs: int, max_share: float) -> Data
 
 
 def _judged(docs: DataFrame, carry: list[str], text_col: str, host_col: str, min_words: int,
-            max_repeat_percent: int, max_docs: int, max_share: float, min_kept: float) -> DataFrame:
-    """``_carry`` (a struct of the named columns, so that no name can clash) and the results."""
+            max_repeat_percent: int, max_docs: int, max_share: float, min_kept: float, keep_text: bool = False) -> DataFrame:
+    """``_carry`` (a struct of the named columns, so that no name can clash) and the results; if asked
+    for, ``_text`` beside ``_removed``."""
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.struct(*[F.col(c) for c in carry]).alias("_carry"), F.col(host_col).alias("_host"),
+    carried = [F.col(c) for c in carry] + ([F.col(text_col).cast("string").alias("_kept_text")] if keep_text else [])
+    rows = docs.select(F.struct(*carried).alias("_carry"), F.col(host_col).alias("_host"),
                        F.col(text_col).cast("string").alias("_text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     measured = scratch.table(rows.mapInArrow(
@@ -127,6 +129,8 @@ def _judged(docs: DataFrame, carry: list[str], text_col: str, host_col: str, min
     n_kept = F.when(F.col("_removed").isNull(), F.col("n_words")).otherwise(F.col("n_words") - lost)
     failed = ((F.col("n_words") < min_words)
               | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
+    if keep_text:
+        joined = joined.withColumn("_text", F.col("_carry._kept_text"))
     return (joined.withColumn("n_kept_words", n_kept).withColumn("base_failed", failed)
             .withColumn("kept", ~failed & (F.col("n_kept_words") >= min_kept * F.col("n_words"))))
 
@@ -141,6 +145,32 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                       "base_failed", "kept", "n_kept_words")
 
 
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (column 1) without the lines whose keys are in the row's list (column 2)."""
+    for batch in batches:
+        texts = []
+        for text, removed in zip(batch.column(1), batch.column(2)):
+            text = text.as_py()
+            if text is not None and removed.is_valid:
+                gone = set(removed.as_py())
+                text = "\n".join(line for line in text.split("\n") if gone.isdisjoint(_lines(line.encode())[1]))
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
+
+
+def quality_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+                  min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
+                  max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_kept: float = MIN_KEPT) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, ``text`` without the lines over both limits (null: null; a text
+    of such lines only is empty), ``n_words`` before, ``n_kept_words`` after, ``kept``."""
+    judged = _judged(docs, [id_col], text_col, host_col, min_words, max_repeat_percent, max_docs, max_share, min_kept,
+                     keep_text=True)
+    rows = judged.select(F.struct(F.col("_carry")[id_col].alias("id"), "n_words", "n_kept_words", "kept").alias("row"),
+                         "_text", "_removed")
+    out = rows.mapInArrow(lambda b: trimmed(_without(b)), f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    return out.select(F.col("row.id").alias(id_col), "text", "row.n_words", "row.n_kept_words", "row.kept")
+
+
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep, with their columns unchanged."""
     return _judged(docs, docs.columns, "text", "source", MIN_WORDS, MAX_REPEAT_PERCENT, MAX_DOCS, MAX_SHARE,
