@@ -6,7 +6,7 @@ import time
 import pytest
 
 from tests.llm import plain
-from trendscope.llm import html_extract, line_dedup, quality
+from trendscope.llm import html_extract, line_dedup, ngram_join, quality
 
 DOCS = "doc_id long, text string, source string"
 
@@ -109,3 +109,51 @@ def test_sampling_is_exact_at_any_size():
         bound = html_extract.hash_bound(rows, 5000)
         share = (bound + (1 << 63) + 1) / 2**64
         assert share * rows == pytest.approx(min(rows, 5000), rel=1e-6) and -(1 << 63) <= bound < 1 << 63
+
+
+# n-gram join with ids that stand for several texts ------------------------------------------------
+
+def brute_force(rows, n, percent):
+    """{id: smallest reachable id}, an id being linked by any of its sets."""
+    sets = [(i, plain.shingles(t, n)) for i, t in rows if i is not None]
+    parent = {i: i for i, _ in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[k + 1:]:
+            both = len(x & y)
+            if both and 100 * both >= percent * len(x | y):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    return {i: root(i) for i in parent}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ids_with_several_texts_link_by_each(spark, seed):
+    rng = random.Random(seed)
+    base = [words(rng, 40) for _ in range(14)]
+
+    def near(text):
+        w = text.split()
+        w[rng.randrange(len(w))] = "zz"
+        return " ".join(w)
+
+    rows = [(1, base[0]), (1, base[1]), (2, base[1])]
+    rows += [(rng.randrange(3, 40), rng.choice([t, near(t)])) for t in rng.choices(base, k=60)]
+    rows += [(50, words(rng, 3)), (50, ""), (51, None), (None, base[0]), rows[0], (52, " ".join(base[2].split()[:20])),
+             (53, base[2]), (53, " ".join(base[2].split()[:20]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    label = brute_force(rows, 4, 85)
+    got = sorted((tuple(r) for r in ngram_join.near_duplicates(docs).collect()), key=str)
+    assert got == sorted(((i, len(plain.shingles(t, 4)), label.get(i)) for i, t in rows), key=str)
+
+    stage = ngram_join.near_duplicate_stage(spark, docs, "").collect()
+    kept = brute_force(rows, 5, 80)
+    want = {(i, frozenset(plain.shingles(t, 5))) for i, t in rows if i is not None and kept[i] == i}
+    assert sorted(((r["doc_id"], sorted(plain.shingles(r["text"], 5))) for r in stage if r["doc_id"] is not None), key=str) == sorted(
+        ((i, sorted(x)) for i, x in want), key=str)
+    assert sum(r["doc_id"] is None for r in stage) == 1

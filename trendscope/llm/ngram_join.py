@@ -24,9 +24,9 @@ fewer); documents link when 100 * intersection >= percent * union.
    components is lost, and no pair of copies is needed.
 
 A text without words (or null) has the empty set and links with nothing: its component is its
-own id. Rows with a null id link with nothing and have a null component. Of rows with the same
-id, the one with the largest (size, fingerprint) stands for the document; each row is
-returned. Component ids are the smallest id.
+own id. Rows with a null id link with nothing and have a null component. An id that stands for
+several texts links by the set of each of them, and so ties their classes together; each row
+is returned, with the size of its own set. Component ids are the smallest id.
 """
 
 from __future__ import annotations
@@ -245,7 +245,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
              .select("id", F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("at"), "text")
              .mapInArrow(lambda b: trimmed(_wanted_sets(b, n, bits.value)), "id long, f1 long, f2 long, set binary"))
     return (found.join(wanted.withColumnRenamed("rep", "id"), ["id", "f1", "f2"])
-            .select("id", "n", "set").dropDuplicates(["id"]))
+            .select("id", "n", "f1", "f2", "set").dropDuplicates(["id", "n", "f1", "f2"]))
 
 
 def _labelled(lists: DataFrame, stars: DataFrame) -> DataFrame:
@@ -269,14 +269,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         "id long, n long, f1 long, f2 long, c1 long, c2 long, parity array<long>, wide array<long>, prefix array<long>"))
     key = ["n", "f1", "f2"]
     slim = scratch.table(prefixes.drop("prefix", "parity", "wide"))
-    documents = scratch.table(slim.filter("id is not null and n > 0").groupBy("id")
-                              .agg(F.max(F.struct("n", "f1", "f2", "c1", "c2")).alias("s")).select("id", "s.*"))
+    # every distinct set of an id is in a class; a node of the links is an id, with all its sets
+    documents = scratch.table(slim.filter("id is not null and n > 0").distinct())
     classes = documents.groupBy(*key, "c1", "c2").agg(F.min("id").alias("rep"))
     groups = classes.groupBy("n", "c1", "c2").agg(F.min("rep").alias("g"))
     found = prefixes.filter("id is not null and n > 0")
     members = classes.join(groups, ["n", "c1", "c2"]).select("rep", "g", *key)
     members = scratch.table(members.join(found.select(F.col("id").alias("rep"), *key, "parity", "wide"), ["rep", *key])
-                            .dropDuplicates(["rep"]))
+                            .dropDuplicates(["rep", *key]))
     leaders = members.filter("rep = g").select(F.col("g").alias("id"), *key)
     kept = scratch.table(found.join(leaders, ["id", *key]).select(F.col("id").alias("g"), "n", "prefix"))
     scratch.drop(prefixes)
@@ -286,16 +286,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = scratch.table(posted.groupBy("t").agg(
         F.min("g").alias("least"), F.max("g").alias("last"), F.min(F.when(early, F.col("g"))).alias("pivot"))
         .filter("least < last and pivot is not null").select("t", "pivot"))
-    grouped = scratch.table(posted.drop("n").join(shared, "t"))
+    grouped = scratch.table(posted.join(shared, "t").withColumnRenamed("n", "gn"))
     scratch.drop(kept, shared)
     inside = members.filter("rep <> g").select(F.col("g").alias("a"), F.col("rep").alias("b"))
     # every group against its list's pivot, members against their leader
     pairs = grouped.filter("g <> pivot").select(F.col("pivot").alias("a"), F.col("g").alias("b")).unionByName(inside)
-    stars = _grown(None, _links(pairs, rows, members, n, percent, scratch), scratch)
+    # an id with several sets ties their classes together
+    several = documents.groupBy("id").agg(F.count("*").alias("sets")).filter("sets > 1").select("id")
+    tied = (documents.join(several, "id").join(members.select("rep", *key), key).filter("id <> rep")
+            .select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    stars = _grown(None, _links(pairs, rows, members, n, percent, scratch).unionByName(tied), scratch)
     # what is still apart, by members; a group's members share their prefix, a list of their own
     own = members.join(inside.select(F.col("a").alias("g")).distinct(), "g").select(
         F.xxhash64("g", "n").alias("t"), "rep", "n", F.lit(0).alias("p"))
-    lists = _labelled(grouped.join(members.select("g", "rep", "n"), "g").select("t", "rep", "n", "p").unionByName(own), stars)
+    lists = _labelled(grouped.join(members.select("g", "rep", "n", F.col("n").alias("gn")), ["g", "gn"])
+                      .select("t", "rep", "n", "p").unionByName(own), stars)
     lists = scratch.table(lists.distinct())
     scratch.drop(grouped)
     for _ in range(ROUNDS):  # each list's last component against one of its members
@@ -322,7 +327,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = _grown(stars, _links(pairs, rows, members, n, percent, scratch), scratch)
     of = (documents.select("id", *key).join(members.select("rep", *key), key)
           .join(stars.select(F.col("node").alias("rep"), "label"), "rep", "left")
-          .select(F.col("id").alias("member"), F.coalesce("label", "rep").alias("component")))
+          .groupBy(F.col("id").alias("member")).agg(F.min(F.coalesce("label", "rep")).alias("component")))
     of = scratch.table(of.filter("component <> member"))
     out = slim.select("id", "n").join(of, F.col("id") == F.col("member"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
@@ -336,13 +341,29 @@ def _grown(stars: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataF
     return scratch.table(smallest_reachable(links, scratch))
 
 
+def _own_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """row, text -> row, size and fingerprint of its set."""
+    for batch in batches:
+        for at, texts in Texts.slices(batch.column(1)):
+            rows, h = _sets(texts, n)
+            off = np.searchsorted(rows, np.arange(texts.n + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, texts.n), pa.array(np.diff(off), pa.int64()), *_fingerprint(off, h)],
+                                             ["_row", "n", "f1", "f2"])
+
+
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component of 5-word shingles at 80 percent stays,
-    the one with the smallest id (of repeated rows with its id, one); rows with a null id stay."""
+    """Pipeline stage: one document of each component of 5-word shingles at 80 percent stays, the one
+    with the smallest id. Of several rows with its id, those with equal sets are one document,
+    and the others stay beside it; rows with a null id stay."""
     component = near_duplicates(docs, n=5, percent=80)
     gone = component.filter("component_id <> doc_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    row = F.struct(*docs.columns)
-    named = left.filter("doc_id is not null").select("doc_id", "text", row.alias("_row")).withColumn("_rank", rank)
-    return named.filter("_rank = 1").select("_row.*").unionByName(left.filter("doc_id is null"))
+    # only rows of ids that stand several times are dealt by id; few or none, as their size shows
+    again = Scratch(spark).table(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+                                 .filter("n > 1").select("doc_id"))
+    rows = left.join(again, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
+    kinds = rows.schema["_row"].dataType.simpleString()
+    sets = rows.mapInArrow(lambda b: trimmed(_own_sets(b, 5)), f"_row {kinds}, n long, f1 long, f2 long")
+    rank = F.row_number().over(Window.partitionBy("_row.doc_id", "n", "f1", "f2").orderBy(F.xxhash64("_row.text"), "_row.text"))
+    first = sets.withColumn("_rank", rank).filter("_rank = 1").select("_row.*")
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
