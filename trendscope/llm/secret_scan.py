@@ -8,8 +8,8 @@ the parts of a signed token. A candidate's novelty is its marginal size: bytes o
 compressed surrounding text with the candidate less the bytes without it, where the
 compressor is primed with a dictionary of identifiers and the surrounding text itself comes
 first. Words, paths and names that the dictionary or the surroundings hold cost a few bytes;
-random strings cost about as many bits as their alphabet needs. A string that stands twice within
-``AROUND`` characters is cheap in both places and is not reported. A candidate that mixes
+random strings cost about as many bits as their alphabet needs. The candidate itself is blanked out of
+its surroundings, so that a secret that a file repeats is reported at each place. A candidate that mixes
 character classes and costs ``MIN_BITS`` or more per character is reported as ``novelty``.
 
 Offsets are code points, ends exclusive. A null text is empty. A null id passes through.
@@ -70,8 +70,9 @@ class Novelty:
 
     def bits(self, text: str, start: int, end: int) -> float:
         """Bits per byte that text[start:end] adds after its surroundings and the dictionary."""
-        around = (text[max(0, start - AROUND):start] + "\n" + text[end:end + AROUND]).encode(errors="replace")
-        candidate = text[start:end].encode(errors="replace")
+        own = text[start:end]
+        around = "\n".join(part.replace(own, " ") for part in (text[max(0, start - AROUND):start], text[end:end + AROUND]))
+        around, candidate = around.encode(errors="replace"), own.encode(errors="replace")
         grown = len(self._zstd.compress(around + b"\n" + candidate)) - len(self._zstd.compress(around + b"\n"))
         return 8 * grown / len(candidate)
 
