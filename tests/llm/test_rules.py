@@ -3,10 +3,12 @@
 import random
 import time
 
+import duckdb
+import numpy as np
 import pytest
 
 from tests.llm import plain
-from trendscope.llm import html_extract, line_dedup, ngram_join, quality
+from trendscope.llm import html_extract, line_dedup, ngram_join, quality, queries, topk
 
 DOCS = "doc_id long, text string, source string"
 
@@ -157,3 +159,33 @@ def test_ids_with_several_texts_link_by_each(spark, seed):
     assert sorted(((r["doc_id"], sorted(plain.shingles(r["text"], 5))) for r in stage if r["doc_id"] is not None), key=str) == sorted(
         ((i, sorted(x)) for i, x in want), key=str)
     assert sum(r["doc_id"] is None for r in stage) == 1
+
+
+# top-k -------------------------------------------------------------------------------------------
+
+def test_reading_stops_by_its_bounds():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2000, 2000, (2000, 4)).astype(float)
+    order = np.argsort(x, axis=0, kind="stable")
+    ranks = np.empty(x.shape, dtype=np.int32)
+    np.put_along_axis(ranks, order, np.arange(2000, dtype=np.int32)[:, None], axis=0)
+    for flat in (False, True):
+        y = np.ones_like(x) if flat else x  # equal vectors can't be told apart: the lists are read to their end
+        lists, reached = np.sort(y, axis=0), []
+        best = topk.nra(y, ranks, np.arange(2000), lists, y[7], 7, 10, reached)
+        assert reached == [(1.0, 1999)] if flat else reached[0][0] < 1 and reached[0][1] <= 2 * topk.FEW
+        want = sorted((-(y[i] @ y[7]), i) for i in range(2000) if i != 7)[:10]
+        assert [(-(y[i] @ y[7]), i) for i in best] == want
+
+
+def test_a_query_row_that_stands_twice_counts_once(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(250)]
+    rows += [rows[100], rows[200], (200, [rng.gauss(0, 1) for _ in range(5)]), rows[3]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    want = con.execute(f"SELECT query_id, rank, vec_id, score FROM ({queries.ORACLE_SQL['op9_topk']})").fetchall()
+    assert sorted(map(tuple, topk.top_k(df).select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
+    assert len(want) == 30

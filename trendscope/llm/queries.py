@@ -216,7 +216,7 @@ WITH valid AS (
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
-  FROM valid q JOIN valid c ON q.vec_id % {topk.EVERY} = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+  FROM (SELECT DISTINCT vec_id, v FROM valid WHERE vec_id % {topk.EVERY} = 0) q JOIN valid c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {topk.K}
 """

@@ -5,9 +5,9 @@ queries are dealt into blocks of bounded size, and each pair of blocks is one gr
 group, each dimension is a sorted list of the candidates; a query reads all lists from its
 better end, equally deep. Values not read yet lie between a list's last read value and its
 far end, which gives every candidate a lower and an upper bound. Candidates whose upper bound
-is below the k-th lower bound can't qualify and are dropped; reading stops when the lists end
-or only few candidates are left, whose final scores are then resolved. The best k of each
-block are merged per query. Exact, with ties to the smaller id.
+is below the k-th lower bound can't qualify and are dropped. The depth grows step by step, by half of
+what is left of the lists, with this test after each step, until ``FEW`` candidates are left, whose final
+scores are then resolved, or the lists end. The best k of each block are merged per query. Exact, with ties to the smaller id.
 
 Rows with a null id, a null vector or a null or non-finite component take no part; a vector
 is compared with queries of its own length. Scores are exact below 2**53. A query is never
@@ -29,23 +29,23 @@ EVERY = 100
 SCALE = 1024
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 2048
-DEPTHS = (3 / 4, 9 / 10)              # shares of the lists after which bounds are compared
+FIRST = 2                              # the first step reads one FIRST-th of every list
 FEW = 32                               # candidates whose scores are resolved at once
 
 
 def nra(x: np.ndarray, ranks: np.ndarray, ids: np.ndarray, lists: np.ndarray, q: np.ndarray, own: int,
-        k: int) -> np.ndarray:
+        k: int, reached: list | None = None) -> np.ndarray:
     """Indices of the best k candidates for the query. ``x``: candidates x dimensions;
-    ``ranks``: place of each value in its ascending list; ``lists``: the sorted lists."""
+    ``ranks``: place of each value in its ascending list; ``lists``: the sorted lists. ``reached`` takes
+    the share of the lists read and how many candidates were left."""
     n = len(x)
     up = q > 0
     flip = np.where(up, 0, -1).astype(ranks.dtype)  # ~rank counts from the other end
     alive = np.flatnonzero(ids != own)
     least = np.where(up, lists[0] * q, lists[-1] * q)
-    for share in DEPTHS:
-        if len(alive) <= max(FEW, k):
-            break
-        depth = max(1, int(n * share))
+    depth = 0
+    while depth < n and len(alive) > max(FEW, k):
+        depth += max(1, (n - depth) // FIRST)
         # a dimension is read for a candidate when its place from the better end is below depth
         seen = (ranks[alive] ^ flip) >= np.where(up, n - depth, -depth).astype(ranks.dtype)
         known = np.einsum("nd,nd,d->n", x[alive], seen.astype(np.float64), q)
@@ -54,6 +54,8 @@ def nra(x: np.ndarray, ranks: np.ndarray, ids: np.ndarray, lists: np.ndarray, q:
         low, high = known + bounds[:, 0], known + bounds[:, 1]
         bar = np.partition(low, len(low) - k)[len(low) - k]
         alive = alive[high >= bar]
+    if reached is not None:
+        reached.append((depth / n, len(alive)))
     score = x[alive] @ q
     return alive[np.lexsort((ids[alive], -score))[:k]]
 
