@@ -27,6 +27,8 @@ from trendscope.llm.scratch import Scratch
 BLOCK_DOCS = 8
 UNITS = 1000
 SMOOTHING = 0.7
+RANGE_BYTES = 128 << 20   # of stored input for each partition of a range shuffle
+MAX_RANGES = 1_000_000    # an estimate of an input that isn't read from files may be far too large
 MAX_SOURCES = 10_000
 
 
@@ -76,7 +78,7 @@ def _slotted(docs: DataFrame, weights: dict | None, id_col: str, source_col: str
     kind = docs.schema[source_col].dataType.simpleString()
     order = [F.col("_source").asc_nulls_first(), F.col("_id").asc_nulls_first()]
     # a range shuffle on (source, id) splits a hot source over as many partitions as it needs
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = range_partitions(docs)
     placed = scratch.table(
         docs.select(F.struct(*docs.columns).alias("_row"), F.col(source_col).alias("_source"), F.col(id_col).alias("_id"))
         .repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -125,20 +127,28 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, *, id_col: str = "
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents in the mixed order: files by name, and the rows in them,
     follow it."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = range_partitions(docs)
     mixed = _slotted(docs, None, "doc_id", "source", BLOCK_DOCS, UNITS, MAX_SOURCES)
     return (mixed.repartitionByRange(n, "mix_slot", "mix_seq").sortWithinPartitions("mix_slot", "mix_seq")
             .select("_row.*"))
 
 
+def range_partitions(docs: DataFrame) -> int:
+    """Partitions of a range shuffle of whole documents: the session's count, or more where Spark's
+    estimate of the input asks for it, as nothing splits a range afterwards."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // RANGE_BYTES), MAX_RANGES))
+
+
 def in_file_order(docs: DataFrame) -> DataFrame:
-    """The rows of a written table in the order of its files by name and the rows in them, as a
-    scan packs files by size. Rows that are not read from files stay as they are."""
+    """The rows of a written table in the order of its files by number (names with more digits come later)
+    and the rows in them, as a scan packs files by size. Rows that are not read from files stay as they are."""
     try:
         meta = docs.metadataColumn("_metadata")
-        rows = docs.select(F.struct(*docs.columns).alias("_row"), meta["file_path"].alias("_file"),
-                           meta["row_index"].alias("_at"))
+        rows = docs.select(F.struct(*docs.columns).alias("_row"), F.length(meta["file_path"]).alias("_digits"),
+                           meta["file_path"].alias("_file"), meta["row_index"].alias("_at"))
     except AnalysisException:
         return docs
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, "_file", "_at").sortWithinPartitions("_file", "_at").select("_row.*")
+    order = ("_digits", "_file", "_at")
+    return rows.repartitionByRange(range_partitions(docs), *order).sortWithinPartitions(*order).select("_row.*")
