@@ -134,7 +134,7 @@ def brute_force(rows, n, percent):
     return {i: root(i) for i in parent}
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", [0])
 def test_ids_with_several_texts_link_by_each(spark, seed):
     rng = random.Random(seed)
     base = [words(rng, 40) for _ in range(14)]
