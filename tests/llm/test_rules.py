@@ -189,3 +189,13 @@ def test_a_query_row_that_stands_twice_counts_once(spark):
     want = con.execute(f"SELECT query_id, rank, vec_id, score FROM ({queries.ORACLE_SQL['op9_topk']})").fetchall()
     assert sorted(map(tuple, topk.top_k(df).select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
     assert len(want) == 30
+
+
+# language identification -------------------------------------------------------------------------
+
+def test_held_out_rows_follow_the_checksum(spark):
+    import zlib
+    from trendscope.llm import language_id
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r["doc_id"]: r["held_out"] for r in language_id.identify_languages(docs).collect()}
+    assert got == {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in docs.select("doc_id").collect()}
