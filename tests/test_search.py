@@ -1,0 +1,122 @@
+"""A14 by the trigram index: the scan's rows, from the candidates' folders only."""
+
+import pytest
+
+from trendscope.functions import exprs as X
+from trendscope.operators import reads as R
+from trendscope.operators import search as S
+from trendscope.plans import rebuild as B
+from trendscope.plans.catalog import CHANNEL_Q, VIDEO_Q
+
+# titles and texts with wildcards, letters whose lower case depends on what follows, and code points beyond 16 bits
+TITLES = ["Anvil", "ANVILS and more", "an_vil", "100% vil", "ΟΔΟΣ", "ΟΔΟΣ ΑΒ", "İstanbul", "istanbul", "ab", "", None,
+          "a~b~c", "x😀y😀z", "naïve café", "NAÏVE CAFÉ", "aaaaaa", "日本語の題", "tab\there", "line\nbreak", "back\\slash"]
+TEXTS = ["anvil", "ANVIL", "an%il", "n_il", "a_vil", "100%", "vil", "οδος", "ΟΔΟΣ", "οδο", "istan", "İst", "ab", "a~b", "~b~c",
+         "😀y😀", "ï", "ve caf", "aaa", "aaaa", "日本語", "本語", "tab\t", "e\nb", "k\\s", "none of these", "an%more", "%%%", "___"]
+
+
+@pytest.fixture(scope="module")
+def dim(spark):
+    # every title twice, in channels that carry it as title and, in part, as id
+    rows = [(f"v{i}-{k}", t, None if i == 3 else f"UC_{t}" if k else f"c{i}", t if k else f"Channel {i}", "thumb")
+            for i, t in enumerate(TITLES) for k in (0, 1)]
+    return spark.createDataFrame(rows, "video_id string, video_title string, channel_id string, channel_title string, "
+                                       "video_default_thumbnail string")
+
+
+@pytest.fixture(scope="module")
+def index(spark, dim, tmp_path_factory):
+    from trendscope.sources import files
+    out = str(tmp_path_factory.mktemp("index"))
+
+    def store(name, df):
+        files.materialize(df, f"{out}/{name}", **S.STORED[name])
+        return spark.read.parquet(f"{out}/{name}")
+
+    return S.index_tables(dim, 8, store)
+
+
+def _hits(df, match):
+    return sorted(map(str, df.filter(match).select("video_id").collect()))
+
+
+@pytest.mark.parametrize("counted", [True, False])
+def test_candidates_hold_every_match(dim, index, counted):
+    tables = index if counted else {k: v for k, v in index.items() if k != "gram_counts"}
+    for text in TEXTS if counted else TEXTS[::4]:
+        title = X.contains_ci("video_title", text)
+        channel = X.contains_ci("channel_title", text) | X.contains_ci("channel_id", text)
+        assert _hits(S.title_dim(tables, dim, text), title) == _hits(dim, title), text
+        assert _hits(S.channel_dim(tables, dim, text), channel) == _hits(dim, channel), text
+
+
+def test_rows_of_the_index(dim, index):
+    grams = index["title_grams"].select("gram", "id").collect()
+    want = {(t.lower()[i:i + 3], f"v{n}-{k}") for n, t in enumerate(TITLES) if t and t.isascii()
+            for i in range(len(t) - 2) for k in (0, 1)}
+    got = [(r["gram"], r["id"]) for r in grams]
+    assert len(got) == len(set(got)) and want <= set(got)
+    assert len({r["id"] for r in grams}) == 2 * sum(1 for t in TITLES if t and len(t) >= 3)
+    n = {(r["field"], r["gram"]): r["n"] for r in index["gram_counts"].collect()}
+    assert n[S.TITLE, "vil"] == 2 * sum(1 for t in TITLES if t and "vil" in t.lower())
+    assert S.text_grams(dim.sparkSession, "ab%cd_e") == []
+    assert S.text_grams(dim.sparkSession, "abcD%Cde") == ["abc", "bcd", "cde"]
+
+
+def test_texts_that_are_not_selective_scan(dim, index, monkeypatch):
+    assert S.title_dim(index, dim, "ab") is dim and S.channel_dim(index, dim, "a%b_c") is dim
+    monkeypatch.setattr(S, "MAX_CANDIDATES", 1)
+    assert S.title_dim(index, dim, "anvil") is dim
+    assert S.title_dim(index, dim, "none of these") is not dim   # no id holds its rarest trigram
+
+
+def test_stored_index(spark, tables_small, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "PART_BYTES", 2 << 10)
+    out = str(tmp_path / "marts")
+    B.build_all(spark, tables_small.raw, out, search=True)
+    marts = B.load_marts(spark, out)
+    index = B.search_index(marts)
+    fact, dim, reach, stick = (marts[n] for n in ("trending", "video_dim", "video_reach", "video_us_stickiness"))
+    latest = R.latest_in(marts["us_dates"])
+    title = marts["video_dim"].orderBy("video_id").first()["video_title"]
+    for q in (VIDEO_Q, title, "no such title"):
+        for scope in ("day", "all"):
+            got, want = (R.search_videos(fact, dim, stick, reach, q, scope, date=latest, index=i) for i in (index, None))
+            assert got.columns == want.columns and got.collect() == want.collect()
+    for q in (CHANNEL_Q, "UC_Brand#1", "no such channel"):
+        for scope in ("day", "all"):
+            got, want = (R.search_channels(fact, dim, stick, q, scope, date=latest, index=i) for i in (index, None))
+            assert got.collect() == want.collect()
+
+    # the candidates' folders only, chosen at run time; the trigrams are pushed into the index scan
+    folders = {r[0] for r in index["title_rows"].select("part").distinct().collect()}
+    assert len(folders) > 3
+    found = S.title_dim(index, dim, title.strip())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "In(gram" in plan, plan
+    assert "video_dim" not in plan
+    rows = found._jdf
+    rows.collect()
+    read = _rows_scanned(rows.queryExecution().executedPlan(), "title_rows")
+    assert 0 < read < index["title_rows"].count()
+
+    plain = str(tmp_path / "plain")
+    B.build_all(spark, tables_small.raw, plain)
+    assert B.search_index(B.load_marts(spark, plain)) is None
+
+
+def _rows_scanned(plan, table):
+    """Rows that the scan of a table gave in the run of an adaptive plan."""
+    def scans(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            node = node.executedPlan()
+            name = node.getClass().getSimpleName()
+        if name.endswith("QueryStageExec"):
+            return scans(node.plan())
+        if name == "FileSourceScanExec":
+            place = node.relation().location().rootPaths().mkString(",")
+            return node.metrics().get("numOutputRows").get().value() if place.endswith(table) else 0
+        kids = node.children()
+        return sum(scans(kids.apply(i)) for i in range(kids.size()))
+    return scans(plan)

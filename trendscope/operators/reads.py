@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendscope.functions import exprs as X
+from trendscope.operators import search as S
 from trendscope.operators.marts import COUNTRY, DATE, available_dates, country_dates, in_country
 from trendscope.operators.tags import latest_month_value
 from trendscope.schema import DEFAULT_COUNTRY, FACT_PARTITION
@@ -358,11 +359,15 @@ def _scope(scope: str | None) -> str:
 
 def search_videos(trending: DataFrame, dim: DataFrame, stickiness: DataFrame, reach: DataFrame,
                   q: str, scope: str = "day", date=None, limit=None,
-                  country: str = DEFAULT_COUNTRY) -> DataFrame:
-    """A14a/b: title search, in one day (views desc) or over all US days (days desc)."""
+                  country: str = DEFAULT_COUNTRY, index: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A14a/b: title search, in one day (views desc) or over all US days (days desc). With the stored
+    trigram ``index``, a selective text reads its candidates' rows instead of the dimension."""
     text = X.clean_query_text(q)
     n = X.clamp_limit(limit, *PAGE["search"])
-    if _scope(scope) == "day":
+    scope = _scope(scope)
+    if index:
+        dim = S.title_dim(index, dim, text)
+    if scope == "day":
         day = _day_rows(trending, date, country)
         hits = dim.filter(X.contains_ci("video_title", text)).select(
             "video_id", "video_title", "channel_id", "channel_title", "video_default_thumbnail")
@@ -376,13 +381,16 @@ def search_videos(trending: DataFrame, dim: DataFrame, stickiness: DataFrame, re
 
 def search_channels(trending: DataFrame, dim: DataFrame, stickiness: DataFrame, q: str,
                     scope: str = "day", date=None, limit=None,
-                    country: str = DEFAULT_COUNTRY) -> DataFrame:
-    """A14c/d: channel search on title OR id, per channel, in one day or over all days."""
+                    country: str = DEFAULT_COUNTRY, index: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A14c/d: channel search on title OR id, per channel, in one day or over all days; ``index`` as above."""
     text = X.clean_query_text(q)
     n = X.clamp_limit(limit, *PAGE["search"])
+    scope = _scope(scope)
+    if index:
+        dim = S.channel_dim(index, dim, text)
     match = X.contains_ci("channel_title", text) | X.contains_ci("channel_id", text)
     hits = dim.filter(match).select("video_id", "channel_id", "channel_title")
-    if _scope(scope) == "day":
+    if scope == "day":
         day = _day_rows(trending, date, country)
         rows = day.join(hits, "video_id", "inner").groupBy("channel_id").agg(
             F.max("channel_title").alias("channel_title"),

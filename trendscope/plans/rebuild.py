@@ -6,7 +6,7 @@
 3. ``trending`` (C6) -> Parquet partitioned by ``trending_month``;
 4. video and channel marts (V2-V5, H1-H3) from the stored fact;
 5. clean tag events (T1, partitioned by month) and the monthly mart (T2);
-6. optionally the legacy tag tables (T6 clustered as in S6, T7, T8, T9).
+6. optionally the legacy tag tables (T6 clustered as in S6, T7, T8, T9) and the trigram index of the searches (A14).
 
 Steps 4-6 only read the stored fact and are submitted as concurrent Spark jobs.
 
@@ -38,6 +38,7 @@ from trendscope.functions import exprs as X
 from trendscope.operators import ingest as I
 from trendscope.operators import marts as M
 from trendscope.operators import partials as P
+from trendscope.operators import search as S
 from trendscope.operators import tags as T
 from trendscope.schema import DEFAULT_COUNTRY, FACT_CLUSTER, FACT_PARTITION
 from trendscope.session import path_bytes
@@ -75,6 +76,7 @@ CORE_TABLES = ["trending_raw", "trending", "video_profile", "video_dim", "video_
                "video_month_us", "video_days", "video_places", "video_versions", "channel_versions",
                "channel_video_months", "country_days", "us_tag_events_clean", "us_tag_monthly_clean"]
 LEGACY_TABLES = ["us_tag_events", "us_month_totals", "us_tag_monthly", "us_tag_movers_monthly"]
+OPTIONAL_TABLES = [*LEGACY_TABLES, *S.STORED]
 
 
 def _markers(spark: SparkSession, out_dir: str):
@@ -123,7 +125,7 @@ def table_parts(spark: SparkSession, out_dir: str, run: str | None = None) -> di
     held = _month_runs(spark, out_dir, run)
     files_of = sorted(_file_runs(spark, out_dir, run))
     parts = {}
-    for name in CORE_TABLES + LEGACY_TABLES:
+    for name in CORE_TABLES + OPTIONAL_TABLES:
         if held and name in PARTITIONS:
             parts[name] = [(f"{out_dir}/{r}/{name}", months) for r, months in held.items()]
         elif held and name == "trending_raw":
@@ -170,8 +172,8 @@ def load_marts(spark: SparkSession, out_dir: str, run: str | None = None) -> dic
                 else:
                     df = files.read_table(spark, path)
             except AnalysisException as missing:
-                # legacy tables are optional, and a run may hold no row of a month's table
-                if missing.getCondition() == "PATH_NOT_FOUND" and name in LEGACY_TABLES:
+                # some tables are optional, and a run may hold no row of a month's table
+                if missing.getCondition() == "PATH_NOT_FOUND" and name in OPTIONAL_TABLES:
                     continue
                 if missing.getCondition() == "UNABLE_TO_INFER_SCHEMA" and len(parts) > 1:
                     continue
@@ -260,7 +262,7 @@ def _new_run() -> str:
 def _writer(spark: SparkSession, base: str, timings: dict) -> Callable[..., DataFrame]:
     def write(name: str, df: DataFrame, **kw) -> DataFrame:
         t0 = time.time()
-        files.materialize(df, f"{base}/{name}", partition_by=PARTITIONS.get(name), **kw)
+        files.materialize(df, f"{base}/{name}", **{"partition_by": PARTITIONS.get(name), **kw})
         timings[f"build_{name}"] = round(time.time() - t0, 3)
         # the schema is known, and a month-partitioned table may have no file at all
         return spark.read.schema(df.schema).parquet(f"{base}/{name}")
@@ -278,13 +280,19 @@ def _dated(trending: DataFrame) -> DataFrame:
     return trending.withColumn(FACT_PARTITION, X.month_of("video_trending_date"))
 
 
-def bucket_count(n_bytes: int) -> int:
+def bucket_count(n_bytes: int, bucket_bytes: int | None = None) -> int:
     """Buckets of about ``BUCKET_BYTES``: a power of two, so that runs of other sizes still fit each other."""
-    return 1 << max(0, -(-n_bytes // BUCKET_BYTES) - 1).bit_length()
+    return 1 << max(0, -(-n_bytes // (bucket_bytes or BUCKET_BYTES)) - 1).bit_length()
+
+
+def search_index(marts: dict[str, DataFrame]) -> dict[str, DataFrame] | None:
+    """The stored trigram index among ``load_marts``' tables, for the ``index`` of the searches; None where the
+    run was built without."""
+    return {name: marts[name] for name in S.STORED} if all(name in marts for name in S.STORED) else None
 
 
 def _write_marts(spark: SparkSession, base: str, write: Callable[..., DataFrame], fact: DataFrame, months_fact: DataFrame,
-                 others: Callable[[str], DataFrame] | None, country: str, legacy: bool, timings: dict,
+                 others: Callable[[str], DataFrame] | None, country: str, legacy: bool, search: bool, timings: dict,
                  parallel_jobs: int) -> None:
     """All marts. Those that are partitioned by month come from ``months_fact`` (the fact, or its touched
     months); the others are merged from the month partials written here and, where there are
@@ -299,13 +307,17 @@ def _write_marts(spark: SparkSession, base: str, write: Callable[..., DataFrame]
         places = by_month("video_places", P.video_places(months_fact), "video_id")
         versions = by_month("video_versions", P.video_versions(months_fact), "video_id")
         profile = write("video_profile", P.video_profile(places, versions, country))
-        buckets = bucket_count(path_bytes(spark, f"{base}/video_profile"))
+        n_bytes = path_bytes(spark, f"{base}/video_profile")
+        buckets = bucket_count(n_bytes)
         for name, df in (("video_dim", M.video_dim_of(profile)), ("video_reach", M.video_reach_of(profile)),
                          ("video_us_stickiness", M.video_stickiness_of(profile))):
             t0 = time.time()
             files.materialize_bucketed(df, f"{base}/{name}", BUCKETED[name], buckets)
             timings[f"build_{name}"] = round(time.time() - t0, 3)
         spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{base}/{BUCKETS}")
+        if search:
+            S.index_tables(M.video_dim_of(profile), bucket_count(n_bytes, S.PART_BYTES),
+                           lambda name, df: write(name, df, **S.STORED[name]))
 
     def channel_marts() -> None:
         write("channel_dim", P.channel_dim(by_month("channel_versions", P.channel_versions(months_fact), "channel_id")))
@@ -353,9 +365,10 @@ def _write_marts(spark: SparkSession, base: str, write: Callable[..., DataFrame]
 
 
 def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country: str = DEFAULT_COUNTRY,
-              legacy: bool = False, timings: dict | None = None, parallel_jobs: int = 4) -> dict:
+              legacy: bool = False, timings: dict | None = None, parallel_jobs: int = 4, search: bool = False) -> dict:
     """Rebuild every table from ``raw`` (all-text raw rows, or the path of the raw CSV)
-    under ``out_dir``. From a path, the run keeps the manifest that ``refresh`` needs.
+    under ``out_dir``; ``legacy`` and ``search`` add the legacy tag tables and the searches' trigram
+    index. From a path, the run keeps the manifest that ``refresh`` needs.
 
     Returns the quality reports (one row each) and the run folder name."""
     timings = timings if timings is not None else {}
@@ -381,7 +394,7 @@ def build_all(spark: SparkSession, raw: DataFrame | str, out_dir: str, country:
     timings["build_quality"] = round(time.time() - t0, 3)
 
     fact = _write_fact(write, _dated(I.clean(raw_p)))
-    _write_marts(spark, base, write, fact, fact, None, country, legacy, timings, parallel_jobs)
+    _write_marts(spark, base, write, fact, fact, None, country, legacy, search, timings, parallel_jobs)
 
     # Readers see the new run only after every table is written.
     complete_run(spark, out_dir, run)
@@ -416,7 +429,7 @@ def quality_of(manifest: DataFrame) -> dict:
 
 
 def refresh(spark: SparkSession, raw_path: str, out_dir: str, country: str = DEFAULT_COUNTRY, legacy: bool = False,
-            timings: dict | None = None, parallel_jobs: int = 4) -> dict:
+            timings: dict | None = None, parallel_jobs: int = 4, search: bool = False) -> dict:
     """Bring the tables up to the files that are under ``raw_path`` now: the result is that of
     ``build_all``, and months that no new, changed or removed file touches are neither read for, nor
     written in, the month-partitioned tables. Where files were only added, a touched month is the stored
@@ -466,7 +479,7 @@ def refresh(spark: SparkSession, raw_path: str, out_dir: str, country: str = DEF
     after += [(r[0], run) for r in touched.select(month).distinct().collect()]
     spark.createDataFrame(after, "month date, run string").coalesce(1).write.parquet(f"{base}/{MONTHS}")
 
-    _write_marts(spark, base, write, fact, touched, others, country, legacy, timings, parallel_jobs)
+    _write_marts(spark, base, write, fact, touched, others, country, legacy, search, timings, parallel_jobs)
     complete_run(spark, out_dir, run)
     return {**quality_of(manifest), "run": run, "months": months}
 
@@ -485,6 +498,7 @@ def main(argv=None) -> None:
     p.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     p.add_argument("--country", default=DEFAULT_COUNTRY)
     p.add_argument("--legacy", action="store_true", help="also build the legacy tag tables")
+    p.add_argument("--search", action="store_true", help="also build the searches' trigram index")
     p.add_argument("--refresh", action="store_true", help="with --csv: write only the months that changed files touch")
     args = p.parse_args(argv)
     if args.refresh and not args.csv:
@@ -492,7 +506,8 @@ def main(argv=None) -> None:
     spark = submitted_session(args.csv or args.tables)
     timings: dict = {}
     build = refresh if args.refresh else build_all
-    print(build(spark, args.csv or trending_raw(spark, args.tables), args.out, args.country, args.legacy, timings))
+    print(build(spark, args.csv or trending_raw(spark, args.tables), args.out, args.country, args.legacy, timings,
+                search=args.search))
     print(timings)
 
 
