@@ -25,9 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# application id -> the folders of its operator calls
+_OPEN: dict[str, list[Scratch]] = {}
+
+
 class Scratch:
     """A folder of one operator call. Tables stay while results still read them, and go when
-    the application ends; ``drop`` removes one that no later step reads."""
+    the application ends, or before that by ``close`` or ``clear``; ``drop`` removes one that no later step reads."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -37,6 +41,7 @@ class Scratch:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
         self._fs.deleteOnExit(self._path(self.root))
+        _OPEN.setdefault(spark.sparkContext.applicationId, []).append(self)
 
     def table(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as Parquet and read it back. The driver's garbage is collected after
@@ -53,3 +58,19 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             self._fs.delete(self._path(t._scratch_path), True)
+
+    def close(self) -> None:
+        """Remove the folder; nothing may read the call's result any more."""
+        self._fs.delete(self._path(self.root), True)
+        self._fs.cancelDeleteOnExit(self._path(self.root))
+        held = _OPEN.get(self.spark.sparkContext.applicationId, [])
+        if self in held:
+            held.remove(self)
+
+
+def clear(spark: SparkSession, keep: tuple[Scratch, ...] = ()) -> None:
+    """Remove the folders of all operator calls of this application but ``keep``: for long-lived
+    applications, once the results are written where they are to stay."""
+    for scratch in list(_OPEN.get(spark.sparkContext.applicationId, [])):
+        if scratch not in keep:
+            scratch.close()
