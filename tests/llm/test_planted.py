@@ -85,7 +85,7 @@ def test_planted_secrets_and_no_others(spark):
     about an eighth of the texts."""
     rng = random.Random(3)
     docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(DOCS).select("doc_id", "text").collect()]
-    plain_names = ["getAuthenticationToken2", "application-settings-v2", "2001-10-01T00:00:00", "00000000000000000000",
+    plain_names = ["getAuthenticationToken2", "application-settings-v2", "2001-10-01T00:00:00", "XXXXXXXXXXXXXXXXXXXX0",
                    "changeme_undefined_1", "username_password_01"]
     rows, where = [], {}
     for i, text in docs:
