@@ -36,6 +36,8 @@ TS_PATTERN = (r"^[\t\n\x0B\f\r ]*(\d{1,6})([-/\\ ])(\d{1,2})\2(\d{1,2})"
 # Accepted numbers: single underscores between digits, a fraction, an exponent.
 NUMBER_PATTERN = (r"^[\t\n\x0B\f\r ]*[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)"
                   r"(?:[eE][+-]?\d+(?:_\d+)*)?[\t\n\x0B\f\r ]*\z")
+# Whole numbers without a sign that any bigint holds.
+PLAIN_DIGITS = r"\A[0-9]{1,18}\z"
 # Words that the reference's casts take as doubles and booleans, besides numbers.
 DOUBLE_WORDS = ["nan", "+nan", "-nan", "inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
 BOOLEAN_WORDS = ["true", "false", "t", "f", "yes", "no", "y", "n", "1", "0"]
@@ -135,6 +137,16 @@ def to_bool(col) -> Column:
 TYPE_BITS = {"bigint": 1, "double": 2, "boolean": 4, "date": 8, "timestamp": 16}
 
 
+def plain_mask(col) -> Column:
+    """``type_mask`` of most texts, without a cast: 0 where length and ends show that no type takes the
+    text, and the mask of plain digits that fit a bigint. NULL for the rest, which a cast must judge."""
+    s = _c(col)
+    longer = (s >= ":") & (F.length(s) > max(map(len, DOUBLE_WORDS + BOOLEAN_WORDS))) & (_at(s, -1) > " ")
+    digits = TYPE_BITS["bigint"] + TYPE_BITS["double"]
+    flags = F.when(s.isin("0", "1"), F.lit(digits + TYPE_BITS["boolean"])).otherwise(F.lit(digits))
+    return F.when(longer, F.lit(0)).when(s.rlike(PLAIN_DIGITS), flags)
+
+
 def type_mask(col) -> Column:
     """The types whose safe cast takes the text, as bits: bigint without fraction or exponent, double,
     boolean, a date without a time (with '.' as C1 takes it), timestamp. White space around a
@@ -148,8 +160,9 @@ def type_mask(col) -> Column:
     times = bit((F.translate(s, ":", "") == s) & parse_trending_date(s).isNotNull(), "date") + bit(to_ts(s).isNotNull(), "timestamp")
     digits = F.when(s.rlike(NUMBER_PATTERN), whole + F.lit(TYPE_BITS["double"]) + boolean).otherwise(times)
     words = bit(F.lower(text).isin(DOUBLE_WORDS), "double") + boolean
-    return F.when(s.isNotNull(), F.when(_starts_between(text, "+", "9") & (F.length(text) > 0), F.when(
-        F.lower(text).isin(DOUBLE_WORDS), F.lit(TYPE_BITS["double"])).otherwise(digits)).otherwise(words))
+    other = F.when(_starts_between(text, "+", "9") & (F.length(text) > 0), F.when(
+        F.lower(text).isin(DOUBLE_WORDS), F.lit(TYPE_BITS["double"])).otherwise(digits)).otherwise(words)
+    return F.when(s.isNotNull(), F.coalesce(plain_mask(s), other))
 
 
 # --- string helpers ------------------------------------------------------------------------

@@ -312,9 +312,20 @@ def type_masks(df: DataFrame) -> DataFrame:
     """Per text column the types that the safe casts of all its non-NULL values allow, as a bit
     mask (``exprs.TYPE_BITS``), and the count of these values. All rows, one pass. Masks of
     parts of a table (months, files) merge: ``types_of`` takes their union."""
-    row = df.agg(*[F.struct(F.lit(c).alias("column_name"), F.bit_and(X.type_mask(c)).alias("mask"),
-                            F.count(c).alias("n_values")).alias(f"_{i}") for i, c in enumerate(df.columns)])
-    return row.select(F.explode(F.array(*row.columns)).alias("r")).select("r.*")
+    # one cell a row; the casts judge the distinct texts that no plain test decides, as the mask of a text is the same
+    # wherever it stands
+    cells = df.select(F.posexplode(F.array(*[F.col(c) for c in df.columns])).alias("at", "value"))
+    tested = cells.withColumn("plain", X.plain_mask("value"))
+    texts = (tested.withColumn("text", F.when(F.col("plain").isNull(), F.col("value")))
+             .groupBy("at", "plain", "text").agg(F.count("value").alias("n")))
+    masks = texts.select("at", "n", F.explode(F.array(F.coalesce("plain", X.type_mask("text")))).alias("mask"))
+    per = masks.groupBy("at").agg(F.bit_and("mask").alias("mask"), F.sum("n").alias("n_values"))
+    # a table without rows has no cells, but its columns are listed
+    found = per.agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("mask", "n_values")))).alias("found"))
+    named = F.posexplode(F.array(*[F.lit(c) for c in df.columns])).alias("at", "column_name")
+    return found.select("found", named).select(
+        "column_name", F.col("found")[F.col("at")]["mask"].alias("mask"),
+        F.coalesce(F.col("found")[F.col("at")]["n_values"], F.lit(0)).alias("n_values"))
 
 
 def types_of(masks: DataFrame) -> DataFrame:
