@@ -316,3 +316,19 @@ def test_rebalanced_write_splits_large_partitions(spark, tables_small):
     parts = [f for f in os.listdir(os.path.join(out, folders[0])) if f.endswith(".parquet")]
     assert len(folders) == 1 and len(parts) > 1
     assert spark.read.parquet(out).count() == I.clean(tables_small.raw).count()
+
+
+def test_stored_fact_shuffles_source_rows(spark):
+    """The fact is dealt and sorted before its 28 columns are written out: no wide row is shuffled, and no
+    second sort stands before the write."""
+    from trendscope.plans.catalog import clustered_fact
+    from trendscope.sources.bridge import source_rows, trending_raw
+    fact = clustered_fact(spark, "/root/testdata/sf0.001")
+    plan = fact._jdf.queryExecution().optimizedPlan()
+    below = plan.toString().partition("RebalancePartitions")[2]
+    assert below and "video_description" not in below and "channel_localized_title" not in below
+    want = I.clean(trending_raw(spark, "/root/testdata/sf0.001"))
+    assert fact.columns == [*want.columns, "trending_month"]
+    assert fact.drop("trending_month").exceptAll(want).count() == 0 == want.exceptAll(fact.drop("trending_month")).count()
+    assert fact.filter(F.col("trending_month") != F.trunc("video_trending_date", "MM")).count() == 0
+    assert len(source_rows(spark, "/root/testdata/sf0.001").columns) == 19

@@ -16,7 +16,7 @@ reads nation columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendscope.schema import DEFAULT_COUNTRY, RAW_COLUMNS
@@ -45,19 +45,22 @@ def _s(col) -> "F.Column":
     return col.cast("string")
 
 
-def trending_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All-text raw trending rows (the ``trending_raw`` table of the reference)."""
+def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined rows of the star schema, one per raw row: what ``raw_columns`` reads."""
     l, o, c, n, p = [read_table(spark, sf_dir, name) for name in SOURCE_TABLES]
 
     cust = c.join(n, c.c_nationkey == n.n_nationkey)
     ords = o.join(cust, o.o_custkey == cust.c_custkey)
-    rows = l.join(ords, l.l_orderkey == ords.o_orderkey).join(p, l.l_partkey == p.p_partkey)
+    return l.join(ords, l.l_orderkey == ords.o_orderkey).join(p, l.l_partkey == p.p_partkey)
 
+
+def raw_columns() -> dict[str, Column]:
+    """The 28 text columns, from a row of ``source_rows``."""
     okey, pkey, line = F.col("l_orderkey"), F.col("p_partkey"), F.col("l_linenumber")
     ship = _s(F.col("l_shipdate").cast("date"))
     brand = F.col("p_brand")
 
-    cols = {
+    return {
         "video_id": F.when(okey % 109 == 0, F.lit(None).cast("string"))
         .when(okey % 101 == 0, F.concat(F.lit("bad id "), _s(pkey)))
         .otherwise(F.concat(F.lit("vid"), F.lpad(_s(pkey), 8, "0"))),
@@ -122,7 +125,12 @@ def trending_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "channel_localized_title": F.concat(F.lit("Channel "), brand),
         "channel_localized_description": F.concat(F.lit("Desc "), brand),
     }
-    return rows.select(*[cols[name].alias(name) for name in RAW_COLUMNS])
+
+
+def trending_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All-text raw trending rows (the ``trending_raw`` table of the reference)."""
+    cols = raw_columns()
+    return source_rows(spark, sf_dir).select(*[cols[name].alias(name) for name in RAW_COLUMNS])
 
 
 # DuckDB text of the same derivation, for the oracle side of the correctness check.
