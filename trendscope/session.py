@@ -91,6 +91,23 @@ def ensure_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Registered queries: an exchange begins with a partition for so many bytes of input, and AQE joins partitions
+# up to this size. Short keys in order compress so well that a MB of a shuffle is 25 MB of a hash table and more.
+INPUT_PER_PARTITION = 16 << 20
+MERGED_PARTITION = "16m"
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
+    """Keep the memory of one task from growing with the input: raise the number of partitions that
+    exchanges begin with, and set the size of merged ones where it was left at Spark's default."""
+    key, size = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    wanted = -(-input_bytes // INPUT_PER_PARTITION)
+    if wanted > int(spark.conf.get(key, spark.conf.get("spark.sql.shuffle.partitions"))):
+        spark.conf.set(key, str(wanted))
+    if spark.conf.get(size, None) is None:
+        spark.conf.set(size, MERGED_PARTITION)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
