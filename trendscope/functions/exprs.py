@@ -19,6 +19,8 @@ that shape; only the rest meets the pattern, once.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,7 @@ LEADING_QUOTES, TRAILING_QUOTES = r'^"+', r'"+\z'
 LEADING_QUOTE, TRAILING_QUOTE = r'^"', r'"\z'
 # Tag strings that mean "no tags" in the legacy pipeline and the notebook.
 NONE_LIKE_TAGS = ["[none]", "none", "nan", "null"]
+NONE_LIKE = rf"(?i)\A\p{{Zs}}*(?:{'|'.join(map(re.escape, NONE_LIKE_TAGS))})\p{{Zs}}*\z"
 # Length bounds and junk markers of the clean tag pipeline.
 TAG_MIN_LEN = 2
 TAG_MAX_LEN = 80
@@ -173,7 +176,8 @@ def trim_zs(col) -> Column:
 
 
 def strip_leading_hashes(col) -> Column:
-    return F.regexp_replace(_c(col), LEADING_HASHES, "")
+    c = _c(col)
+    return F.when(c.startswith("#"), F.regexp_replace(c, LEADING_HASHES, "")).otherwise(c)
 
 
 def collapse_first_ws_run(col) -> Column:
@@ -192,20 +196,24 @@ def strip_quote_run_one_side(col) -> Column:
 def strip_one_quote_char(col) -> Column:
     """G1 (legacy form): remove one leading '"' if present, otherwise one trailing '"'."""
     c = _c(col)
-    return F.when(c.startswith('"'), F.regexp_replace(c, LEADING_QUOTE, "")).otherwise(
-        F.regexp_replace(c, TRAILING_QUOTE, "")
-    )
+    return F.when(c.startswith('"'), F.regexp_replace(c, LEADING_QUOTE, "")).when(
+        c.endswith('"'), F.regexp_replace(c, TRAILING_QUOTE, "")).otherwise(c)
+
+
+def has_text(col) -> Column:
+    """``trim_zs`` of the text isn't empty."""
+    return _c(col).rlike(r"[^\p{Zs}]")
 
 
 def is_none_like(col) -> Column:
     """Tag string that is blank-equivalent: '[none]', 'none', 'nan', 'null' (any case)."""
-    return F.lower(trim_zs(col)).isin(NONE_LIKE_TAGS)
+    return _c(col).rlike(NONE_LIKE)
 
 
 def has_usable_tags(col) -> Column:
     """Non-null, non-blank and not none-like (legacy pipeline, notebook cells)."""
     c = _c(col)
-    return c.isNotNull() & (trim_zs(c) != "") & ~is_none_like(c)
+    return c.isNotNull() & has_text(c) & ~is_none_like(c)
 
 
 # --- T1 / T6 / T13: tag normalisation ------------------------------------------------------

@@ -137,7 +137,7 @@ def tag_events_legacy(trending: DataFrame, country: str = DEFAULT_COUNTRY) -> Da
     trim, one quote char stripped, no DISTINCT and no junk or length filter."""
     base = in_country(trending, country).filter(
         F.col(DATE).isNotNull() & X.has_usable_tags("video_tags"))
-    pieces = F.filter(X.split_tags("video_tags", pipe_too=True), lambda p: X.trim_zs(p) != "")
+    pieces = F.filter(X.split_tags("video_tags", pipe_too=True), X.has_text)
     tags = F.filter(F.transform(pieces, X.legacy_tag), lambda t: t != "")
     return base.select("video_id", DATE, fact_month(trending).alias("month"), F.explode(tags).alias("tag"))
 
